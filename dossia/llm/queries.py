@@ -7,6 +7,47 @@ from pyspark.sql import functions as F
 
 from dossia.llm.common import read
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dossia.llm.bpe import bpe_decode, bpe_encode
+
+    path = vocabulary("word_bpe_49k.json")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    done = bpe_decode(bpe_encode(docs, path, keep_text=False), path)
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dossia.llm import langid
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    test = langid.held_out(F.col("doc_id"), 5, 0)
+    model = langid.fit(docs.where(~test), vocabulary("piece_bpe_32k.model"))
+    return langid.predict(docs.select("doc_id", test.alias("held_out"), "text"), model, keep_text=False)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dossia.llm import toxicity
+    from dossia.llm.langid import held_out
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    test = held_out(F.col("doc_id"), 4, 2)
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~test)
+    model = toxicity.fit(toxicity.labelled_texts(docs, labels), label_col="label")
+    scored = toxicity.score_texts(docs.select("doc_id", test.alias("held_out"), "text"), model, keep_text=False)
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dossia.llm.exact_dedup import exact_dedup
 
@@ -30,6 +71,12 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dossia.llm.packing import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep_ids=False)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dossia.llm.sharding import record_size, shard_rows
 
@@ -40,7 +87,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_link_graph, op7_topk, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_toxicity, op4_exact_dedup, op5_link_graph, op7_topk, op8_packing, op10_sharding)}
 
 ORACLES = {
     "op4_exact_dedup": """
