@@ -77,6 +77,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dossia.llm.substring import substring_dedup
+
+    done = substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dossia.llm.sharding import record_size, shard_rows
 
@@ -87,7 +94,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_toxicity, op4_exact_dedup, op5_link_graph, op7_topk, op8_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_toxicity, op4_exact_dedup, op5_link_graph, op7_topk, op8_packing, op9_substring_dedup, op10_sharding)}
 
 ORACLES = {
     "op4_exact_dedup": """
