@@ -64,6 +64,12 @@ def op5_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dossia.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dossia.llm.topk import top_k
 
@@ -94,7 +100,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_toxicity, op4_exact_dedup, op5_link_graph, op7_topk, op8_packing, op9_substring_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_toxicity, op4_exact_dedup, op5_link_graph, op6_jaccard, op7_topk, op8_packing, op9_substring_dedup, op10_sharding)}
 
 ORACLES = {
     "op4_exact_dedup": """
