@@ -315,3 +315,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = sets.join(least, "root").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     empty = corpus.sets.where("n = 0").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"))
     return linked.unionByName(empty)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs whose id is the smallest of their component; rows without an id stay. Ids name documents: rows that share one go together."""
+    found = jaccard_components(docs.select(id_col, text_col), id_col, text_col, width, percent)
+    losers = small(cut(found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_loser")).distinct()))
+    return docs.join(losers, F.col(id_col) == F.col("_loser"), "left_anti")
