@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossia.llm.bpe import by_block, byte_chars
+from dossia.llm.common import stored
 
 LENGTH = 1024
 END_ID = 2
@@ -141,7 +142,7 @@ def pack(parts: DataFrame, length: int = LENGTH, groups: int = 1, size_col: str
     number there, so that no id or size fills a group, and each group is packed by the sum-of-squares rule, long pieces first.
     Columns named sequence_id or offset are replaced. The columns travel with the pieces: leave out what isn't needed.
     """
-    parts = parts.drop("sequence_id", "offset")
+    parts = stored(parts.drop("sequence_id", "offset"), "pieces")  # read twice below, made once
     full = parts.where(F.col(size_col) == length).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     rest = parts.where(F.col(size_col) < length)
     whole = F.struct(*[F.col(f"`{c}`") for c in parts.columns])
