@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Bytes of text that a task encodes at once, and chunks of text whose ids a worker remembers.
-BLOCK_BYTES = 8_000_000
-REMEMBERED = 600_000
+BLOCK_BYTES = 3_000_000
+REMEMBERED = 200_000
 
 # str.split() also splits at these, which the tokenizer's \s doesn't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
