@@ -287,9 +287,9 @@ _SCORED = """
     r AS (SELECT v.variant, v.s, t.c_custkey, t.key, t.val,
                  CASE WHEN (t.c_custkey + t.j) % 11 < v.s - 1 THEN '' WHEN (t.c_custkey * 7 + t.j * 3) % 10 < v.s THEN 'X' || substr(t.val, 2) ELSE t.val END AS pred
           FROM t, v WHERE NOT (v.variant <> 'clean' AND t.c_custkey % 17 = 0)),
-    k AS (SELECT *, CASE key WHEN 'year' THEN regexp_replace(val, '[^0-9]', '', 'g') WHEN 'make_model' THEN regexp_replace(translate(upper(val), 'АВЕКМНОРСТУХ', 'ABEKMHOPCTYX'), '[^А-ЯA-Z0-9]', '', 'g')
+    k AS (SELECT *, CASE key WHEN 'year' THEN regexp_replace(regexp_replace(val, '[^0-9]', '', 'g'), '^0+(.)', '\\1') WHEN 'make_model' THEN regexp_replace(translate(upper(val), 'АВЕКМНОРСТУХ', 'ABEKMHOPCTYX'), '[^А-ЯA-Z0-9]', '', 'g')
                          ELSE regexp_replace(upper(val), '[^А-ЯA-Z0-9]', '', 'g') END AS ct,
-                    CASE key WHEN 'year' THEN regexp_replace(pred, '[^0-9]', '', 'g') WHEN 'make_model' THEN regexp_replace(translate(upper(pred), 'АВЕКМНОРСТУХ', 'ABEKMHOPCTYX'), '[^А-ЯA-Z0-9]', '', 'g')
+                    CASE key WHEN 'year' THEN regexp_replace(regexp_replace(pred, '[^0-9]', '', 'g'), '^0+(.)', '\\1') WHEN 'make_model' THEN regexp_replace(translate(upper(pred), 'АВЕКМНОРСТУХ', 'ABEKMHOPCTYX'), '[^А-ЯA-Z0-9]', '', 'g')
                          ELSE regexp_replace(upper(pred), '[^А-ЯA-Z0-9]', '', 'g') END AS cp FROM r),
     f AS (SELECT variant, s, c_custkey, key, ct = cp AS ok, least(1.0, CAST(levenshtein(cp, ct) AS DOUBLE) / length(ct)) AS cer,
                  CASE WHEN c_custkey % 2 = 0 THEN 'pts' ELSE 'epts' END AS doc_type,
