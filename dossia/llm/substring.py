@@ -206,22 +206,21 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     """
     kept = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed")]
     row = F.struct(*[F.col(f"`{c}`") for c in kept])
-    rows = docs.select(
-        row.alias("_row"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))).alias("_id"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
-    flags = repeated_windows(rows.select("_id", "_key", "text"), window, bucket_bytes)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    name = (F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))).alias("_id"), F.xxhash64(text).alias("_key"))
+    flags = repeated_windows(docs.select(*name, text.alias("text")), window, bucket_bytes)
     flags = flags.groupBy("_id", "_key").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("last")).alias("last"))
-    joined = rows.join(flags.hint("shuffle_hash"), ["_id", "_key"], "left").select("_row", "text", "first", "last")
+    rows = docs.select(row.alias("_row"), *name)
+    joined = rows.join(flags.hint("shuffle_hash"), ["_id", "_key"], "left").select("_row", "first", "last")
+    text_at = kept.index(text_col)
     schema = T.StructType([T.StructField("_row", rows.schema["_row"].dataType), *T.StructType.fromDDL("kept_text string, n_words long, n_removed long").fields])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, count, gone = [], [], []
-            for text, first, last in zip(*(batch.column(c).to_pylist() for c in ("text", "first", "last")), strict=True):
-                words = text.encode("utf-8", "surrogatepass").split()  # bytes.split() cuts at these six bytes alone
+            of = (batch.column("_row").field(text_at), batch.column("first"), batch.column("last"))
+            for text, first, last in zip(*(c.to_pylist() for c in of), strict=True):
+                words = (text or "").encode("utf-8", "surrogatepass").split()  # bytes.split() cuts at these six bytes alone
                 n = len(words)
                 if first:
                     edge = np.zeros(n + 1, dtype=np.int64)
