@@ -165,7 +165,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, bucket_bytes: int =
     flag_types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zstd = pa.Codec("zstd", 1)
+        zstd = pa.Codec("zstd", 3)
         names = ["bucket", "head", "packed", "head_size", "packed_size", "_id", "_key", "first", "last"]
         for batch in batches:
             ids, keys = (np.asarray(batch.column(c)) for c in ("_id", "_key"))
