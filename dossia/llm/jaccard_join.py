@@ -28,8 +28,8 @@ PERCENT = 75
 #: Bytes of text that a task handles at once, and of text per bucket of signatures.
 BLOCK_BYTES = 4_000_000
 BUCKET_BYTES = 16_000_000
-#: Sets with a signature in common are compared in pairs up to this number; in larger groups with the first one and the next one in order,
-#: and then with all that they haven't been joined to (see ``_open_pairs``).
+#: Sets with a signature in common are compared with the first one in order, and then with those that nothing has joined them to: in groups up to
+#: this size by pairs noted at once, in larger ones by ``_open_pairs``.
 GROUP = 8
 
 #: A band holds sizes from 4**j to 4**(j + 1). Up to SMALL_BANDS, where few shingles lie in a partition, each first-level partition has three
@@ -158,7 +158,11 @@ def _packets(sets: Shingles, percent: int, common: np.ndarray, buckets: int) ->
 
 
 def _candidates(table: pa.Table, percent: int) -> pa.Table:
-    """kind 0: pairs a, b of sets to compare; kind 1: group a of more than GROUP sets, of which b is one."""
+    """kind 0: pairs a, b to compare first; kind 2: pairs to compare if nothing has joined them by then; kind 1: group a of more than GROUP sets, of which b is one.
+
+    The first pairs are a group's smallest set with each other one (a family of copies mostly has one smallest set), in large groups
+    also each set with the next one.
+    """
     prints, sizes, sigs = [], [], []
     for p, n, c, s in zip(*(table[k].to_pylist() for k in ("prints", "sizes", "counts", "sigs")), strict=True):
         count = np.frombuffer(c, "<i4")
@@ -176,35 +180,39 @@ def _candidates(table: pa.Table, percent: int) -> pa.Table:
     length = np.diff(np.append(start, len(s)))
     of = np.repeat(np.arange(len(start)), length)
     place = np.arange(len(s)) - start[of]
-    a, b = [], []
+    pairs = {0: [], 2: []}
 
-    def pair(i: np.ndarray, j: np.ndarray) -> None:
+    def pair(kind: int, i: np.ndarray, j: np.ndarray) -> None:
         near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-        a.append(np.minimum(p[i], p[j])[near])
-        b.append(np.maximum(p[i], p[j])[near])
+        pairs[kind].append(np.rec.fromarrays([np.minimum(p[i], p[j])[near], np.maximum(p[i], p[j])[near]], names="a,b"))
 
-    for d in range(1, GROUP):
-        i = np.flatnonzero((place + d < length[of]) & ((length[of] <= GROUP) | (d == 1)))
-        pair(i, i + d)
     large = length[of] > GROUP
-    star = np.flatnonzero(large & (place > 1))
-    pair(start[of[star]], star)
-    a, b = np.concatenate(a), np.concatenate(b)
-    pairs = np.unique(np.rec.fromarrays([a, b], names="a,b")) if len(a) else np.rec.fromarrays([a, b], names="a,b")
+    others = np.flatnonzero(place > 0)
+    pair(0, start[of[others]], others)
+    after = np.flatnonzero(large & (place > 0) & (place + 1 < length[of]))
+    pair(0, after, after + 1)
+    for d in range(1, GROUP - 1):
+        i = np.flatnonzero(~large & (place > 0) & (place + d < length[of]))
+        pair(2, i, i + d)
+    first, later = (np.unique(np.concatenate(pairs[kind])) for kind in (0, 2))
     group = mix(s[large] ^ np.uint64(table["bucket"][0].as_py() + 1)).view(np.int64)
-    kind = np.repeat(np.array([0, 1], np.int32), [len(pairs), len(group)])
-    return pa.table({"kind": kind, "a": np.concatenate([pairs["a"], group]), "b": np.concatenate([pairs["b"], p[large]]), "n": np.concatenate([np.zeros(len(pairs), np.int64), n[large]])})
+    kind = np.repeat(np.array([0, 2, 1], np.int32), [len(first), len(later), len(group)])
+    a, b = (np.concatenate([first[c], later[c], other]) for c, other in (("a", group), ("b", p[large])))
+    return pa.table({"kind": kind, "a": a, "b": b, "n": np.concatenate([np.zeros(len(first) + len(later), np.int64), n[large]])})
 
 
-def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """a, b, link of each pair. With 32 of the hashes' 64 bits, link is null where their chance meetings might decide."""
+    kind = "<u8" if bits == 64 else "<u4"
     for batch in batches:
         links = []
         for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            merged = np.sort(np.concatenate([x, y]), kind="stable")
-            shared = int((merged[1:] == merged[:-1]).sum())
-            links.append(100 * shared >= percent * (len(x) + len(y) - shared))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(links, pa.bool_()))
+            x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
+            shared = len(np.intersect1d(x, y, assume_unique=bits == 64))
+            spare = 0 if bits == 64 else 3 + -(-8 * len(x) * len(y) // 2**32)
+            enough = [100 * k >= percent * (len(x) + len(y) - k) for k in (shared - spare, shared + spare)]
+            links.append(enough[0] if enough[0] == enough[1] else None)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(links, pa.bool_())], names=["a", "b", "link"])
 
 
 def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -251,9 +259,16 @@ class _Corpus:
         return stored(packets.groupBy("bucket").applyInArrow(lambda t: _candidates(t, percent), "kind int, a long, b long, n long"), "candidates")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of different sets that are similar; checkpointed."""
+        """The pairs (a, b) of different sets that are similar; checkpointed. Half of each hash decides nearly all, the whole hashes the rest."""
+        judged = self._judged(pairs, 32)
+        unsure = cut(judged.where("link is null").select("a", "b"))
+        links = judged.where("link").select("a", "b")
+        if unsure.isEmpty():
+            return links
+        return cut(links.unionByName(self._judged(unsure, 64).where("link").select("a", "b")))
+
+    def _judged(self, pairs: DataFrame, bits: int) -> DataFrame:
         width, percent = self.width, self.percent
-        pairs = cut(pairs)
         wanted = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print"))).distinct()
         # One row of the table for each set.
         one = self.sets.join(wanted, "print").groupBy("print").agg(F.min(F.struct("_id", "_key")).alias("row")).select("print", "row.*")
@@ -261,23 +276,33 @@ class _Corpus:
         rows = self.rows.join(one, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i"))).select("print", "text")
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sent: set[int] = set()  # a row that the table repeats gives its set once in a task
             for batch in batches:
                 for part, texts in by_bytes(batch.column("text"), BLOCK_BYTES):
-                    s = Shingles(texts, width)
-                    packed = [s.hash[f : f + n].astype("<u8").tobytes() for f, n in zip(s.first.tolist(), s.size.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column("print").slice(part.start, len(packed)), pa.array(packed, pa.binary())], names=["print", "set"])
-
-        sets = stored(rows.mapInArrow(read, "print long, set binary").dropDuplicates(["print"]), "sets")
+                    prints = batch.column("print").slice(part.start, part.stop - part.start).to_pylist()
+                    new = [n for n, p in enumerate(prints) if not (p in sent or sent.add(p))]
+                    s = Shingles([texts[n] for n in new], width)
+                    h = s.hash.astype("<u8") if bits == 64 else (s.hash >> np.uint64(32)).astype("<u4")
+                    packed = [h[f : f + n].tobytes() for f, n in zip(s.first.tolist(), s.size.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([prints[n] for n in new], pa.int64()), pa.array(packed, pa.binary())], names=["print", "set"])
+
+        sets = rows.mapInArrow(read, "print long, set binary")  # both joins use one shuffle of it
         joined = pairs.join(sets.select(F.col("print").alias("a"), F.col("set").alias("set_a")), "a")
         joined = joined.join(sets.select(F.col("print").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-        return cut(joined.mapInArrow(lambda batches: _compare(batches, percent), "a long, b long"))
+        return cut(joined.mapInArrow(lambda batches: _compare(batches, percent, bits), "a long, b long, link boolean"))
+
+
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs whose sets aren't in one component."""
+    of = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
-def _open_pairs(groups: DataFrame, joined: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(groups: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     """Pairs of large groups that nothing has joined yet.
 
-    In a group whose sets aren't all in one component, those outside its largest component meet all those of other components, but for pairs
-    already compared.
+    In a group whose sets aren't all in one component, those outside its largest component meet all those of other components.
     """
     members = groups.join(joined, groups["print"] == joined["node"], "left").select("group", "print", "n", F.coalesce("component", "print").alias("component"))
     sizes = members.groupBy("group", "component").agg(F.count("*").alias("size"))
@@ -286,8 +311,7 @@ def _open_pairs(groups: DataFrame, joined: DataFrame, tested: DataFrame, percent
     rest = members.where("component <> main").select("group", F.col("print").alias("p"), F.col("n").alias("m"), F.col("component").alias("c"))
     near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
     met = members.join(rest, "group").where(near & (F.col("component") != F.col("c")))
-    pairs = met.select(F.least("print", "p").alias("a"), F.greatest("print", "p").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    return met.select(F.least("print", "p").alias("a"), F.greatest("print", "p").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -306,8 +330,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = cut(found.where("kind = 0").select("a", "b").distinct())
     links = corpus.links(pairs)
     joined = cut(components(links))
+    apart = _apart(found.where("kind = 2").select("a", "b").distinct(), joined)
     groups = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("print"), "n")
-    more = cut(_open_pairs(groups, joined, pairs, percent))
+    more = cut(apart.unionByName(_open_pairs(groups, joined, percent)).distinct().join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         joined = cut(components(links.unionByName(corpus.links(more))))
     sets = corpus.sets.where("n > 0").join(joined, F.col("print") == F.col("node"), "left").select("_id", "n", F.coalesce("component", "print").alias("root"))
