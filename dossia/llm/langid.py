@@ -130,7 +130,8 @@ def _word_counts(train: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
                 words = Counter(w for t in texts for w in _LETTERS.findall(t.lower()) if len(w) < TRAIN_WORD)
-                yield pd.DataFrame({"lang": lang, "word": list(words), "n": np.array(list(words.values()), dtype=np.int64)})
+                if words:
+                    yield pd.DataFrame({"lang": lang, "word": list(words), "n": np.array(list(words.values()), dtype=np.int64)})
 
     rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     return rows.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))

@@ -24,9 +24,9 @@ from dossia.llm.bpe import by_block
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
-#: Bounds of the fit: documents taken from the labelled ones by a hash of their texts, in parts that are fitted apart and averaged.
+#: Bounds of the fit: documents taken from the labelled ones by a hash of their texts, in parts of at least so many that are fitted apart and averaged.
 TRAIN_DOCS = 12_000
-PARTS = 6
+PART_DOCS = 4_000
 STEPS = 150
 PENALTY = 2e-4
 #: Ratios of n-grams rarer than this, or nearer to 0, count as 0.
@@ -141,7 +141,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", t
         share = ones / n if n else 0.0
         return ToxicityModel(np.zeros(BUCKETS), 40.0 if share else -40.0)
     spot = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    chosen = rows.where(spot < int(min(1.0, train_docs / n) * 1_000_000)).repartition(PARTS, F.xxhash64("text", F.lit(1)))
+    number = max(1, min(n, train_docs) // PART_DOCS)
+    chosen = rows.where(spot < int(min(1.0, train_docs / n) * 1_000_000)).repartition(number, F.xxhash64("text", F.lit(1)))
     total = F.expr("aggregate(all, array_repeat(0D, size(all[0])), (a, x) -> zip_with(a, x, (p, q) -> p + q))")
     parts = chosen.mapInPandas(_class_counts, "k int, counts array<double>").groupBy("k").agg(F.collect_list("counts").alias("all"))
     counts = np.zeros((2, BUCKETS))
@@ -156,8 +157,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", t
         weight, intercept = _fit_part(sent.value, part)
         return pd.DataFrame({"n": [len(part)], "weight": [weight.astype("<f4").tobytes()], "intercept": [intercept]})
 
-    by_part = chosen.groupBy(F.pmod(F.xxhash64("text", F.lit(2)), F.lit(PARTS)).alias("part"))
-    fitted = by_part.applyInPandas(learn, "n long, weight binary, intercept double").collect()  # PARTS rows of a fixed size
+    by_part = chosen.groupBy(F.pmod(F.xxhash64("text", F.lit(2)), F.lit(number)).alias("part"))
+    fitted = by_part.applyInPandas(learn, "n long, weight binary, intercept double").collect()  # one row of a fixed size for each part
     rows_fitted = sum(r.n for r in fitted)
     weight = sum(np.frombuffer(r.weight, "<f4").astype(float) * r.n for r in fitted) / rows_fitted
     return ToxicityModel(weight, sum(r.intercept * r.n for r in fitted) / rows_fitted)
