@@ -124,12 +124,13 @@ def label_dim(spark) -> DataFrame:
 
 def doc_types(lines: DataFrame) -> DataFrame:
     """doc_id, doc_type by vote: 2 for each keyword in the text, 1 for each line whose best label is near (80); ties go to the first type in KEYWORDS."""
-    spark, order = lines.sparkSession, list(KEYWORDS)
+    order = list(KEYWORDS)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "par", "line", "text"))), lambda x: x["text"]), "\n")
     whole = lines.groupBy("doc_id").agg(F.translate(F.upper(text), "Ё", "Е").alias("text"))
     words = F.array(*[F.struct(F.lit(t).alias("doc_type"), sum((F.when(F.col("text").contains(k), 2).otherwise(0) for k in KEYWORDS[t]), F.lit(0)).alias("n")) for t in order])
     by_word = whole.select("doc_id", F.inline(words))
-    near = lines.where("label <> ''").crossJoin(F.broadcast(label_dim(spark)))  # a few dozen labels
+    labels = F.array(*[F.struct(F.lit(t).alias("doc_type"), F.lit(x).alias("printed")) for t, ls in LABELS.items() for x in ls.values()])
+    near = lines.where("label <> ''").select("*", F.inline(labels))
     near = near.withColumn("ratio", lcs_ratio_udf("label", "printed")).groupBy(*LINE, "doc_type").agg(F.max("ratio").alias("ratio")).where("ratio >= 80")
     votes = by_word.unionByName(near.select("doc_id", "doc_type", F.lit(1).alias("n"))).groupBy("doc_id", "doc_type").agg(F.sum("n").alias("n"))
     place = F.array_position(F.array(*map(F.lit, order)), F.col("doc_type"))
