@@ -26,7 +26,7 @@ SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 #: Bounds of the fit: documents taken from the labelled ones by a hash of their texts, in parts of at least so many that are fitted apart and averaged.
 TRAIN_DOCS = 12_000
-PART_DOCS = 4_000
+PART_DOCS = 2_000
 STEPS = 150
 PENALTY = 2e-4
 #: Ratios of n-grams rarer than this, or nearer to 0, count as 0.
