@@ -102,7 +102,46 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_toxicity, op4_exact_dedup, op5_link_graph, op6_jaccard, op7_topk, op8_packing, op9_substring_dedup, op10_sharding)}
 
+
+
+def _link_graph_sql() -> str:
+    """The same judgement as one statement: rules, edges between hosts, and each round of both walks as a table of its own."""
+    from dossia.llm import url_graph as g
+
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rest = "CASE WHEN strpos({0}, '://') > 0 THEN substr({0}, strpos({0}, '://') + 3) ELSE '' END"
+    host = lambda c: lower.format(f"regexp_extract(coalesce({rest.format(c)}, ''), '^([^/?#]*)', 1)")
+    path = f"regexp_extract(coalesce({rest.format('url')}, ''), '^[^/?#]*([^?#]*)', 1)"
+    fits = lambda r: f"(host = '{r[1]}' OR suffix(host, '.{r[1]}')) AND prefix(path, '{r[2]}')"
+    longest_first = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    case = lambda value: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in longest_first) + " END"
+    rounds = []
+    for k in range(g.ROUNDS):
+        rounds.append(f"""r{k + 1} AS (SELECT kind, host, sum(score) AS score FROM (
+            SELECT w.kind, w.dst AS host, r{k}.score * w.w * {g.DAMPING} AS score FROM r{k} JOIN w ON r{k}.kind = w.kind AND r{k}.host = w.src
+            UNION ALL SELECT kind, host, score * {1 - g.DAMPING} FROM r0) GROUP BY kind, host)""")
+    return f"""
+        WITH p AS (SELECT page_id, html, {host("url")} AS host, {path} AS path FROM pages),
+        j AS (SELECT page_id, host, path, {case(lambda r: r[1] + r[2])} AS rule, {case(lambda r: r[0])} AS by_rule FROM p),
+        h AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"'']*)["'']', 1)) AS href FROM p),
+        l AS (SELECT src, CASE WHEN prefix(href, '//') THEN 'http:' || href ELSE href END AS href FROM h WHERE contains(href, '//')),
+        e AS (SELECT src, dst, count(*) AS n FROM (SELECT src, {host("href")} AS dst FROM l) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+        b AS (SELECT 'allow' AS kind, src, dst, n FROM e UNION ALL SELECT 'block', dst, src, n FROM e),
+        w AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS w FROM b),
+        c AS (SELECT by_rule AS kind, host, count(*) AS n FROM j WHERE by_rule IS NOT NULL GROUP BY by_rule, host),
+        r0 AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS score FROM c),
+        {", ".join(rounds)},
+        o AS (SELECT * FROM r{g.ROUNDS} WHERE EXISTS (SELECT 1 FROM e) UNION ALL SELECT * FROM r0 WHERE NOT EXISTS (SELECT 1 FROM e)),
+        s AS (SELECT host, round(coalesce(sum(CASE WHEN kind = 'allow' THEN score END), 0), {g.DECIMALS}) AS trust,
+                     round(coalesce(sum(CASE WHEN kind = 'block' THEN score END), 0), {g.DECIMALS}) AS distrust FROM o GROUP BY host),
+        z AS (SELECT host, round(count(*) / (SELECT count(*) FROM j WHERE host <> ''), {g.DECIMALS}) AS size FROM j WHERE host <> '' GROUP BY host)
+        SELECT j.page_id, j.host, j.path, j.rule,
+               coalesce(j.by_rule, CASE WHEN coalesce(s.distrust, 0) > {g.THRESHOLD} * greatest(coalesce(s.trust, 0), coalesce(z.size, 0)) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM j LEFT JOIN z ON j.host = z.host LEFT JOIN s ON z.host = s.host"""
+
+
 ORACLES = {
+    "op5_link_graph": _link_graph_sql(),
     "op4_exact_dedup": """
         WITH d AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256

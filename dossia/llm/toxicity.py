@@ -33,8 +33,8 @@ PENALTY = 2e-4
 LEAST_COUNT = 4
 LEAST_RATIO = 0.4
 THRESHOLD = 0.3
-BLOCK_BYTES = 8_000_000
-REMEMBERED = 600_000
+BLOCK_BYTES = 2_000_000
+REMEMBERED = 200_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 

@@ -126,6 +126,13 @@ def test_urls_match_brute_force(spark):
     for r in got.collect():
         assert (r.host, r.path, r["rule"], r.verdict) in judged[r.page_id], r
     assert got.count() == len(pages) and url_graph.judge_urls(df.limit(0), RULES).count() == 0
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    sql = con.execute(queries.ORACLES["op5_link_graph"]).fetchall()
+    name = lambda i: None if i is None or i != i else int(i)
+    assert sorted(((name(i), *rest) for i, *rest in sql), key=repr) == sorted(((r.page_id, r.host, r.path, r["rule"], r.verdict) for r in got.collect()), key=repr)
     assert any(v == "block" and rule is None for x in judged.values() for _, _, rule, v in x)
 
 
