@@ -26,8 +26,8 @@ from dossia.llm.wordhash import SLOTS, Words, by_bytes, mix, rare_first, runs, s
 SHINGLE = 5
 PERCENT = 75
 #: Bytes of text that a task handles at once, and of text per bucket of signatures.
-BLOCK_BYTES = 4_000_000
-BUCKET_BYTES = 16_000_000
+BLOCK_BYTES = 2_000_000
+BUCKET_BYTES = 8_000_000
 #: Sets with a signature in common are compared with the first one in order, and then with those that nothing has joined them to: in groups up to
 #: this size by pairs noted at once, in larger ones by ``_open_pairs``.
 GROUP = 8
@@ -201,13 +201,20 @@ def _candidates(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"kind": kind, "a": a, "b": b, "n": np.concatenate([np.zeros(len(first) + len(later), np.int64), n[large]])})
 
 
+def _views(column: pa.Array, kind: str) -> Iterator[np.ndarray]:
+    """Each value of a binary column without nulls as numbers, without copying it."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    size, data = np.dtype(kind).itemsize, column.buffers()[2]
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        yield np.frombuffer(data, kind, (b - a) // size, a) if b > a else np.empty(0, kind)
+
+
 def _compare(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iterator[pa.RecordBatch]:
     """a, b, link of each pair. With 32 of the hashes' 64 bits, link is null where their chance meetings might decide."""
     kind = "<u8" if bits == 64 else "<u4"
     for batch in batches:
         links = []
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
+        for x, y in zip(_views(batch.column("set_a"), kind), _views(batch.column("set_b"), kind), strict=True):
             shared = len(np.intersect1d(x, y, assume_unique=bits == 64))
             spare = 0 if bits == 64 else 3 + -(-8 * len(x) * len(y) // 2**32)
             enough = [100 * k >= percent * (len(x) + len(y) - k) for k in (shared - spare, shared + spare)]

@@ -22,7 +22,7 @@ WINDOW = 20
 GRAM = 3
 #: Bytes of text that a task handles at once, and of text per bucket (its windows' packed strings hold about three times as many).
 BLOCK_BYTES = 4_000_000
-BUCKET_BYTES = 4_000_000
+BUCKET_BYTES = 3_000_000
 
 _LAST = np.iinfo(np.int64).max
 _FLAGS = "_id long, _key long, first array<int>, last array<int>"
@@ -141,12 +141,14 @@ def _repeats_of_bucket(packets: list[tuple[bytes, bytes]], window: int) -> pa.Re
         base += rows
     ids, keys, which, start = (np.concatenate(x) for x in (ids, keys, which, start))
     w = Words(texts)
+    del texts, packets
     h1, h2 = _window_hashes(w.hash, window)
     at = np.flatnonzero(w.text[: len(h1)] == w.text[window - 1 :])
     text = w.text[at]
     row, begin = which[text], start[text] + at - w.first[text]
-    del w, texts
-    flagged = later(h1[at], h2[at], ids[row], begin)
+    h1, h2 = h1[at], h2[at]
+    del w, at, text
+    flagged = later(h1, h2, ids[row], begin)
     return _flag_batch(ids, keys, row[flagged], begin[flagged])
 
 

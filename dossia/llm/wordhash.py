@@ -32,9 +32,9 @@ class Words:
         inside = np.zeros(len(raw) + 2, dtype=np.int8)
         inside[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
         step = np.diff(inside)
-        self.start, self.end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        self.start, self.end = (np.flatnonzero(step == d).astype(np.int32) for d in (1, -1))
         self.ends_of_texts = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
-        self.text = np.searchsorted(self.ends_of_texts, self.start, side="right")
+        self.text = np.searchsorted(self.ends_of_texts, self.start, side="right").astype(np.int32)
         self.count = np.bincount(self.text, minlength=len(texts))
         self.first = np.cumsum(self.count) - self.count  # the number of each text's first word
         self.hash = self._hashes(raw)
