@@ -72,6 +72,15 @@ class Shingles:
         self.print = mix(total[self.first + self.size] - total[self.first] + self.size.astype(np.uint64)).view(np.int64)
 
 
+    def sketches(self) -> list[bytes]:
+        """For each text how many of its shingles fall into each of a power of two of cells, about a quarter of its size; 255 stands for more."""
+        cells = 1 << np.ceil(np.log2(np.maximum(self.size / 4, 8))).astype(np.int64)
+        ends = np.cumsum(cells)
+        at = (ends - cells)[self.text] + (self.hash & (cells[self.text] - 1).astype(np.uint64)).astype(np.int64)
+        counts = np.minimum(np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0), 255).astype(np.uint8).tobytes()
+        return [counts[e - c : e] for c, e in zip(cells.tolist(), ends.tolist(), strict=True)]
+
+
 def _sequence(hashes: np.ndarray) -> int:
     return int(mix(runs(hashes, len(hashes), 7 + len(hashes)))[0])
 
@@ -209,6 +218,18 @@ def _views(column: pa.Array, kind: str) -> Iterator[np.ndarray]:
         yield np.frombuffer(data, kind, (b - a) // size, a) if b > a else np.empty(0, kind)
 
 
+def _not_ruled_out(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Sets differ in at least as many elements as their sketches' counts do; those of the larger sketch are folded onto the smaller one's cells."""
+    for batch in batches:
+        keep = []
+        most = (np.asarray(batch.column("n_a")) + np.asarray(batch.column("n_b"))) * (100 - percent) // (100 + percent)
+        for x, y, d in zip(_views(batch.column("set_a"), "u1"), _views(batch.column("set_b"), "u1"), most.tolist(), strict=True):
+            cells = min(len(x), len(y))
+            x, y = (z.reshape(-1, cells).sum(axis=0, dtype=np.int64) for z in (x, y))
+            keep.append(int(np.abs(x - y).sum()) <= d)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _compare(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iterator[pa.RecordBatch]:
     """a, b, link of each pair. With 32 of the hashes' 64 bits, link is null where their chance meetings might decide."""
     kind = "<u8" if bits == 64 else "<u4"
@@ -224,7 +245,7 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iter
 
 def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Size and fingerprint of each row's set, and how often each hash slot is met."""
-    names = ["_id", "_key", "print", "n", "slot", "times"]
+    names = ["_id", "_key", "print", "n", "sketch", "slot", "times"]
     times = np.zeros(SLOTS, dtype=np.int64)
     for batch in batches:
         for part, texts in by_bytes(batch.column("text"), BLOCK_BYTES):
@@ -232,9 +253,9 @@ def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             times += np.bincount(slot(s.all), minlength=SLOTS)
             size = part.stop - part.start
             own = [batch.column(c).slice(part.start, size) for c in ("_id", "_key")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(s.print), pa.array(s.size.astype(np.int64)), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(s.print), pa.array(s.size.astype(np.int64)), pa.array(s.sketches(), pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64())], names=names)
     at = np.flatnonzero(times)
-    none = [pa.nulls(len(at), pa.int64())] * 4
+    none = [*[pa.nulls(len(at), pa.int64())] * 4, pa.nulls(len(at), pa.binary())]
     yield pa.RecordBatch.from_arrays([*none, pa.array(at.astype(np.int32)), pa.array(times[at])], names=names)
 
 
@@ -243,8 +264,8 @@ class _Corpus:
 
     def __init__(self, rows: DataFrame, width: int, percent: int):
         self.rows, self.width, self.percent = rows, width, percent
-        seen = stored(rows.mapInArrow(lambda batches: _survey(batches, width), "_id long, _key long, print long, n long, slot int, times long"), "shingles")
-        self.sets = seen.where("slot is null").select("_id", "_key", "print", "n")
+        seen = stored(rows.mapInArrow(lambda batches: _survey(batches, width), "_id long, _key long, print long, n long, sketch binary, slot int, times long"), "shingles")
+        self.sets = seen.where("slot is null").select("_id", "_key", "print", "n", "sketch")
         times = np.zeros(SLOTS)
         sums = seen.where("slot is not null").groupBy("slot").agg(F.sum("times").alias("times")).toPandas()  # SLOTS rows at most
         times[sums["slot"].to_numpy(dtype=np.int64)] = sums["times"]
@@ -267,13 +288,23 @@ class _Corpus:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of different sets that are similar; checkpointed. Half of each hash decides nearly all, the whole hashes the rest."""
-        judged = self._judged(pairs, 32)
+        judged = self._judged(self._near(pairs), 32)
         unsure = cut(judged.where("link is null").select("a", "b"))
         links = judged.where("link").select("a", "b")
         if unsure.isEmpty():
             return links
         return cut(links.unionByName(self._judged(unsure, 64).where("link").select("a", "b")))
 
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sketches don't rule out that they are similar; checkpointed. Sketches are a small part of the sets."""
+        percent = self.percent
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
+        one = self.sets.join(wanted, "print").groupBy("print").agg(F.min(F.struct("n", "sketch")).alias("s")).select("print", "s.*")
+        for side in ("a", "b"):
+            pairs = pairs.join(one.select(F.col("print").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"set_{side}")), side)
+        columns = pairs.select("a", "b", "n_a", "n_b", "set_a", "set_b")
+        return cut(columns.mapInArrow(lambda batches: _not_ruled_out(batches, percent), "a long, b long"))
+
     def _judged(self, pairs: DataFrame, bits: int) -> DataFrame:
         width, percent = self.width, self.percent
         wanted = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print"))).distinct()
