@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossia.llm.common import read
+from dossia.llm.common import read, shared_dir
 
 def vocabulary(name: str) -> str:
     import public_tokenizers
@@ -91,13 +93,17 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dossia.llm.sharding import record_size, shard_rows
+    """Writes the shards of whole documents; the digests are taken from what was written."""
+    from dossia.llm.sharding import read_shards, record_size, write_shards
 
     docs = read(spark, sf_dir, "documents")
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(docs, path, shards=40)
+    written = read_shards(spark, path, docs.schema)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    rows = docs.select("doc_id", record_size(F.col("text")).alias("size"), crc.alias("text_crc32"))
-    placed = shard_rows(rows, shards=40)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return written.select(
+        "doc_id", record_size(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_toxicity, op4_exact_dedup, op5_link_graph, op6_jaccard, op7_topk, op8_packing, op9_substring_dedup, op10_sharding)}

@@ -1,3 +1,4 @@
+import glob
 import hashlib
 import math
 import random
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from dossia.llm import exact_dedup, packing, queries, sharding, topk, url_graph
+from dossia.llm.common import read, shared_dir
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -67,6 +69,26 @@ def test_shuffle_moves_rows_and_writes(spark, tmp_path):
     assert back.count() == 3000 and {r["count"] for r in back.groupBy("shard").count().collect()} == {750}
 
 
+def test_long_records_make_more_buckets(spark):
+    long = spark.range(600).withColumn("text", F.repeat(F.lit("x"), 100_000))  # 60 MB in 600 rows
+    placed = sharding.shuffled_order(long).select("id", "bucket", "position").collect()
+    assert sorted(r.position for r in placed) == sorted(r.id for r in placed) == list(range(600))
+    in_bucket = np.bincount([r.bucket for r in placed])
+    assert len(in_bucket) >= 4 and in_bucket.max() * 100_000 < 2 * sharding.BUCKET_BYTES
+
+
+def test_query_writes_whole_documents(spark, sf_dir):
+    before = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/shards-*"))
+    got = queries.op10_sharding(spark, sf_dir).collect()
+    (path,) = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/shards-*")) - before
+    docs = read(spark, sf_dir, "documents")
+    back = sharding.read_shards(spark, path, docs.schema)
+    assert len(glob.glob(f"{path}/shard=*")) == 40
+    assert back.select(docs.columns).exceptAll(docs).count() == 0 and back.count() == docs.count() == len(got)
+    placed = {(r.doc_id, r.shard, r.slot) for r in back.select("doc_id", "shard", "slot").collect()}
+    assert placed == {(r.doc_id, r.shard, r.slot) for r in got}
+
+
 # ---- links between hosts
 
 RULES = [url_graph.Rule(*r) for r in queries.RULES]
