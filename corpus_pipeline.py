@@ -44,8 +44,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents in sequences of 1024 tokens."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), keep_ids=False)
+    """Token ids of all documents and their places in sequences of 1024 tokens."""
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
 STAGES = [

@@ -161,9 +161,13 @@ def pack(parts: DataFrame, length: int = LENGTH, groups: int = 1, size_col: str
 def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS, keep_ids: bool = True) -> DataFrame:
     """Pieces of all documents with their ids, ids_crc32, sequence_id and offset (see ``pieces`` and ``pack``).
 
-    With ``keep_ids=False`` the ids stay behind after their checksum is taken, and only places are shuffled. Repeated rows are packed each;
-    an empty table gives an empty result.
+    Only places are packed; ids are joined to them afterwards by the number of their stored piece, so no task gathers a group's ids. With
+    ``keep_ids=False`` the ids stay behind after their checksum is taken. Repeated rows are packed each; an empty table gives an empty result.
     """
     cut_up = pieces(docs, path, length, end_id).withColumn("ids_crc32", F.crc32("ids"))
     groups = max(1, -(-docs.count() // group_docs))
-    return pack(cut_up if keep_ids else cut_up.drop("ids"), length, groups)
+    if not keep_ids:
+        return pack(cut_up.drop("ids"), length, groups)
+    numbered = stored(cut_up.withColumn("_number", F.monotonically_increasing_id()), "tokens")  # the stored number doesn't change any more
+    places = pack(numbered.drop("ids"), length, groups).select("_number", "sequence_id", "offset")
+    return numbered.join(places, "_number").drop("_number")

@@ -1,5 +1,7 @@
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from dossia.llm.common import read
 
@@ -22,3 +24,17 @@ def test_stages_follow_each_other(spark, sf_dir, tmp_path):
     assert out.agg(F.countDistinct("doc_id")).first()[0] == kept.count()
     full = out.groupBy("sequence_id").agg(F.sum("length").alias("n"))
     assert full.where("n > 1024").count() == 0
+
+
+def test_last_stage_holds_the_tokens(spark, sf_dir):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "a b c"), (2, "long text " * 3000), (2, "long text " * 3000), (3, None), (None, "x")]
+    out = corpus_pipeline.packed(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).toPandas()
+    assert (out.ids.map(len) == 4 * out.length).all()
+    for doc, text in {1: "a b c", 2: "long text " * 3000, 3: ""}.items():
+        want = [i.to_bytes(4, "little") for i in [*library.encode(text, add_special_tokens=False).ids, 2]]
+        held = out[out.doc_id == doc]
+        assert held.length.sum() == len(want) * sum(d == doc for d, _ in rows)
+        for r in held.itertuples():
+            assert bytes(r.ids) == b"".join(want[r.start : r.start + r.length])
+    assert not out.duplicated(["sequence_id", "offset"]).any()
