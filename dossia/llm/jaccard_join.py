@@ -1,16 +1,21 @@
 """Similarity join of documents by the Jaccard similarity of their word shingles, with PartEnum signatures.
 
-The domain of shingles is cut into partitions; subsets of partitions are enumerated, and a set's signature for a subset is its
-projection onto it. In each band of sizes there are so many partitions that sets which are similar enough differ in fewer
-subsets than either has, so they share a signature. Let two sets of a and b shingles with similarity t or more differ in at
-most D elements, and one element lie in c subsets: at most c * D of a set's signatures differ, so of its signatures in any order that
-all sets share the first c * D + 1 hold one that both have. The order takes signatures of rare shingles first, so that
-a passage which many documents hold brings no unrelated ones together. Sets with no more than c * D signatures that aren't
-empty also use single shingles as signatures. Pairs that share a signature are compared exactly.
+The domain of shingles is cut into partitions of two levels; subsets of two of the three parts of each first-level partition are
+enumerated, and a set's signature for a subset is its projection onto it. Let two sets of a and b shingles with similarity t
+or more differ in at most D elements. One of them spoils two of the subsets of its first-level partition, more spoil three: with n first-level
+partitions at most M = min(2 * D, n + D) of a set's signatures differ, so of its signatures in any order that all sets
+share the first M + 1 hold one that both have. The order takes signatures of rare shingles first, so that a passage which many
+documents hold brings few unrelated ones together. Sets with no more than M signatures that aren't empty also use single
+shingles as signatures.
+
+Sets that share a signature and are near in size are candidates. Where more than ``WINDOW`` sets are, they are met again by a second
+shared signature: single shingles, rarest first among such sets, at places that leave room for enough common ones. Small
+sketches rule out most candidates, and the rest are compared exactly.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,27 +26,24 @@ from pyspark.sql import functions as F
 
 from dossia.llm.common import cut, small, stored
 from dossia.operators.components import components
-from dossia.llm.wordhash import SLOTS, Words, by_bytes, mix, rare_first, runs, slot
+from dossia.llm.wordhash import Words, by_bytes, mix, rare_first, runs, slot
 
 SHINGLE = 5
 PERCENT = 75
 #: Bytes of text that a task handles at once, and of text per bucket of signatures.
 BLOCK_BYTES = 2_000_000
 BUCKET_BYTES = 8_000_000
-#: Sets with a signature in common are compared with the first one in order, and then with those that nothing has joined them to: in groups up to
-#: this size by pairs noted at once, in larger ones by ``_open_pairs``.
-GROUP = 8
-
-#: A band holds sizes from 4**j to 4**(j + 1). Up to SMALL_BANDS, where few shingles lie in a partition, each first-level partition has three
-#: parts of which two make a signature; above, one part.
+#: Hash slots in which shingles are counted, to tell rare ones from common ones.
+SLOTS = 1 << 18
+#: A set is a candidate of the sets that share a signature and aren't smaller, if so many of them or fewer are near in size; else all of these meet by a second signature.
+WINDOW = 16
+#: Members that meet the same set are dealt to so many tasks at most.
+SALTS = 64
+
+#: A band holds sizes from 4**j to 4**(j + 1), which share one partition of the domain: 4**j first-level partitions of three parts.
 BAND = 4
-SMALL_BANDS = 3
-
-
-def _shape(band: int) -> tuple[int, int, int]:
-    """First-level partitions, parts of each, and parts in a signature."""
-    top = BAND ** (band + 1)
-    return (max(1, -(-top // 4)), 3, 2) if band < SMALL_BANDS else (-(-top * 10 // 24), 1, 1)
+PARTS = 3
+SUBSETS = list(combinations(range(PARTS), 2))
 
 
 def _differ(a: np.ndarray, percent: int) -> np.ndarray:
@@ -73,12 +75,13 @@ class Shingles:
 
 
     def sketches(self) -> list[bytes]:
-        """For each text how many of its shingles fall into each of a power of two of cells, about a quarter of its size; 255 stands for more."""
-        cells = 1 << np.ceil(np.log2(np.maximum(self.size / 4, 8))).astype(np.int64)
-        ends = np.cumsum(cells)
-        at = (ends - cells)[self.text] + (self.hash & (cells[self.text] - 1).astype(np.uint64)).astype(np.int64)
-        counts = np.minimum(np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0), 255).astype(np.uint8).tobytes()
-        return [counts[e - c : e] for c, e in zip(cells.tolist(), ends.tolist(), strict=True)]
+        """For each text its size in eight bytes, then a power of two of bits, two to four for each shingle: whether an odd number of its shingles falls there."""
+        bits = 1 << np.ceil(np.log2(np.maximum(self.size * 2, 64))).astype(np.int64)
+        ends = np.cumsum(bits)
+        at = (ends - bits)[self.text] + (self.hash & (bits[self.text] - 1).astype(np.uint64)).astype(np.int64)
+        odd = np.packbits(np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0).astype(np.uint8) & 1, bitorder="little").tobytes()
+        sizes = self.size.astype("<u8").tobytes()
+        return [sizes[8 * n : 8 * n + 8] + odd[(e - c) // 8 : e // 8] for n, (c, e) in enumerate(zip(bits.tolist(), ends.tolist(), strict=True))]
 
 
 def _sequence(hashes: np.ndarray) -> int:
@@ -112,37 +115,33 @@ def _first(text: np.ndarray, sig: np.ndarray, order: np.ndarray, keep: np.ndarra
 def _of_band(sets: Shingles, members: np.ndarray, band: int, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(members):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    n1, parts, take = _shape(band)
+    n1 = BAND**band
     size = sets.size[members]
     number = np.repeat(np.arange(len(members)), size)
     at = np.repeat(sets.first[members] - (np.cumsum(size) - size), size) + np.arange(size.sum())
     h = sets.hash[at]
-    salt = np.uint64(band + 1)
-    cell = (mix(h + salt * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(n1 * parts)).astype(np.int64)
-    # Sum of hashes and rarest class in each cell that isn't empty.
-    key = number * (n1 * parts) + cell
+    salt = np.array([band + 1], dtype=np.uint64)
+    part = (mix(h + salt * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(n1 * PARTS)).astype(np.int64)
+    # Sum of hashes and rarest class of each part of each first-level partition that isn't empty.
+    key = number * (n1 * PARTS) + part
     order = np.argsort(key, kind="stable")
     start = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
     key, total = key[order][start], np.add.reduceat(mix(h ^ salt)[order], start)
-    rarest = np.minimum.reduceat(common[slot(h)][order], start)
-    text, cell = np.divmod(key, n1 * parts)
-    per_element = 1
-    if parts > 1:  # subsets of ``take`` of the parts of each first-level partition
-        first, part = np.divmod(key, parts)
-        group, at = np.unique(first, return_inverse=True)
-        sums, least = np.zeros((len(group), parts), np.uint64), np.full((len(group), parts), 255, np.uint8)
-        sums[at, part], least[at, part] = total, rarest
-        subsets = list(combinations(range(parts), take))
-        per_element = sum(0 in s for s in subsets)
-        kinds = [(sums[:, list(s)].sum(axis=1, dtype=np.uint64), least[:, list(s)].min(axis=1), k) for k, s in enumerate(subsets)]
-        text = np.concatenate([group // n1 for _ in kinds])
-        cell = np.concatenate([(group % n1) * len(subsets) + k for *_, k in kinds])
-        total, rarest = (np.concatenate([x[n] for x in kinds]) for n in (0, 1))
-        full = rarest < 255
-        text, cell, total, rarest = text[full], cell[full], total[full], rarest[full]
+    rarest = np.minimum.reduceat(common[slot(h, len(common))][order], start)
+    first, part = np.divmod(key, PARTS)
+    group, at = np.unique(first, return_inverse=True)
+    sums, least = np.zeros((len(group), PARTS), np.uint64), np.full((len(group), PARTS), 255, np.uint8)
+    sums[at, part], least[at, part] = total, rarest
+    text = np.concatenate([group // n1] * len(SUBSETS))
+    cell = np.concatenate([(group % n1) * len(SUBSETS) + k for k in range(len(SUBSETS))])
+    total = np.concatenate([sums[:, s].sum(axis=1, dtype=np.uint64) for s in map(list, SUBSETS)])
+    rarest = np.concatenate([least[:, s].min(axis=1) for s in map(list, SUBSETS)])
+    full = rarest < 255
+    text, cell, total, rarest = text[full], cell[full], total[full], rarest[full]
     sig = mix(total ^ mix(cell.astype(np.uint64) * np.uint64(64) + salt))
     rank = (rarest.astype(np.uint64) << np.uint64(58)) | (sig >> np.uint64(6))
-    most = _differ(size, percent) * per_element
+    differ = _differ(size, percent)
+    most = np.minimum(2 * differ, n1 + differ)
     text_a, sig_a = _first(text, sig, rank, most + 1)
     # Sets with too few signatures that aren't empty: single shingles too, of which at most a (100 - percent) / 100 differ.
     poor = np.bincount(text, minlength=len(members)) <= most
@@ -158,7 +157,7 @@ def _packets(sets: Shingles, percent: int, common: np.ndarray, buckets: int) ->
     rest = (sig // np.uint64(buckets)).astype("<u8")
     order = np.lexsort((text, bucket))
     text, bucket, rest = text[order], bucket[order], rest[order]
-    low = rest.view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits of each
+    low = rest.astype("<u4")  # 32 bits: sets that meet by chance are few beside a bucket's candidates
     cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         if lo < hi:
@@ -167,47 +166,56 @@ def _packets(sets: Shingles, percent: int, common: np.ndarray, buckets: int) ->
 
 
 def _candidates(table: pa.Table, percent: int) -> pa.Table:
-    """kind 0: pairs a, b to compare first; kind 2: pairs to compare if nothing has joined them by then; kind 1: group a of more than GROUP sets, of which b is one.
+    """kind 0: pairs a, b of candidates and how many signatures n they share here; kind 1: set a of n shingles, which is to meet others by a second signature.
 
-    The first pairs are a group's smallest set with each other one (a family of copies mostly has one smallest set), in large groups
-    also each set with the next one.
+    Of those sets, each is paired with the one of smallest fingerprint that shares the signature too: a family of copies mostly is linked by that.
     """
     prints, sizes, sigs = [], [], []
     for p, n, c, s in zip(*(table[k].to_pylist() for k in ("prints", "sizes", "counts", "sigs")), strict=True):
         count = np.frombuffer(c, "<i4")
         prints.append(np.repeat(np.frombuffer(p, "<i8"), count))
         sizes.append(np.repeat(np.frombuffer(n, "<i4"), count))
-        wide = np.zeros((len(s) // 6, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(s, np.uint8).reshape(-1, 6)
-        sigs.append(wide.view("<u8")[:, 0])
-    p, n, s = np.concatenate(prints), np.concatenate(sizes).astype(np.int64), np.concatenate(sigs)
-    order = np.lexsort((p, s))
-    p, n, s = p[order], n[order], s[order]
-    once = np.concatenate([[True], (s[1:] != s[:-1]) | (p[1:] != p[:-1])])
-    p, n, s = p[once], n[once], s[once]
+        sigs.append(np.frombuffer(s, "<u4"))
+    named, number = np.unique(np.concatenate(prints), return_inverse=True)
+    n, s = np.concatenate(sizes).astype(np.int64), np.concatenate(sigs)
+    del prints, sizes, sigs
+    order = np.lexsort((number, n, s))
+    number, n, s = number[order], n[order], s[order]
+    once = np.concatenate([[True], (s[1:] != s[:-1]) | (number[1:] != number[:-1])])
+    number, n, s = number[once], n[once], s[once]
     start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    length = np.diff(np.append(start, len(s)))
-    of = np.repeat(np.arange(len(start)), length)
-    place = np.arange(len(s)) - start[of]
-    pairs = {0: [], 2: []}
-
-    def pair(kind: int, i: np.ndarray, j: np.ndarray) -> None:
-        near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-        pairs[kind].append(np.rec.fromarrays([np.minimum(p[i], p[j])[near], np.maximum(p[i], p[j])[near]], names="a,b"))
-
-    large = length[of] > GROUP
-    others = np.flatnonzero(place > 0)
-    pair(0, start[of[others]], others)
-    after = np.flatnonzero(large & (place > 0) & (place + 1 < length[of]))
-    pair(0, after, after + 1)
-    for d in range(1, GROUP - 1):
-        i = np.flatnonzero(~large & (place > 0) & (place + d < length[of]))
-        pair(2, i, i + d)
-    first, later = (np.unique(np.concatenate(pairs[kind])) for kind in (0, 2))
-    group = mix(s[large] ^ np.uint64(table["bucket"][0].as_py() + 1)).view(np.int64)
-    kind = np.repeat(np.array([0, 2, 1], np.int32), [len(first), len(later), len(group)])
-    a, b = (np.concatenate([first[c], later[c], other]) for c, other in (("a", group), ("b", p[large])))
-    return pa.table({"kind": kind, "a": a, "b": b, "n": np.concatenate([np.zeros(len(first) + len(later), np.int64), n[large]])})
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(s))))
+    # Within a group sizes ascend: those near enough to i end before end[i].
+    room = int(n.max()) * 100 // percent + 2
+    end = np.searchsorted(group * room + n, group * room + n * 100 // percent, side="right")
+    ahead = end - np.arange(len(s)) - 1
+    crowded = ahead > WINDOW
+    codes = []
+
+    def pair(i: np.ndarray, j: np.ndarray) -> None:
+        a, b = number[i], number[j]
+        codes.append(np.minimum(a, b) * len(named) + np.maximum(a, b))
+
+    i = np.flatnonzero((ahead > 0) & ~crowded)
+    for d in range(1, WINDOW + 1):
+        i = i[ahead[i] >= d]
+        pair(i, i + d)
+    edge = np.bincount(np.flatnonzero(crowded), minlength=len(s) + 1) - np.bincount(end[crowded], minlength=len(s) + 1)
+    again = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    if len(again):
+        first = np.flatnonzero(np.concatenate([[True], np.diff(group[again]) != 0]))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(again))))
+        least = again[np.lexsort((number[again], group[again]))][first][of]
+        near = (100 * np.minimum(n[again], n[least]) >= percent * np.maximum(n[again], n[least])) & (number[again] != number[least])
+        pair(again[near], least[near])
+    code, times = np.unique(np.concatenate(codes), return_counts=True)
+    a, b = np.divmod(code, len(named))
+    many, where = np.unique(number[again], return_index=True)
+    kind = np.repeat(np.array([0, 1], np.int32), [len(code), len(many)])
+    return pa.table({
+        "kind": kind, "a": named[np.concatenate([a, many])], "b": np.concatenate([named[b], np.zeros(len(many), np.int64)]),
+        "n": np.concatenate([times, n[again][where]]),
+    })
 
 
 def _views(column: pa.Array, kind: str) -> Iterator[np.ndarray]:
@@ -218,45 +226,86 @@ def _views(column: pa.Array, kind: str) -> Iterator[np.ndarray]:
         yield np.frombuffer(data, kind, (b - a) // size, a) if b > a else np.empty(0, kind)
 
 
-def _not_ruled_out(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Sets differ in at least as many elements as their sketches' counts do; those of the larger sketch are folded onto the smaller one's cells."""
-    for batch in batches:
-        keep = []
-        most = (np.asarray(batch.column("n_a")) + np.asarray(batch.column("n_b"))) * (100 - percent) // (100 + percent)
-        for x, y, d in zip(_views(batch.column("set_a"), "u1"), _views(batch.column("set_b"), "u1"), most.tolist(), strict=True):
-            cells = min(len(x), len(y))
-            x, y = (z.reshape(-1, cells).sum(axis=0, dtype=np.int64) for z in (x, y))
-            keep.append(int(np.abs(x - y).sum()) <= d)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _classes(times: np.ndarray) -> np.ndarray:
+    """How common the shingles of each slot are: two steps for each doubling of their number."""
+    return np.minimum(np.floor(2 * np.log2(np.maximum(times, 1))), 63).astype(np.uint8)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """a, b, link of each pair. With 32 of the hashes' 64 bits, link is null where their chance meetings might decide."""
-    kind = "<u8" if bits == 64 else "<u4"
-    for batch in batches:
-        links = []
-        for x, y in zip(_views(batch.column("set_a"), kind), _views(batch.column("set_b"), kind), strict=True):
-            shared = len(np.intersect1d(x, y, assume_unique=bits == 64))
-            spare = 0 if bits == 64 else 3 + -(-8 * len(x) * len(y) // 2**32)
-            enough = [100 * k >= percent * (len(x) + len(y) - k) for k in (shared - spare, shared + spare)]
-            links.append(enough[0] if enough[0] == enough[1] else None)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(links, pa.bool_())], names=["a", "b", "link"])
+def _slot_rows(times: np.ndarray, nulls: list[pa.DataType]) -> list[pa.Array]:
+    """Columns that are null in rows of slots, then the slots met and how often."""
+    at = np.flatnonzero(times)
+    return [*[pa.nulls(len(at), t) for t in nulls], pa.array(at.astype(np.int32)), pa.array(times[at])]
+
+
+def _collected(rows: DataFrame) -> np.ndarray:
+    """Sums of ``times`` by ``slot``: SLOTS rows at most."""
+    times = np.zeros(SLOTS)
+    sums = rows.groupBy("slot").agg(F.sum("times").alias("times")).toPandas()
+    times[sums["slot"].to_numpy(dtype=np.int64)] = sums["times"]
+    return times
 
 
 def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Size and fingerprint of each row's set, and how often each hash slot is met."""
+    """Size, fingerprint and sketch of each row's set, and how often each hash slot is met."""
     names = ["_id", "_key", "print", "n", "sketch", "slot", "times"]
     times = np.zeros(SLOTS, dtype=np.int64)
     for batch in batches:
         for part, texts in by_bytes(batch.column("text"), BLOCK_BYTES):
             s = Shingles(texts, width)
-            times += np.bincount(slot(s.all), minlength=SLOTS)
+            times += np.bincount(slot(s.all, SLOTS), minlength=SLOTS)
             size = part.stop - part.start
             own = [batch.column(c).slice(part.start, size) for c in ("_id", "_key")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(s.print), pa.array(s.size.astype(np.int64)), pa.array(s.sketches(), pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64())], names=names)
-    at = np.flatnonzero(times)
-    none = [*[pa.nulls(len(at), pa.int64())] * 4, pa.nulls(len(at), pa.binary())]
-    yield pa.RecordBatch.from_arrays([*none, pa.array(at.astype(np.int32)), pa.array(times[at])], names=names)
+    yield pa.RecordBatch.from_arrays(_slot_rows(times, [*[pa.int64()] * 4, pa.binary()]), names=names)
+
+
+def _meeting(pairs: DataFrame, data: DataFrame) -> DataFrame:
+    """For each a its value (b is null), then the values of the b that it meets, next to each other in one task.
+
+    data: print, value, one row for each print. An a that meets many is copied to SALTS tasks at most, and its pairs are dealt to them.
+    """
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt")
+    pairs = pairs.select("a", "b", salt)
+    firsts = pairs.select("a", "salt").distinct().join(data, F.col("a") == F.col("print")).select("a", "salt", F.lit(None).cast("long").alias("b"), "value")
+    others = pairs.join(data, F.col("b") == F.col("print")).select("a", "salt", "b", "value")
+    return firsts.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b")).select("a", "b", "value")
+
+
+def _met(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[pa.RecordBatch, list[int], list[tuple[np.ndarray, np.ndarray]]]]:
+    """Of each batch of ``_meeting`` the rows that are pairs, with both values as numbers."""
+    first = np.empty(0, kind)
+    for batch in batches:
+        at, values = [], []
+        for k, (b, value) in enumerate(zip(batch.column("b").to_pylist(), _views(batch.column("value"), kind), strict=True)):
+            if b is None:
+                first = value.copy()
+            else:
+                at.append(k)
+                values.append((first, value))
+        yield batch.select(["a", "b"]).take(pa.array(at, pa.int32())), values
+
+
+def _not_ruled_out(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that may be similar. Values are sketches: sets differ in at least as many elements as their sketches in bits; the larger sketch is folded onto the smaller one."""
+    for pairs, values in _met(batches, "<u8"):
+        keep = []
+        for x, y in values:
+            bits = min(len(x), len(y)) - 1
+            p, q = (np.bitwise_xor.reduce(z[1:].reshape(-1, bits), axis=0) for z in (x, y))
+            keep.append(int(np.bitwise_count(p ^ q).sum()) <= int(x[0] + y[0]) * (100 - percent) // (100 + percent))
+        yield pairs.filter(pa.array(keep, pa.bool_()))
+
+
+def _compare(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """a, b, link of each pair. With 32 of the hashes' 64 bits, link is null where their chance meetings might decide."""
+    for pairs, values in _met(batches, "<u8" if bits == 64 else "<u4"):
+        links = []
+        for x, y in values:
+            shared = len(np.intersect1d(x, y, assume_unique=bits == 64))
+            spare = 0 if bits == 64 else 3 + -(-8 * len(x) * len(y) // 2**32)
+            enough = [100 * k >= percent * (len(x) + len(y) - k) for k in (shared - spare, shared + spare)]
+            links.append(enough[0] if enough[0] == enough[1] else None)
+        yield pa.RecordBatch.from_arrays([*pairs.columns, pa.array(links, pa.bool_())], names=["a", "b", "link"])
 
 
 class _Corpus:
@@ -266,11 +315,10 @@ class _Corpus:
         self.rows, self.width, self.percent = rows, width, percent
         seen = stored(rows.mapInArrow(lambda batches: _survey(batches, width), "_id long, _key long, print long, n long, sketch binary, slot int, times long"), "shingles")
         self.sets = seen.where("slot is null").select("_id", "_key", "print", "n", "sketch")
-        times = np.zeros(SLOTS)
-        sums = seen.where("slot is not null").groupBy("slot").agg(F.sum("times").alias("times")).toPandas()  # SLOTS rows at most
-        times[sums["slot"].to_numpy(dtype=np.int64)] = sums["times"]
-        common = np.clip(np.floor(np.log2(np.maximum(times, 1) / max(times.mean(), 1.0))), 0, 30).astype(np.uint8)
-        self.common = rows.sparkSession.sparkContext.broadcast(common)
+        self.common = rows.sparkSession.sparkContext.broadcast(_classes(_collected(seen.where("slot is not null"))))
+        # One row of the table for each set that isn't empty, how many rows have it, and their least id.
+        one = self.sets.where("n > 0").groupBy("print").agg(F.min(F.struct("_id", "_key", "n", "sketch")).alias("row"), F.count("*").alias("times"), F.min("_id").alias("least"))
+        self.one = stored(one.select("print", "row.*", "times", "least"), "sets")
 
     def candidates(self, buckets: int) -> DataFrame:
         width, percent, common = self.width, self.percent, self.common
@@ -286,70 +334,102 @@ class _Corpus:
         packets = self.rows.select("text").mapInArrow(send, "bucket int, prints binary, sizes binary, counts binary, sigs binary")
         return stored(packets.groupBy("bucket").applyInArrow(lambda t: _candidates(t, percent), "kind int, a long, b long, n long"), "candidates")
 
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sketches don't rule out that they are similar; checkpointed. Sketches are a small part of the sets."""
+        percent = self.percent
+        met = _meeting(pairs, self.one.select("print", F.col("sketch").alias("value")))
+        return cut(met.mapInArrow(lambda batches: _not_ruled_out(batches, percent), "a long, b long"))
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of different sets that are similar; checkpointed. Half of each hash decides nearly all, the whole hashes the rest."""
-        judged = self._judged(self._near(pairs), 32)
+        judged = self._judged(pairs, 32)
         unsure = cut(judged.where("link is null").select("a", "b"))
         links = judged.where("link").select("a", "b")
         if unsure.isEmpty():
             return links
         return cut(links.unionByName(self._judged(unsure, 64).where("link").select("a", "b")))
 
-    def _near(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose sketches don't rule out that they are similar; checkpointed. Sketches are a small part of the sets."""
-        percent = self.percent
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
-        one = self.sets.join(wanted, "print").groupBy("print").agg(F.min(F.struct("n", "sketch")).alias("s")).select("print", "s.*")
-        for side in ("a", "b"):
-            pairs = pairs.join(one.select(F.col("print").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"set_{side}")), side)
-        columns = pairs.select("a", "b", "n_a", "n_b", "set_a", "set_b")
-        return cut(columns.mapInArrow(lambda batches: _not_ruled_out(batches, percent), "a long, b long"))
-
     def _judged(self, pairs: DataFrame, bits: int) -> DataFrame:
-        width, percent = self.width, self.percent
+        percent = self.percent
         wanted = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print"))).distinct()
-        # One row of the table for each set.
-        one = self.sets.join(wanted, "print").groupBy("print").agg(F.min(F.struct("_id", "_key")).alias("row")).select("print", "row.*")
-        one = small(cut(one)).withColumnsRenamed({"_id": "_i", "_key": "_k"})
-        rows = self.rows.join(one, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i"))).select("print", "text")
+        met = _meeting(pairs, self._whole(wanted, bits))
+        return cut(met.mapInArrow(lambda batches: _compare(batches, percent, bits), "a long, b long, link boolean"))
+
+    def _whole(self, wanted: DataFrame, bits: int) -> DataFrame:
+        """print and value (the sorted hashes, or their upper halves) of the sets wanted, read again from one row each."""
+        width = self.width
+        one = small(cut(self.one.join(wanted, "print", "left_semi").select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), F.col("print").alias("_p"))))
+        rows = self.rows.join(one, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i"))).select("_p", "text")
+        # A row that the table repeats gives its set once.
+        rows = rows.dropDuplicates(["_p"]) if self.repeats else rows
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sent: set[int] = set()  # a row that the table repeats gives its set once in a task
             for batch in batches:
                 for part, texts in by_bytes(batch.column("text"), BLOCK_BYTES):
-                    prints = batch.column("print").slice(part.start, part.stop - part.start).to_pylist()
-                    new = [n for n, p in enumerate(prints) if not (p in sent or sent.add(p))]
-                    s = Shingles([texts[n] for n in new], width)
+                    s = Shingles(texts, width)
                     h = s.hash.astype("<u8") if bits == 64 else (s.hash >> np.uint64(32)).astype("<u4")
                     packed = [h[f : f + n].tobytes() for f, n in zip(s.first.tolist(), s.size.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([prints[n] for n in new], pa.int64()), pa.array(packed, pa.binary())], names=["print", "set"])
+                    yield pa.RecordBatch.from_arrays([batch.column("_p").slice(part.start, part.stop - part.start), pa.array(packed, pa.binary())], names=["print", "value"])
 
-        sets = rows.mapInArrow(read, "print long, set binary")  # both joins use one shuffle of it
-        joined = pairs.join(sets.select(F.col("print").alias("a"), F.col("set").alias("set_a")), "a")
-        joined = joined.join(sets.select(F.col("print").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-        return cut(joined.mapInArrow(lambda batches: _compare(batches, percent, bits), "a long, b long, link boolean"))
+        return rows.mapInArrow(read, "print long, value binary")
 
+    @functools.cached_property
+    def repeats(self) -> bool:
+        """Whether some row's id and text are met again."""
+        return not self.sets.where("n > 0").groupBy("_id", "_key").agg(F.count("*").alias("times")).where("times > 1").isEmpty()
 
-def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs whose sets aren't in one component."""
-    of = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    def second(self, many: DataFrame) -> DataFrame:
+        """Pairs of sets of ``many`` (print, n, component) that aren't in one component and have a rare shingle in common; not yet compared.
 
+        Similar sets share at least s = percent * (n + m) / (100 + percent) shingles, so the first one that they share, in an order common to all, has
+        at least s - 1 after it in both: it's among the first n * (100 - percent) / 100 + 1. Shingles that few of these sets have come first.
+        """
+        percent = self.percent
+        held = stored(self._whole(many.select("print"), 64).join(many, "print"), "crowded")
 
-def _open_pairs(groups: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs of large groups that nothing has joined yet.
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            times = np.zeros(SLOTS, dtype=np.int64)
+            for batch in batches:
+                for h in _views(batch.column("value"), "<u8"):
+                    times += np.bincount(slot(h, SLOTS), minlength=SLOTS)
+            yield pa.RecordBatch.from_arrays(_slot_rows(times, []), names=["slot", "times"])
+
+        common = held.sparkSession.sparkContext.broadcast(_classes(_collected(held.select("value").mapInArrow(count, "slot int, times long"))))
+
+        def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shingles = []
+                for h in _views(batch.column("value"), "<u8"):
+                    shingles.append(h[np.argsort(rare_first(h, common.value))][: len(h) * (100 - percent) // 100 + 1].view(np.int64))
+                own = pa.array(np.repeat(np.arange(len(shingles)), [len(h) for h in shingles]))
+                place = pa.array(np.concatenate([np.arange(len(h)) for h in shingles]) if shingles else np.zeros(0, np.int64))
+                columns = [pa.array(np.concatenate(shingles) if shingles else np.zeros(0, np.int64)), *(batch.column(c).take(own) for c in ("print", "n", "component")), place]
+                yield pa.RecordBatch.from_arrays(columns, names=["shingle", "print", "n", "component", "place"])
+
+        firsts = stored(held.mapInArrow(rarest, "shingle long, print long, n long, component long, place long"), "rarest")
+        # Of each shingle's sets, those outside their largest component meet those of other components.
+        parts = firsts.groupBy("shingle", "component").agg(F.count("*").alias("size"))
+        main = parts.groupBy("shingle").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        members = cut(firsts.join(small(cut(main.select("shingle", "main"))), "shingle"))
+        others = members.where("component <> main").select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("print", "n", "component", "place")))
+        each_once = (F.col("component") == F.col("main")) | (F.col("print") < F.col("print_2"))
+        room = F.least(F.col("n") - F.col("place"), F.col("n_2") - F.col("place_2"))
+        similar = room * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent
+        met = members.join(others, "shingle").where(each_once & similar & (F.col("component") != F.col("component_2")))
+        return met.select(F.least("print", "print_2").alias("a"), F.greatest("print", "print_2").alias("b")).distinct()
+
+
+def _with_component(prints: DataFrame, joined: DataFrame, of: str, name: str) -> DataFrame:
+    """prints with the component of the set in column ``of``; a set that nothing has joined is its own."""
+    joined = joined.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    return prints.join(joined, F.col(of) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", of)).drop("_node", "_component")
 
-    In a group whose sets aren't all in one component, those outside its largest component meet all those of other components.
-    """
-    members = groups.join(joined, groups["print"] == joined["node"], "left").select("group", "print", "n", F.coalesce("component", "print").alias("component"))
-    sizes = members.groupBy("group", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("group").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    members = cut(members.join(main, "group"))
-    rest = members.where("component <> main").select("group", F.col("print").alias("p"), F.col("n").alias("m"), F.col("component").alias("c"))
-    near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    met = members.join(rest, "group").where(near & (F.col("component") != F.col("c")))
-    return met.select(F.least("print", "p").alias("a"), F.greatest("print", "p").alias("b"))
+
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs whose sets aren't in one component."""
+    for side in ("a", "b"):
+        pairs = _with_component(pairs, joined, side, f"of_{side}")
+    return pairs.where("of_a <> of_b").select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -365,23 +445,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     corpus = _Corpus(rows, width, percent)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     found = corpus.candidates(max(1, -(-total // bucket_bytes)))
-    pairs = cut(found.where("kind = 0").select("a", "b").distinct())
-    links = corpus.links(pairs)
+    pairs = cut(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    near = cut(corpus.near(pairs).join(pairs, ["a", "b"]))
+    # First each set meets the one with which it shares most signatures, then what that hasn't joined.
+    best = cut(near.groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select("a", "b"))
+    links = corpus.links(best)
     joined = cut(components(links))
-    apart = _apart(found.where("kind = 2").select("a", "b").distinct(), joined)
-    groups = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("print"), "n")
-    more = cut(apart.unionByName(_open_pairs(groups, joined, percent)).distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        joined = cut(components(links.unionByName(corpus.links(more))))
-    sets = corpus.sets.where("n > 0").join(joined, F.col("print") == F.col("node"), "left").select("_id", "n", F.coalesce("component", "print").alias("root"))
-    least = sets.groupBy("root").agg(F.min("_id").alias("component_id"))
-    linked = sets.join(least, "root").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    empty = corpus.sets.where("n = 0").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"))
-    return linked.unionByName(empty)
+    rest = _apart(near.select("a", "b").join(best, ["a", "b"], "left_anti"), joined)
+    many = cut(_with_component(found.where("kind = 1").select(F.col("a").alias("print"), "n").distinct(), joined, "print", "component"))
+    if not many.isEmpty():
+        again = cut(corpus.second(many).join(pairs, ["a", "b"], "left_anti"))
+        rest = rest.unionByName(corpus.near(again))
+    rest = cut(rest)
+    if not rest.isEmpty():
+        joined = cut(components(links.unionByName(corpus.links(rest))))
+    # The least id of each component, for the sets that more than one row has or something has joined.
+    of_set = _with_component(corpus.one.select("print", "times", "least"), joined, "print", "root")
+    roots = of_set.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("times").alias("rows")).where("rows > 1")
+    known = small(cut(of_set.join(small(cut(roots)), "root").select("print", "component_id", F.lit(True).alias("known"))))
+    done = corpus.sets.join(known, "print", "left")
+    component = F.when(F.col("known") & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("_id"))
+    return done.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component; rows without an id stay. Ids name documents: rows that share one go together."""
+    """The rows of docs whose id is the smallest of their component; rows without an id stay. Ids name documents: rows that share one go together.
+
+    Texts without words stay, as do repeated rows of an id that stays; columns of docs come along whatever their names; an empty table gives an empty result.
+    """
     found = jaccard_components(docs.select(id_col, text_col), id_col, text_col, width, percent)
     losers = small(cut(found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_loser")).distinct()))
     return docs.join(losers, F.col(id_col) == F.col("_loser"), "left_anti")

@@ -72,8 +72,9 @@ def by_bytes(column: pa.Array, most: int) -> Iterator[tuple[slice, list[bytes]]]
             start, total = n + 1, 0
 
 
-def slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(48)).astype(np.int64)
+def slot(hashes: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """The slot of each hash by its highest bits; ``slots`` is a power of two."""
+    return (hashes >> np.uint64(65 - slots.bit_length())).astype(np.int64)
 
 
 def commonness(texts: DataFrame, hashes_of: Callable[[list[bytes]], np.ndarray], block: int) -> np.ndarray:
@@ -98,4 +99,4 @@ def commonness(texts: DataFrame, hashes_of: Callable[[list[bytes]], np.ndarray],
 
 def rare_first(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     """A total order of hashes: rare runs of words before common ones, else by hash."""
-    return (common[slot(hashes)].astype(np.uint64) << np.uint64(58)) | (mix(hashes ^ _ODD) >> np.uint64(6))
+    return (common[slot(hashes, len(common))].astype(np.uint64) << np.uint64(58)) | (mix(hashes ^ _ODD) >> np.uint64(6))

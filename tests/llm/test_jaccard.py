@@ -94,3 +94,39 @@ def test_large_group_and_empty_table(spark):
         rows.append((n, " ".join(t), None))
     assert run(spark, rows) == brute(rows, 5, 75)
     assert run(spark, []) == []
+
+
+def test_noisy_copies_and_a_common_passage(spark):
+    """Groups of far more than a window's sets, in which some are linked, some nearly so and most not at all."""
+    rng = random.Random(5)
+    word = lambda: "w" + str(rng.randint(0, 10**6))
+    base, passage = [word() for _ in range(110)], [word() for _ in range(70)]
+    rows = []
+    for n in range(260):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 8, 10])):
+            t[rng.randrange(len(t))] = word()
+        rows.append((n, " ".join(t), "a"))
+    for n in range(260, 420):
+        rows.append((n, " ".join([word() for _ in range(rng.randint(8, 60))] + passage), "b"))
+    rows += [(500 + n, rows[3][1], "c") for n in range(60)]
+    rng.shuffle(rows)
+    assert run(spark, rows) == brute(rows, 5, 75)
+    assert run(spark, rows, bucket_bytes=20_000) == brute(rows, 5, 75)
+
+
+def test_pairs_of_crowded_groups_stay_few(spark):
+    """Sets that share a passage with 300 others, and little else, give no pairs to compare."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    word = lambda: "w" + str(rng.randint(0, 10**9))
+    passage = [word() for _ in range(90)]
+    rows = [(n, " ".join([word() for _ in range(45)] + passage), "") for n in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text")
+    corpus = jaccard_join._Corpus(docs, 5, 75)
+    found = corpus.candidates(2)
+    many = found.where("kind = 1").select(F.col("a").alias("print"), "n").distinct().withColumn("component", F.col("print"))
+    assert many.count() > 200
+    assert corpus.second(many).count() < 300
+    assert found.where("kind = 0").count() < 300 * 2 * jaccard_join.WINDOW
