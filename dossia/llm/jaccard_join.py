@@ -16,6 +16,7 @@ sketches rule out most candidates, and the rest are compared exactly.
 from __future__ import annotations
 
 import functools
+import operator
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,11 +31,15 @@ from dossia.llm.wordhash import Words, by_bytes, mix, rare_first, runs, slot
 
 SHINGLE = 5
 PERCENT = 75
-#: Bytes of text that a task handles at once, and of text per bucket of signatures.
+#: Bytes of text that a task handles at once, and of text per bucket of signatures, whose signatures are met in so many parts one after another.
 BLOCK_BYTES = 2_000_000
-BUCKET_BYTES = 8_000_000
-#: Hash slots in which shingles are counted, to tell rare ones from common ones.
+BUCKET_BYTES = 32_000_000
+BUCKET_PARTS = 4
+#: Hash slots in which all shingles, and those of crowded sets, are counted, to tell rare ones from common ones.
 SLOTS = 1 << 18
+SECOND_SLOTS = 1 << 20
+#: Numbers of 64 bits in the sketch that the second signatures carry.
+SKETCH = 8
 #: A set is a candidate of the sets that share a signature and aren't smaller, if so many of them or fewer are near in size; else all of these meet by a second signature.
 WINDOW = 16
 #: Members that meet the same set are dealt to so many tasks at most.
@@ -151,40 +156,62 @@ def _of_band(sets: Shingles, members: np.ndarray, band: int, percent: int, commo
 
 
 def _packets(sets: Shingles, percent: int, common: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """bucket, fingerprints, sizes, numbers of signatures and signatures, packed; a set that several texts have is sent once."""
+    """bucket, fingerprints, sizes and signatures, packed; a set that several texts have is sent once.
+
+    Of each signature 31 bits are sent (sets that meet by chance are few beside a bucket's candidates), and one that marks the first one of a set.
+    """
     text, sig = signatures(sets, np.unique(sets.print, return_index=True)[1], percent, common)
     bucket = (sig % np.uint64(buckets)).astype(np.int64)
-    rest = (sig // np.uint64(buckets)).astype("<u8")
     order = np.lexsort((text, bucket))
-    text, bucket, rest = text[order], bucket[order], rest[order]
-    low = rest.astype("<u4")  # 32 bits: sets that meet by chance are few beside a bucket's candidates
+    text, bucket, rest = text[order], bucket[order], (sig // np.uint64(buckets))[order].astype("<u4")
+    new = np.ones(len(text), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (bucket[1:] != bucket[:-1])
+    rest = (rest << np.uint32(1)) | new
     cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         if lo < hi:
-            named, count = np.unique(text[lo:hi], return_counts=True)
-            yield int(bucket[lo]), sets.print[named].astype("<i8").tobytes(), sets.size[named].astype("<i4").tobytes(), count.astype("<i4").tobytes(), low[lo:hi].tobytes()
+            named = text[lo:hi][new[lo:hi]]
+            yield int(bucket[lo]), sets.print[named].astype("<i8").tobytes(), sets.size[named].astype("<i4").tobytes(), rest[lo:hi].tobytes()
 
 
 def _candidates(table: pa.Table, percent: int) -> pa.Table:
-    """kind 0: pairs a, b of candidates and how many signatures n they share here; kind 1: set a of n shingles, which is to meet others by a second signature.
+    """kind 0: pairs a, b of candidates and how many signatures n they share here; kind 1: set a of n shingles, which is to meet others by a second signature."""
+    named, number = np.unique(np.frombuffer(b"".join(table["prints"].to_pylist()), "<i8"), return_inverse=True)
+    size = np.zeros(len(named), np.int64)
+    size[number] = np.frombuffer(b"".join(table["sizes"].to_pylist()), "<i4")
+    sigs = np.frombuffer(b"".join(table["sigs"].to_pylist()), "<u4")
+    number = number.astype(np.int32)[np.cumsum(sigs & np.uint32(1), dtype=np.int32) - 1]
+    sigs = sigs >> np.uint32(1)
+    codes, times, many = [], [], []
+    for part in range(BUCKET_PARTS):
+        at = np.flatnonzero(sigs % np.uint32(BUCKET_PARTS) == part)
+        if len(at):
+            code, crowded = _candidates_of(sigs[at], number[at], size, percent)
+            code, n = np.unique(code, return_counts=True)
+            codes.append(code)
+            times.append(n)
+            many.append(crowded)
+    code, at = np.unique(np.concatenate(codes), return_inverse=True)
+    a, b = np.divmod(code, len(named))
+    many = np.unique(np.concatenate(many))
+    return pa.table({
+        "kind": np.repeat(np.array([0, 1], np.int32), [len(code), len(many)]), "a": named[np.concatenate([a, many])],
+        "b": np.concatenate([named[b], np.zeros(len(many), np.int64)]), "n": np.concatenate([np.bincount(at, np.concatenate(times), len(code)).astype(np.int64), size[many]]),
+    })
+
+
+def _candidates_of(s: np.ndarray, number: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each signature s of set ``number`` the pairs of candidates (smaller number times the number of sets, plus the larger one), and the sets in crowds.
 
     Of those sets, each is paired with the one of smallest fingerprint that shares the signature too: a family of copies mostly is linked by that.
     """
-    prints, sizes, sigs = [], [], []
-    for p, n, c, s in zip(*(table[k].to_pylist() for k in ("prints", "sizes", "counts", "sigs")), strict=True):
-        count = np.frombuffer(c, "<i4")
-        prints.append(np.repeat(np.frombuffer(p, "<i8"), count))
-        sizes.append(np.repeat(np.frombuffer(n, "<i4"), count))
-        sigs.append(np.frombuffer(s, "<u4"))
-    named, number = np.unique(np.concatenate(prints), return_inverse=True)
-    n, s = np.concatenate(sizes).astype(np.int64), np.concatenate(sigs)
-    del prints, sizes, sigs
-    order = np.lexsort((number, n, s))
-    number, n, s = number[order], n[order], s[order]
-    once = np.concatenate([[True], (s[1:] != s[:-1]) | (number[1:] != number[:-1])])
-    number, n, s = number[once], n[once], s[once]
-    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(s))))
+    order = np.lexsort((number, size[number], s))
+    number, s = number[order], s[order]
+    once = np.ones(len(s), dtype=bool)
+    once[1:] = (s[1:] != s[:-1]) | (number[1:] != number[:-1])
+    number, s = number[once].astype(np.int64), s[once]
+    n = size[number]
+    group = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]]))
     # Within a group sizes ascend: those near enough to i end before end[i].
     room = int(n.max()) * 100 // percent + 2
     end = np.searchsorted(group * room + n, group * room + n * 100 // percent, side="right")
@@ -194,7 +221,7 @@ def _candidates(table: pa.Table, percent: int) -> pa.Table:
 
     def pair(i: np.ndarray, j: np.ndarray) -> None:
         a, b = number[i], number[j]
-        codes.append(np.minimum(a, b) * len(named) + np.maximum(a, b))
+        codes.append(np.minimum(a, b) * len(size) + np.maximum(a, b))
 
     i = np.flatnonzero((ahead > 0) & ~crowded)
     for d in range(1, WINDOW + 1):
@@ -208,14 +235,7 @@ def _candidates(table: pa.Table, percent: int) -> pa.Table:
         least = again[np.lexsort((number[again], group[again]))][first][of]
         near = (100 * np.minimum(n[again], n[least]) >= percent * np.maximum(n[again], n[least])) & (number[again] != number[least])
         pair(again[near], least[near])
-    code, times = np.unique(np.concatenate(codes), return_counts=True)
-    a, b = np.divmod(code, len(named))
-    many, where = np.unique(number[again], return_index=True)
-    kind = np.repeat(np.array([0, 1], np.int32), [len(code), len(many)])
-    return pa.table({
-        "kind": kind, "a": named[np.concatenate([a, many])], "b": np.concatenate([named[b], np.zeros(len(many), np.int64)]),
-        "n": np.concatenate([times, n[again][where]]),
-    })
+    return np.concatenate(codes), number[again]
 
 
 def _views(column: pa.Array, kind: str) -> Iterator[np.ndarray]:
@@ -237,9 +257,9 @@ def _slot_rows(times: np.ndarray, nulls: list[pa.DataType]) -> list[pa.Array]:
     return [*[pa.nulls(len(at), t) for t in nulls], pa.array(at.astype(np.int32)), pa.array(times[at])]
 
 
-def _collected(rows: DataFrame) -> np.ndarray:
-    """Sums of ``times`` by ``slot``: SLOTS rows at most."""
-    times = np.zeros(SLOTS)
+def _collected(rows: DataFrame, slots: int) -> np.ndarray:
+    """Sums of ``times`` by ``slot``: as many rows as slots at most."""
+    times = np.zeros(slots)
     sums = rows.groupBy("slot").agg(F.sum("times").alias("times")).toPandas()
     times[sums["slot"].to_numpy(dtype=np.int64)] = sums["times"]
     return times
@@ -315,7 +335,7 @@ class _Corpus:
         self.rows, self.width, self.percent = rows, width, percent
         seen = stored(rows.mapInArrow(lambda batches: _survey(batches, width), "_id long, _key long, print long, n long, sketch binary, slot int, times long"), "shingles")
         self.sets = seen.where("slot is null").select("_id", "_key", "print", "n", "sketch")
-        self.common = rows.sparkSession.sparkContext.broadcast(_classes(_collected(seen.where("slot is not null"))))
+        self.common = rows.sparkSession.sparkContext.broadcast(_classes(_collected(seen.where("slot is not null"), SLOTS)))
         # One row of the table for each set that isn't empty, how many rows have it, and their least id.
         one = self.sets.where("n > 0").groupBy("print").agg(F.min(F.struct("_id", "_key", "n", "sketch")).alias("row"), F.count("*").alias("times"), F.min("_id").alias("least"))
         self.one = stored(one.select("print", "row.*", "times", "least"), "sets")
@@ -328,10 +348,10 @@ class _Corpus:
                 for _, texts in by_bytes(batch.column("text"), BLOCK_BYTES):
                     sent = list(_packets(Shingles(texts, width), percent, common.value, buckets))
                     if sent:
-                        types = [pa.int32(), *[pa.binary()] * 4]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sent, strict=True), types, strict=True)], names=["bucket", "prints", "sizes", "counts", "sigs"])
+                        types = [pa.int32(), *[pa.binary()] * 3]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sent, strict=True), types, strict=True)], names=["bucket", "prints", "sizes", "sigs"])
 
-        packets = self.rows.select("text").mapInArrow(send, "bucket int, prints binary, sizes binary, counts binary, sigs binary")
+        packets = self.rows.select("text").mapInArrow(send, "bucket int, prints binary, sizes binary, sigs binary")
         return stored(packets.groupBy("bucket").applyInArrow(lambda t: _candidates(t, percent), "kind int, a long, b long, n long"), "candidates")
 
     def near(self, pairs: DataFrame) -> DataFrame:
@@ -388,33 +408,42 @@ class _Corpus:
         held = stored(self._whole(many.select("print"), 64).join(many, "print"), "crowded")
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            times = np.zeros(SLOTS, dtype=np.int64)
+            times = np.zeros(SECOND_SLOTS, dtype=np.int64)
             for batch in batches:
                 for h in _views(batch.column("value"), "<u8"):
-                    times += np.bincount(slot(h, SLOTS), minlength=SLOTS)
+                    times += np.bincount(slot(h, SECOND_SLOTS), minlength=SECOND_SLOTS)
             yield pa.RecordBatch.from_arrays(_slot_rows(times, []), names=["slot", "times"])
 
-        common = held.sparkSession.sparkContext.broadcast(_classes(_collected(held.select("value").mapInArrow(count, "slot int, times long"))))
+        times = _collected(held.select("value").mapInArrow(count, "slot int, times long"), SECOND_SLOTS)
+        common = held.sparkSession.sparkContext.broadcast(_classes(times))
+        words = [f"s{k}" for k in range(SKETCH)]
 
         def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                shingles = []
+                shingles, odd = [], []
                 for h in _views(batch.column("value"), "<u8"):
                     shingles.append(h[np.argsort(rare_first(h, common.value))][: len(h) * (100 - percent) // 100 + 1].view(np.int64))
-                own = pa.array(np.repeat(np.arange(len(shingles)), [len(h) for h in shingles]))
-                place = pa.array(np.concatenate([np.arange(len(h)) for h in shingles]) if shingles else np.zeros(0, np.int64))
-                columns = [pa.array(np.concatenate(shingles) if shingles else np.zeros(0, np.int64)), *(batch.column(c).take(own) for c in ("print", "n", "component")), place]
-                yield pa.RecordBatch.from_arrays(columns, names=["shingle", "print", "n", "component", "place"])
-
-        firsts = stored(held.mapInArrow(rarest, "shingle long, print long, n long, component long, place long"), "rarest")
+                    cells = np.bincount((h & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH)
+                    odd.append(np.packbits(cells.astype(np.uint8) & 1, bitorder="little").view("<i8"))
+                if shingles:
+                    times = [len(h) for h in shingles]
+                    own = pa.array(np.repeat(np.arange(len(shingles)), times))
+                    place = np.concatenate([np.arange(n) for n in times])
+                    sketch = np.repeat(np.array(odd), times, axis=0)
+                    columns = [np.concatenate(shingles), *(batch.column(c).take(own) for c in ("print", "n", "component")), place, *sketch.T]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "print", "n", "component", "place", *words])
+
+        firsts = stored(held.mapInArrow(rarest, ", ".join(f"{c} long" for c in ("shingle", "print", "n", "component", "place", *words))), "rarest")
         # Of each shingle's sets, those outside their largest component meet those of other components.
         parts = firsts.groupBy("shingle", "component").agg(F.count("*").alias("size"))
         main = parts.groupBy("shingle").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
         members = cut(firsts.join(small(cut(main.select("shingle", "main"))), "shingle"))
-        others = members.where("component <> main").select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("print", "n", "component", "place")))
+        others = members.where("component <> main").select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("print", "n", "component", "place", *words)))
         each_once = (F.col("component") == F.col("main")) | (F.col("print") < F.col("print_2"))
-        room = F.least(F.col("n") - F.col("place"), F.col("n_2") - F.col("place_2"))
-        similar = room * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent
+        both = F.col("n") + F.col("n_2")
+        room = F.least(F.col("n") - F.col("place"), F.col("n_2") - F.col("place_2")) * (100 + percent) >= both * percent
+        differ = functools.reduce(operator.add, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_2"))) for w in words])
+        similar = room & (differ * (100 + percent) <= both * (100 - percent))
         met = members.join(others, "shingle").where(each_once & similar & (F.col("component") != F.col("component_2")))
         return met.select(F.least("print", "print_2").alias("a"), F.greatest("print", "print_2").alias("b")).distinct()
 
@@ -444,21 +473,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     corpus = _Corpus(rows, width, percent)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = corpus.candidates(max(1, -(-total // bucket_bytes)))
+    found = corpus.candidates(max(1, -(-total // bucket_bytes), min(8, total // BLOCK_BYTES)))
     pairs = cut(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")))
     near = cut(corpus.near(pairs).join(pairs, ["a", "b"]))
-    # First each set meets the one with which it shares most signatures, then what that hasn't joined.
+    # First each set meets the one with which it shares most signatures, then what that hasn't joined, then crowded sets meet others.
     best = cut(near.groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select("a", "b"))
     links = corpus.links(best)
     joined = cut(components(links))
-    rest = _apart(near.select("a", "b").join(best, ["a", "b"], "left_anti"), joined)
+    rest = cut(_apart(near.select("a", "b").join(best, ["a", "b"], "left_anti"), joined))
+    if not rest.isEmpty():
+        links = corpus.links(rest).unionByName(links)
+        joined = cut(components(links))
     many = cut(_with_component(found.where("kind = 1").select(F.col("a").alias("print"), "n").distinct(), joined, "print", "component"))
     if not many.isEmpty():
-        again = cut(corpus.second(many).join(pairs, ["a", "b"], "left_anti"))
-        rest = rest.unionByName(corpus.near(again))
-    rest = cut(rest)
-    if not rest.isEmpty():
-        joined = cut(components(links.unionByName(corpus.links(rest))))
+        again = cut(corpus.near(cut(corpus.second(many).join(pairs, ["a", "b"], "left_anti"))))
+        joined = cut(components(links.unionByName(corpus.links(again))))
     # The least id of each component, for the sets that more than one row has or something has joined.
     of_set = _with_component(corpus.one.select("print", "times", "least"), joined, "print", "root")
     roots = of_set.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("times").alias("rows")).where("rows > 1")
