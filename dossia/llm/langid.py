@@ -8,7 +8,6 @@ once; the probabilities are fitted by expectation-maximisation (forward-backward
 from __future__ import annotations
 
 import functools
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -18,98 +17,156 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossia.llm.bpe import by_block
 from dossia.llm.common import cut
+from dossia.llm.wordhash import Words
 
 UND = "und"
-#: Bounds of the fit: documents taken from the labelled ones by a hash of their texts, rounds, and length of the words counted.
+#: Bounds of the fit: documents taken from the labelled ones, in equal parts from all languages and by a hash of their texts, and rounds.
 TRAIN_DOCS = 6_000
 ROUNDS = 3
-TRAIN_WORD = 24
-LONGEST = 12  # characters of a piece
+#: The model holds a probability of each piece for each language; more languages than this are refused.
+MOST_LANGUAGES = 500
 SMOOTHING = 0.05
 START = "▁"  # what the vocabulary writes for a word's start
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 REMEMBERED = 400_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-#: Longer words are scored one at a time in logarithms.
+_LETTERS = regex.compile(r"\p{L}+")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Longer words are taken one at a time in logarithms.
 _SHORT = 28
 
 
 @functools.lru_cache(2)
 def piece_ids(path: str) -> dict[str, int]:
-    """Pieces of a sentencepiece model of at most LONGEST characters, without control and byte pieces; the last id is for other characters."""
+    """Pieces of a sentencepiece model without control and byte pieces; the id after the last is for other characters."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     usable = (p for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i)) for p in [sp.id_to_piece(i)])
-    return {p: n for n, p in enumerate(sorted({p for p in usable if len(p) <= LONGEST}))}
+    return {p: n for n, p in enumerate(sorted(set(usable)))}
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
 
 
 def _edges(words: list[str], pieces: dict[str, int]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-    """By (end, length): the words with a piece there, and the piece. A character without a piece of its own has the last id."""
-    other, found = len(pieces), {}
-    for n, w in enumerate(words):
-        for end in range(1, len(w) + 1):
-            for size in range(1, min(end, LONGEST) + 1):
-                p = pieces.get(w[end - size : end], other if size == 1 else -1)
-                if p >= 0:
-                    found.setdefault((end, size), ([], []))
-                    a, b = found[end, size]
-                    a.append(n)
-                    b.append(p)
-    return {k: (np.array(a), np.array(b)) for k, (a, b) in sorted(found.items())}
+    """By (end, length): the words with a piece there, and the piece. A character without a piece of its own has the last id.
+
+    Runs of characters are told by 64-bit hashes, one length after another over all words.
+    """
+    by_size: dict[int, list[str]] = {}
+    for p in pieces:
+        by_size.setdefault(len(p), []).append(p)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    word = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    left = np.repeat(size, size) - place  # characters from here to the word's end
+    code = _codes(words) + np.uint64(1)
+    value, found = np.zeros(len(code), dtype=np.uint64), {}
+    for length in range(1, min(max([1, *by_size]), int(size.max(initial=0))) + 1):
+        value = value * _ODD
+        value[: len(code) - length + 1] += code[length - 1 :]
+        at = np.flatnonzero(left >= length)
+        names = by_size.get(length, [])
+        known = _codes(names).reshape(-1, length) + np.uint64(1)
+        hashes = np.zeros(len(names), dtype=np.uint64)
+        for k in range(length):
+            hashes = hashes * _ODD + known[:, k]
+        order = np.argsort(hashes)
+        ids = np.array([pieces[p] for p in names], dtype=np.int64)[order]
+        hashes, run = hashes[order], value[at]
+        near = np.minimum(np.searchsorted(hashes, run), max(0, len(names) - 1))
+        hit = hashes[near] == run if len(names) else np.zeros(len(at), dtype=bool)
+        piece = np.where(hit, ids[near], len(pieces)) if len(names) else np.full(len(at), len(pieces))
+        if length > 1:
+            at, piece = at[hit], piece[hit]
+        end = place[at] + length
+        order = np.argsort(end, kind="stable")
+        at, piece, end = at[order], piece[order], end[order]
+        cuts = np.flatnonzero(np.diff(end, prepend=-1, append=-1))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            found[int(end[lo]), length] = (word[at[lo:hi]], piece[lo:hi])
+    return dict(sorted(found.items()))
+
+
+def _ways(word: str, pieces: dict[str, int], longest: int) -> Iterator[tuple[int, int, int]]:
+    """start, end, piece of each piece in one word of any length, by ascending end."""
+    other = len(pieces)
+    for end in range(1, len(word) + 1):
+        for size in range(1, min(end, longest) + 1):
+            p = pieces.get(word[end - size : end], other if size == 1 else -1)
+            if p >= 0:
+                yield end - size, end, p
 
 
 def forward(words: list[str], pieces: dict[str, int], prob: np.ndarray) -> np.ndarray:
     """Logarithm of each word's probability in each language (prob: pieces and the other characters x languages)."""
     out = np.zeros((len(words), prob.shape[1]))
-    short = [n for n, w in enumerate(words) if len(w) <= _SHORT]
-    if short:
-        chosen = [words[n] for n in short]
-        alpha = np.zeros((max(map(len, chosen)) + 1, len(chosen), prob.shape[1]))
-        alpha[0] = 1
-        for (end, size), (at, piece) in _edges(chosen, pieces).items():
-            alpha[end, at] += alpha[end - size, at] * prob[piece]
-        out[short] = np.log(alpha[[len(w) for w in chosen], np.arange(len(chosen))])
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    # Words of one length or so at a time: short ones, which are most, take few steps.
+    for low, high in ((0, 8), (8, 12), (12, 18), (18, _SHORT)):
+        at_once = np.flatnonzero((size > low) & (size <= high))
+        if len(at_once):
+            chosen = [words[n] for n in at_once.tolist()]
+            alpha = np.zeros((high + 1, len(chosen), prob.shape[1]))
+            alpha[0] = 1
+            for (end, length), (at, piece) in _edges(chosen, pieces).items():
+                alpha[end, at] += alpha[end - length, at] * prob[piece]
+            out[at_once] = np.log(alpha[size[at_once], np.arange(len(chosen))])
     logs = np.log(prob)
-    for n, w in enumerate(words):
-        if len(w) > _SHORT:
-            out[n] = _forward_long(w, pieces, logs)
+    for n in np.flatnonzero(size > _SHORT).tolist():
+        out[n] = _forward_long(words[n], pieces, logs)
     return out
 
 
 def _forward_long(word: str, pieces: dict[str, int], logs: np.ndarray) -> np.ndarray:
-    """The same for one word of any length; only the last LONGEST positions are held."""
-    recent, other = [np.zeros(logs.shape[1])], len(pieces)
-    for end in range(1, len(word) + 1):
-        ways = []
-        for size in range(1, min(end, LONGEST) + 1):
-            p = pieces.get(word[end - size : end], other if size == 1 else -1)
-            if p >= 0:
-                ways.append(recent[-size] + logs[p])
-        recent = [*recent[-LONGEST:], np.logaddexp.reduce(ways)]
-    return recent[-1]
+    return _beginnings(word, pieces, logs)[-1]
+
+
+def _beginnings(word: str, pieces: dict[str, int], logs: np.ndarray) -> np.ndarray:
+    """Logarithms of the probabilities of all beginnings of one word of any length, in each language."""
+    alpha = np.full((len(word) + 1, logs.shape[1]), -np.inf)
+    alpha[0] = 0
+    for start, end, p in _ways(word, pieces, max(map(len, pieces), default=1)):
+        alpha[end] = np.logaddexp(alpha[end], alpha[start] + logs[p])
+    return alpha
 
 
 def expected(words: list[str], counts: np.ndarray, pieces: dict[str, int], prob: np.ndarray) -> np.ndarray:
     """Expected number of each piece over all segmentations of the words, times the words' counts (one language)."""
-    edges, most = _edges(words, pieces), max(map(len, words))
-    alpha, beta = np.zeros((most + 1, len(words))), np.zeros((most + 1, len(words)))
-    alpha[0], length = 1, np.array([len(w) for w in words])
-    beta[length, np.arange(len(words))] = 1
-    for (end, size), (at, piece) in edges.items():
-        alpha[end, at] += alpha[end - size, at] * prob[piece]
-    for (end, size), (at, piece) in sorted(edges.items(), key=lambda e: -e[0][0]):
-        beta[end - size, at] += prob[piece] * beta[end, at]
-    total, out = alpha[length, np.arange(len(words))], np.zeros(len(prob))
-    for (end, size), (at, piece) in edges.items():
-        np.add.at(out, piece, alpha[end - size, at] * prob[piece] * beta[end, at] / total[at] * counts[at])
+    out = np.zeros(len(prob))
+    length = np.array([len(w) for w in words])
+    short = np.flatnonzero(length <= _SHORT)
+    if len(short):
+        length_s, n = length[short], np.arange(len(short))
+        edges, most = _edges([words[k] for k in short.tolist()], pieces), int(length_s.max())
+        alpha, beta = np.zeros((most + 1, len(short))), np.zeros((most + 1, len(short)))
+        alpha[0] = 1
+        beta[length_s, n] = 1
+        for (end, size), (at, piece) in edges.items():
+            alpha[end, at] += alpha[end - size, at] * prob[piece]
+        for (end, size), (at, piece) in sorted(edges.items(), key=lambda e: -e[0][0]):
+            beta[end - size, at] += prob[piece] * beta[end, at]
+        total = alpha[length_s, n]
+        for (end, size), (at, piece) in edges.items():
+            out += np.bincount(piece, alpha[end - size, at] * prob[piece] * beta[end, at] / total[at] * counts[short][at], len(out))
+    logs = np.log(prob)[:, None]
+    for k in np.flatnonzero(length > _SHORT).tolist():
+        alpha, ways = _beginnings(words[k], pieces, logs)[:, 0], list(_ways(words[k], pieces, max(map(len, pieces), default=1)))
+        beta = np.full(len(alpha), -np.inf)
+        beta[-1] = 0
+        for start, end, p in reversed(ways):
+            beta[start] = np.logaddexp(beta[start], logs[p, 0] + beta[end])
+        for start, end, p in ways:
+            out[p] += np.exp(alpha[start] + logs[p, 0] + beta[end] - alpha[-1]) * counts[k]
     return out
 
 
@@ -129,7 +186,7 @@ def _word_counts(train: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                words = Counter(w for t in texts for w in _LETTERS.findall(t.lower()) if len(w) < TRAIN_WORD)
+                words = Counter(w for t in texts for w in _LETTERS.findall(t.lower()))
                 if words:
                     yield pd.DataFrame({"lang": lang, "word": list(words), "n": np.array(list(words.values()), dtype=np.int64)})
 
@@ -138,12 +195,19 @@ def _word_counts(train: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def fit(labelled: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> LanguageModel:
-    """Piece probabilities from about ``train_docs`` of the labelled rows, chosen by a hash of the text; null texts or languages are no examples."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    share = min(1.0, train_docs / max(1, rows.count()))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    words = cut(_word_counts(chosen, "text", "lang"))
-    languages = sorted(r.lang for r in words.select("lang").distinct().collect())  # one row for each language
+    """Piece probabilities from about ``train_docs`` of the labelled rows, in equal parts from all languages, chosen by a hash of the text.
+
+    Rows that repeat a text and its language count once; null texts or languages are no examples.
+    """
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    seen = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()  # one row for each language
+    if len(seen) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    share = {r.lang: int(min(1.0, train_docs / len(seen) / r.n) * 1_000_000) for r in seen}
+    spot = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
+    below = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang")) if share else F.lit(0)
+    words = cut(_word_counts(rows.where(spot < below).dropDuplicates(["text", "lang"]), "text", "lang"))
+    languages = sorted(r.lang for r in words.select("lang").distinct().collect())  # MOST_LANGUAGES at most
     pieces = piece_ids(path)
     size = len(pieces) + 1
     prob = np.full((size, max(1, len(languages))), 1 / size)
@@ -173,39 +237,46 @@ def fit(labelled: DataFrame, path: str, text_col: str = "text", lang_col: str =
 
 
 class _Scorer:
+    """Scores of words met before, by the words' 64-bit hashes."""
+
     def __init__(self, model: LanguageModel):
         self.model, self.pieces = model, piece_ids(model.path)
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[str, int] = {}
+        self.row: dict[int, int] = {}
         self.scores = np.zeros((0, len(self.model.languages)))
         self.letters = np.zeros(0, dtype=bool)
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, hashes: list[int], chunks: list[str]) -> None:
         runs = [_LETTERS.findall(c) for c in chunks]
-        words = list({w for r in runs for w in r})
-        of = dict(zip(words, forward([START + w for w in words], self.pieces, self.model.prob), strict=True)) if words else {}
-        zero = np.zeros(len(self.model.languages))
-        new = np.array([sum((of[w] for w in r), zero) for r in runs])
-        for n, c in enumerate(chunks, len(self.row)):
-            self.row[c] = n
+        flat = [w for r in runs for w in r]
+        words = {w: n for n, w in enumerate(dict.fromkeys(flat))}
+        number = np.array([len(r) for r in runs], dtype=np.int64)
+        of = np.repeat(np.arange(len(runs)), number)
+        new = np.zeros((len(runs), len(self.model.languages)))
+        if words:
+            scores = forward([START + w for w in words], self.pieces, self.model.prob)[np.fromiter(map(words.__getitem__, flat), np.int64, len(flat))]
+            new = np.stack([np.bincount(of, scores[:, k], len(runs)) for k in range(new.shape[1])], axis=1) if new.shape[1] else new
+        self.row.update(zip(hashes, range(len(self.row), len(self.row) + len(hashes)), strict=True))
         self.scores = np.concatenate([self.scores, new])
-        self.letters = np.concatenate([self.letters, np.array([bool(r) for r in runs])])
+        self.letters = np.concatenate([self.letters, number > 0])
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each text in each language, and whether it has a letter."""
         if len(self.row) > REMEMBERED:
             self.clear()
-        chunks = [t.lower().split() for t in texts]
-        if new := list({c for cs in chunks for c in cs if c not in self.row}):
-            self.learn(new)
-        logs, has = np.zeros((len(texts), len(self.model.languages))), np.zeros(len(texts), dtype=bool)
-        for n, cs in enumerate(chunks):
-            if cs:
-                at = np.fromiter(map(self.row.__getitem__, cs), np.int64, len(cs))
-                logs[n], has[n] = self.scores[at].sum(axis=0), self.letters[at].any()
-        return logs, has
+        w = Words([t.lower().encode("utf-8", "surrogatepass") for t in texts])
+        hashes, first, at = np.unique(w.hash, return_index=True, return_inverse=True)
+        named = hashes.tolist()
+        new = [n for n, h in enumerate(named) if h not in self.row]
+        if new:
+            places = zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)
+            self.learn([named[n] for n in new], [w.data[a:b].decode("utf-8", "surrogatepass") for a, b in places])
+        row = np.fromiter(map(self.row.__getitem__, named), np.int64, len(named))[at]
+        logs = np.stack([np.bincount(w.text, self.scores[row, k], len(texts)) for k in range(len(self.model.languages))] or [np.zeros(0)], axis=1)
+        has = np.bincount(w.text, self.letters[row], len(texts)) > 0
+        return (logs if self.model.languages else np.zeros((len(texts), 0))), has
 
 
 _scorers: dict[str, _Scorer] = {}
@@ -222,7 +293,8 @@ def _scorer(model: LanguageModel) -> _Scorer:
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with lang_pred and score: the likeliest language of the whole text and its posterior probability (all languages alike before).
 
-    ``und`` and 0 for null texts, texts without a letter, and a model without languages. Columns of these names are replaced; others stay.
+    ``und`` and 0 for null texts, texts without a letter (of Unicode's category L), and a model without languages. Columns of these names are
+    replaced; others stay. Rows are scored on their own, so repeated ones alike; texts may have any length; an empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text_col)]
     schema = T.StructType([*(f for f in docs.schema.fields if f.name in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

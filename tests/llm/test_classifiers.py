@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from itertools import combinations
@@ -61,6 +62,66 @@ def test_language_of_odd_rows(spark):
     assert langid.predict(train.select("text").limit(0), model).collect() == []
 
 
+def test_all_pieces_and_all_words_count(spark):
+    pieces = langid.piece_ids(PATH)
+    longest = max(pieces, key=len)
+    assert len(longest) == 16
+    # A word of a piece of 16 characters is likelier where that piece is.
+    prob = np.full((len(pieces) + 1, 2), 1e-6)
+    prob[pieces[longest], 1] = 0.01
+    logs = langid.forward([longest, longest + longest], pieces, prob)
+    assert (logs[:, 1] > logs[:, 0] + 5).all()
+    # Words of more than 28 letters are fitted by the same sums as short ones.
+    small = {p: n for n, p in enumerate(["a", "b", "ab", "aba"])}
+    p = np.array([0.3, 0.3, 0.2, 0.1, 0.1])
+    word = "ab" * 16
+    short, before = langid.expected([word], np.array([3.0]), small, p), langid._SHORT
+    langid._SHORT = 40
+    try:
+        assert np.allclose(short, langid.expected([word], np.array([3.0]), small, p))
+    finally:
+        langid._SHORT = before
+    train = spark.createDataFrame([("donaudampfschifffahrtsgesellschaften " * 3, "de"), ("the cat", "en")], "text string, lang string")
+    model = langid.fit(train, PATH)
+    docs = spark.createDataFrame([(1, "Donaudampfschifffahrtsgesellschaften"), (2, "12 \u00bd \u00b2 \u2167 \u2460"), (3, "\u00bd cat")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.predict(docs, model).orderBy("doc_id").collect()] == ["de", "und", "en"]
+
+
+def test_predictions_match_brute_force(spark):
+    rng = random.Random(2)
+    vocabulary = {"en": ["the", "cat", "\u00e9t\u00e9", "x" * 31, "word"], "fr": ["le", "chat", "mot", "Etat", "y"]}
+    train = [(" ".join(rng.choices(words, k=12)), lang) for lang, words in vocabulary.items() for _ in range(20)]
+    model = langid.fit(spark.createDataFrame(train, "text string, lang string"), PATH)
+    pieces, longest = langid.piece_ids(PATH), 16
+
+    def brute(word):
+        word, sums = langid.START + word, [np.array([1.0, 1.0])]
+        for end in range(1, len(word) + 1):
+            total = np.zeros(2)
+            for start in range(max(0, end - longest), end):
+                at = pieces.get(word[start:end], len(pieces) if end - start == 1 else None)
+                if at is not None:
+                    total = total + sums[start] * model.prob[at]
+            sums.append(total)
+        return np.log(sums[-1])
+
+    texts = [" ".join(rng.choices([*vocabulary["en"], *vocabulary["fr"], "a-b", "q1w", "7"], k=rng.randint(1, 9))) for _ in range(60)]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for text, r in zip(texts, got, strict=True):
+        runs = ["".join(run) for k, run in itertools.groupby(text.lower(), str.isalpha) if k for run in [list(run)]]
+        logs = sum((brute(w) for w in runs), np.zeros(2))
+        if runs:
+            assert r.lang_pred == model.languages[int(logs.argmax())] and math.isclose(r.score, 1 / np.exp(logs - logs.max()).sum(), rel_tol=1e-9)
+        else:
+            assert r.lang_pred == "und"
+
+
+def test_copies_and_common_languages_dont_fill_the_sample(spark):
+    rows = [("one text again and again", "en")] * 500 + [(f"texte num {k}", "fr") for k in range(5)] + [(f"other text {k}", "en") for k in range(50)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), PATH, train_docs=100)
+    assert model.languages == ["en", "fr"]
+
+
 def test_toxicity_on_held_out(spark, sf_dir):
     got = queries.op3_toxicity(spark, sf_dir)
     rows = got.join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
