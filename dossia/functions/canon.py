@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,18 +20,36 @@ CYRILLIC_FIELDS = [
     "epts_status",
 ]
 DATE = r"(\d{1,2})\s*[./\-]\s*(\d{1,2})\s*[./\-]\s*(\d{4})"
-# Fixed values of ISO 3779: the value of each character, in groups that count up, and the weight of each place.
-VIN_RUNS = [("ABCDEFGH", 1), ("JKLMN", 1), ("P", 7), ("R", 9), ("STUVWXYZ", 2), ("0123456789", 0)]
+# Fixed values of ISO 3779: the value of each character, and the weight of each place.
+VIN_VALUES = {
+    "A": 1, "B": 2, "C": 3, "D": 4, "E": 5, "F": 6, "G": 7, "H": 8,
+    "J": 1, "K": 2, "L": 3, "M": 4, "N": 5, "P": 7, "R": 9,
+    "S": 2, "T": 3, "U": 4, "V": 5, "W": 6, "X": 7, "Y": 8, "Z": 9,
+    "0": 0, "1": 1, "2": 2, "3": 3, "4": 4, "5": 5, "6": 6, "7": 7, "8": 8, "9": 9,
+}
 VIN_WEIGHTS = [8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2]
 YEAR_CODES_2001 = "123456789"
 YEAR_CODES_2010 = "ABCDEFGHJKLMNPRSTVWXY"
 
 
-def base(v: Column) -> Column:
+Let = Callable[[Column, Callable[[Column], Column]], Column]
+
+
+def repeated(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value written out wherever body uses it: generated code finds equal parts by itself."""
+    return body(value)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it: for long bodies, where equal parts are too many to be found."""
+    return F.transform(F.array(value), body)[0]
+
+
+def base(v: Column, let: Let = repeated) -> Column:
     """Upper case, Ё as Е, white space runs as one space, outer blanks and punctuation stripped; words for "none" are empty."""
     s = F.translate(F.upper(F.coalesce(v, F.lit(""))), "Ё\u00a0", "Е ")
     s = F.btrim(F.regexp_replace(s, r"(?U)\s+", " "))
-    return F.btrim(F.when(s.isin(NOTHING), F.lit("")).otherwise(s), F.lit(" .,;:"))
+    return let(s, lambda s: F.btrim(F.when(s.isin(NOTHING), F.lit("")).otherwise(s), F.lit(" .,;:")))
 
 
 def to_latin(s: Column) -> Column:
@@ -45,26 +64,28 @@ def _squeezed(s: Column, more: str) -> Column:
     return F.regexp_replace(s, rf"(?U)[\s{more}]", "")
 
 
-def fix_vin(s: Column) -> Column:
+def fix_vin(s: Column, let: Let = repeated) -> Column:
     """Latin letters without O, I and Q (read as 0, 1, 0)."""
     return F.translate(to_latin(_squeezed(s, r"\-")), "OIQ", "010")
 
 
-def fix_plate(s: Column) -> Column:
+def fix_plate(s: Column, let: Let = repeated) -> Column:
     """Cyrillic; letters and digits are told apart by their places: A123BC64."""
-    s = to_cyrillic(_squeezed(s, r"\-|"))
     letter = lambda c: F.translate(c, "08", "ОВ")
     digit = lambda c: F.translate(c, "ОЗБ", "036")
-    return F.concat(letter(F.substring(s, 1, 1)), digit(F.substring(s, 2, 3)), letter(F.substring(s, 5, 2)), digit(F.substring(s, 7, 1_000_000)))
+    placed = lambda s: F.concat(letter(F.substring(s, 1, 1)), digit(F.substring(s, 2, 3)), letter(F.substring(s, 5, 2)), digit(s.substr(F.lit(7), F.length(s))))
+    return let(to_cyrillic(_squeezed(s, r"\-|")), placed)
 
 
-def fix_series(s: Column) -> Column:
+def fix_series(s: Column, let: Let = repeated) -> Column:
     """Document numbers; the middle of a paper passport's series is Cyrillic letters."""
-    s = _squeezed(s, r"\-№N")
-    middle = F.substring(s, 3, 2)
-    mixed = s.rlike(r"(?U)^\d{2}.{2}\d{6}$") & ~middle.rlike(r"(?U)^\d+$")
-    fixed = F.concat(F.substring(s, 1, 2), F.translate(to_cyrillic(middle), "0", "О"), F.substring(s, 5, 6))
-    return F.when(mixed, fixed).otherwise(s)
+
+    def fixed(s: Column) -> Column:
+        middle = F.substring(s, 3, 2)
+        mixed = s.rlike(r"(?U)^\d{2}.{2}\d{6}$") & ~middle.rlike(r"(?U)^\d+$")
+        return F.when(mixed, F.concat(F.substring(s, 1, 2), F.translate(to_cyrillic(middle), "0", "О"), F.substring(s, 5, 6))).otherwise(s)
+
+    return let(_squeezed(s, r"\-№N"), fixed)
 
 
 def digits(s: Column) -> Column:
@@ -95,9 +116,8 @@ def _form(key: str) -> str:
     return "latin" if key in LATIN_FIELDS else "cyrillic" if key in CYRILLIC_FIELDS else "text"
 
 
-def _body(s: Column) -> Column:
-    vin = fix_vin(s)
-    return F.when(F.length(vin) == 17, vin).otherwise(_alnum(s))
+def _body(s: Column, let: Let = repeated) -> Column:
+    return let(fix_vin(s), lambda vin: F.when(F.length(vin) == 17, vin).otherwise(_alnum(s)))
 
 
 _FORMS = {
@@ -119,6 +139,12 @@ def canon(key: str, v: Column) -> Column:
     return _FORMS[_form(key)](base(v))
 
 
+def canon_of(key: str, s: Column, let: Let = repeated) -> Column:
+    """canon() of a base form."""
+    form = _form(key)
+    return _FORMS[form](s, let) if form in ("vin", "body", "plate", "series") else _FORMS[form](s)
+
+
 def canon_of_base(key: Column, s: Column) -> Column:
     """canon() of a base form where the field is a column too: one branch for each rule, not for each field."""
     keys: dict[str, list[str]] = {}
@@ -167,15 +193,17 @@ def date_value(v: Column) -> Column:
     return F.try_to_date(F.concat_ws(".", part(1), part(2), part(3)), "d.M.yyyy")
 
 
-def vin_check_digit(vin: Column) -> Column:
+def vin_check_digit(vin: Column, let: Let = repeated) -> Column:
     """Check digit (place 9) by ISO 3779; other characters count 0."""
-    value = {c: n + k for run, n in VIN_RUNS for k, c in enumerate(run)}
-    chars = "".join(value)
+    chars = "".join(VIN_VALUES)
+
+    def rest(as_digits: Column) -> Column:
+        terms = [F.coalesce(F.nullif(F.substring(as_digits, n + 1, 1), F.lit("")).cast("int"), F.lit(0)) * w for n, w in enumerate(VIN_WEIGHTS)]
+        return reduce(lambda a, b: a + b, terms) % 11
+
     # translate() gives each character its value as one digit; others become 0.
-    as_digits = F.translate(F.regexp_replace(vin, f"[^{chars}]", "0"), chars, "".join(str(value[c]) for c in chars))
-    terms = [F.coalesce(F.nullif(F.substring(as_digits, n + 1, 1), F.lit("")).cast("int"), F.lit(0)) * w for n, w in enumerate(VIN_WEIGHTS)]
-    rest = reduce(lambda a, b: a + b, terms) % 11
-    return F.when(rest == 10, "X").otherwise(rest.cast("string"))
+    as_digits = F.translate(F.regexp_replace(vin, f"[^{chars}]", "0"), chars, "".join(str(n) for n in VIN_VALUES.values()))
+    return let(let(as_digits, rest), lambda r: F.when(r == 10, "X").otherwise(r.cast("string")))
 
 
 def vin_year_code(year: Column) -> Column:
