@@ -42,7 +42,7 @@ def repeated(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once, however often body uses it: for long bodies, where equal parts are too many to be found."""
-    return F.transform(F.array(value), body)[0]
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, body)
 
 
 def base(v: Column, let: Let = repeated) -> Column:
