@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from dossia.llm.common import ascii_lower, cut, small
 
-HREF = r"""(?i)href\s*=\s*["']([^"']*)["']"""
+#: The value of an attribute href, in quotes of either kind or without; names that only end in href don't count.
+HREF = r"""(?i)[\s"'/]href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 ROUNDS = 12
 DAMPING = 0.85
 #: A host is blocked if its distrust exceeds this many times the larger of its trust and its share of all pages.
 THRESHOLD = 1.0
-#: Scores are rounded to so many decimals before they are compared, so that the order of additions doesn't matter.
-DECIMALS = 10
+#: Scores that differ by less than this share count as equal, so that the order of additions doesn't matter.
+TOLERANCE = 1e-9
 
 
 @dataclass(frozen=True)
@@ -50,6 +51,7 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """src, dst, n: links from one host to another, counted over all pages. Links within a host don't count."""
     links = pages.select(host_path(F.col(url_col))[0].alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(HREF), 1)).alias("href"))
+    links = links.withColumn("href", F.btrim("href", F.lit("\"'")))
     # ``//host/path`` takes the page's scheme; relative links stay within the host.
     target = F.when(F.col("href").startswith("//"), F.concat(F.lit("http:"), "href")).otherwise(F.col("href"))
     links = links.where(F.col("href").contains("//")).select("src", host_path(target)[0].alias("dst"))
@@ -59,13 +61,13 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """kind, host, score: personalised PageRank for each kind of seeds.
 
-    edges: kind, src, dst, w (w of one src and kind sum to 1); seeds: kind, host, seed (of one kind sum to 1). Mass of hosts
-    without links is lost, which scales all hosts alike. Each round is a join and a sum that is pre-aggregated in each task.
+    edges: kind, src, dst, w (w of one src and kind sum to 1); seeds: kind, host, seed (of one kind sum to 1). Scores of a kind
+    are brought to a sum of 1 at the end, as if the mass of hosts without links went back to the seeds: so links elsewhere don't
+    change how hosts that they don't reach compare, and without any link scores are the seeds. Each round is a join and a sum that is
+    pre-aggregated in each task.
     """
     edges, seeds = cut(edges), cut(seeds)
     score = seeds.select("kind", "host", F.col("seed").alias("score"))
-    if edges.isEmpty():  # nothing flows
-        return score
     for k in range(rounds):
         moved = score.join(edges.withColumnRenamed("src", "host"), ["kind", "host"])
         moved = moved.select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("w") * damping).alias("score"))
@@ -73,7 +75,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
         score = moved.unionByName(own).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if k % 4 == 3 or k == rounds - 1:
             score = cut(score)
-    return score
+    sums = score.groupBy("kind").agg(F.sum("score").alias("of"))
+    return score.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("score") / F.col("of")).alias("score"))  # two rows at most
 
 
 def judge_urls(
@@ -107,15 +110,15 @@ def judge_urls(
     seeds = counts.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("n") / F.col("of")).alias("seed"))  # two rows at most
 
     score = propagate(both, seeds, rounds, damping)
-    share = lambda kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)), DECIMALS)
+    share = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
     hosts = score.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     sizes = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"))
     sizes = cut(sizes)
     of = sizes.agg(F.sum("n")).first()[0] or 1
-    sizes = sizes.select("host", F.round(F.col("n") / F.lit(of), DECIMALS).alias("size"))
+    sizes = sizes.select("host", (F.col("n") / F.lit(of)).alias("size"))
     hosts = cut(sizes.join(hosts, "host"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     judged = judged.join(small(hosts), "host", "left").select("page_id", "host", "path", "rule", "by_rule", *map(zero, ("trust", "distrust", "size")))
-    bad = F.col("distrust") > F.lit(threshold) * F.greatest("trust", "size")
+    bad = F.col("distrust") > F.lit(threshold * (1 + TOLERANCE)) * F.greatest("trust", "size")
     verdict = F.coalesce("by_rule", F.when(bad, "block").otherwise("allow"))
     return judged.select(F.col("page_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust", "size")
