@@ -22,6 +22,7 @@ from dossia.llm.common import cut
 
 BLOCK_ROWS = 4096
 SLICES = 4
+LONG = 2**63 - 1
 _CHUNK = 256  # queries that a task scores at once: a matrix of 256 x 4096 numbers
 
 _SCORES = "q_block int, query_id long, vec_id long, score long"
@@ -55,8 +56,12 @@ def _partials(q: np.ndarray, c: np.ndarray, slices: int) -> list[np.ndarray]:
     if bound < 2**53:
         return [(q[:, k] @ c[:, k].T).astype(np.int64) for k in cuts]
     qi, ci = ([[int(x) for x in row] for row in m] for m in (q, c))
-    top = 2**61  # sums of a few slices stay within a long; larger scores count as that
-    return [np.array([[max(-top, min(top, sum(a[i] * b[i] for i in k))) for b in ci] for a in qi], dtype=np.int64).reshape(len(qi), len(ci)) for k in cuts]
+    return [np.array([[sum(a[i] * b[i] for i in k) for b in ci] for a in qi], dtype=object).reshape(len(qi), len(ci)) for k in cuts]
+
+
+def _long(x: np.ndarray) -> np.ndarray:
+    """Exact whole numbers as int64; those beyond a long count as the largest or smallest one."""
+    return x if x.dtype == np.int64 else np.clip(x, -LONG, LONG).astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int, among: np.ndarray) -> np.ndarray:
@@ -83,17 +88,17 @@ def _scan(k: int, slices: int, resolve: bool):
                 for start in range(0, len(q_ids), _CHUNK):
                     ids, q = q_ids[start : start + _CHUNK], q_all[start : start + _CHUNK]
                     parts = _partials(q, c, slices)
-                    total = np.sum(parts, axis=0)
+                    total = _long(np.sum(parts, axis=0))
                     found = []
                     for i, qid in enumerate(ids):
                         among = c_ids != qid
                         if not resolve:  # the exact scores of each slice's local list
                             listed = np.zeros(len(c_ids), bool)
                             for p in parts:
-                                listed[_best(p[i], c_ids, k, among)] = True
+                                listed[_best(_long(p[i]), c_ids, k, among)] = True
                             among = listed
                         elif (t := cutoff.get(qid)) is not None:  # partial >= t / slices, without rounding
-                            among &= np.logical_or.reduce([p[i] * slices >= t for p in parts])
+                            among &= np.logical_or.reduce([(p[i] * slices >= t).astype(bool) for p in parts])
                             among &= total[i] >= t
                         at = _best(total[i], c_ids, k, among)
                         found.append((qid, c_ids[at], total[i][at]))
@@ -109,7 +114,7 @@ def top_k(
     """query_id, rank, vec_id, score: each query's k highest scores among the candidates, ties to the smaller id.
 
     Scores are integer inner products of floor(scale * x). A query isn't its own candidate. Vectors that are null or hold null or
-    non-finite components, and rows without an id, take no part; vectors of different lengths aren't compared. Rows that repeat
+    non-finite components, and rows without an id, take no part; a score beyond a long counts as the largest or smallest long; vectors of different lengths aren't compared. Rows that repeat
     an id and its vector count once; of rows that share an id but not the vector, the largest vector is the query. Queries meet
     candidates in blocks of ``block_rows`` rows, and a task holds one block of each. Empty tables give an empty result.
     """
