@@ -10,9 +10,12 @@ from dossia.llm.common import ascii_lower, cut, small
 PREFIX_CHARS = 128
 
 
-def _head(c: Column) -> tuple[Column, Column]:
-    text = F.coalesce(c, F.lit(""))
-    return F.octet_length(text).cast("long").alias("_len"), F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX_CHARS))).alias("_head")
+def _length(c: Column) -> Column:
+    return F.octet_length(F.coalesce(c, F.lit(""))).cast("long").alias("_len")
+
+
+def _head(c: Column) -> Column:
+    return F.xxhash64(ascii_lower(F.substring(F.coalesce(c, F.lit("")), 1, PREFIX_CHARS))).alias("_head")
 
 
 def full_hash(c: Column) -> Column:
@@ -20,21 +23,24 @@ def full_hash(c: Column) -> Column:
     return F.sha2(ascii_lower(F.coalesce(c, F.lit(""))), 256)
 
 
-def shared_heads(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(_len, _head) of texts that at least two rows have in common; checkpointed.
+def shared_lengths(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """_len: lengths in bytes that at least two rows have; checkpointed. Rows are counted where they lie first."""
+    return cut(docs.select(_length(F.col(text_col))).groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len"))
 
-    One scan counts rows per length and prefix hash, pre-aggregated in each task. Lengths that one row has alone drop
-    out first, then prefix hashes that one row has alone within its length.
-    """
-    heads = cut(docs.select(*_head(F.col(text_col))).groupBy("_len", "_head").agg(F.count("*").alias("_n")))
-    lengths = heads.groupBy("_len").agg(F.sum("_n").alias("_of_len")).where("_of_len > 1").select("_len")
-    return cut(heads.join(lengths, "_len", "left_semi").where("_n > 1").select("_len", "_head"))
+
+def shared_heads(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(_len, _head) that at least two rows have in common; checkpointed. Only prefixes of rows that share their length are hashed."""
+    rows = docs.select(_length(F.col(text_col)), F.col(text_col).alias("_text")).join(small(shared_lengths(docs, text_col)), "_len", "left_semi")
+    return cut(rows.select("_len", _head(F.col("_text"))).groupBy("_len", "_head").agg(F.count("*").alias("_n")).where("_n > 1").select("_len", "_head"))
 
 
 def _marked(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with _len, _head and _shared: whether another row has the same length and prefix hash."""
+    """docs with _len, _head and _shared: whether another row has the same length and prefix hash. Prefixes of rows alone in their length aren't hashed."""
     heads = shared_heads(docs, text_col).withColumn("_shared", F.lit(True))
-    return docs.select("*", *_head(F.col(text_col))).join(small(heads), ["_len", "_head"], "left")
+    lengths = small(cut(heads.select("_len").distinct().withColumn("_hashed", F.lit(True))))
+    rows = docs.select("*", _length(F.col(text_col))).join(lengths, "_len", "left")
+    rows = rows.withColumn("_head", F.when(F.col("_hashed"), _head(F.col(text_col)))).drop("_hashed")
+    return rows.join(small(heads), ["_len", "_head"], "left")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: str = "shared") -> DataFrame:
@@ -58,7 +64,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Repeated rows of one id and text are interchangeable: counted here, spread out again below.
     ids = rows.where("_shared").groupBy("_full", "_len", "_id").agg(F.count("*").alias("_n"))
     groups = ids.groupBy("_full", "_len").agg(F.max("_id").alias("_keep"), F.sum("_n").alias("_size"), F.count("_id").alias("_with_id"))
-    joined = ids.join(groups, ["_full", "_len"])
+    joined = ids.join(small(cut(groups)), ["_full", "_len"])
     stays = F.col("_id").eqNullSafe(F.col("_keep"))
     grouped = joined.select(
         "_id", "_keep", "_size", stays.alias("_stays"), "_full", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy")
@@ -71,7 +77,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns. Rows that share no prefix hash pass without a shuffle.
 
-    Of rows with the same largest id and the same text any one stays. The join's key holds the id, so a large group of copies is spread.
+    Of rows with the same largest id and the same text any one stays; null texts count as empty, and rows without an id lose to rows with one. The join's
+    key holds the id, so a large group of copies is spread. An empty table gives an empty result; other columns come along whatever their names.
     """
     columns = docs.columns
     rows = docs.select(
