@@ -22,6 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +33,14 @@ from dossia.llm.wordhash import Words, by_bytes, mix, rare_first, runs, slot
 SHINGLE = 5
 PERCENT = 75
 #: Bytes of text that a task handles at once, and of text per bucket of signatures, whose signatures are met in so many parts one after another.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_500_000
 BUCKET_BYTES = 32_000_000
-BUCKET_PARTS = 4
+BUCKET_PARTS = 8
 #: Hash slots in which all shingles, and those of crowded sets, are counted, to tell rare ones from common ones.
-SLOTS = 1 << 18
-SECOND_SLOTS = 1 << 20
+SLOTS = 1 << 21
+#: Counts of slots travel in so many pieces, which are added up for so many classes of tasks first and then for all.
+PIECES = 256
+TASK_CLASSES = 64
 #: Numbers of 64 bits in the sketch that the second signatures carry.
 SKETCH = 8
 #: A set is a candidate of the sets that share a signature and aren't smaller, if so many of them or fewer are near in size; else all of these meet by a second signature.
@@ -175,28 +178,25 @@ def _packets(sets: Shingles, percent: int, common: np.ndarray, buckets: int) ->
 
 
 def _candidates(table: pa.Table, percent: int) -> pa.Table:
-    """kind 0: pairs a, b of candidates and how many signatures n they share here; kind 1: set a of n shingles, which is to meet others by a second signature."""
+    """kind 0: pairs a, b of candidates; kind 1: set a of n shingles, which is to meet others by a second signature."""
     named, number = np.unique(np.frombuffer(b"".join(table["prints"].to_pylist()), "<i8"), return_inverse=True)
     size = np.zeros(len(named), np.int64)
     size[number] = np.frombuffer(b"".join(table["sizes"].to_pylist()), "<i4")
     sigs = np.frombuffer(b"".join(table["sigs"].to_pylist()), "<u4")
     number = number.astype(np.int32)[np.cumsum(sigs & np.uint32(1), dtype=np.int32) - 1]
     sigs = sigs >> np.uint32(1)
-    codes, times, many = [], [], []
+    codes, many = [], []
     for part in range(BUCKET_PARTS):
         at = np.flatnonzero(sigs % np.uint32(BUCKET_PARTS) == part)
         if len(at):
             code, crowded = _candidates_of(sigs[at], number[at], size, percent)
-            code, n = np.unique(code, return_counts=True)
-            codes.append(code)
-            times.append(n)
+            codes.append(np.unique(code))
             many.append(crowded)
-    code, at = np.unique(np.concatenate(codes), return_inverse=True)
-    a, b = np.divmod(code, len(named))
+    a, b = np.divmod(np.unique(np.concatenate(codes)), len(named))
     many = np.unique(np.concatenate(many))
     return pa.table({
-        "kind": np.repeat(np.array([0, 1], np.int32), [len(code), len(many)]), "a": named[np.concatenate([a, many])],
-        "b": np.concatenate([named[b], np.zeros(len(many), np.int64)]), "n": np.concatenate([np.bincount(at, np.concatenate(times), len(code)).astype(np.int64), size[many]]),
+        "kind": np.repeat(np.array([0, 1], np.int32), [len(a), len(many)]), "a": named[np.concatenate([a, many])],
+        "b": np.concatenate([named[b], np.zeros(len(many), np.int64)]), "n": np.concatenate([np.zeros(len(a), np.int64), size[many]]),
     })
 
 
@@ -251,23 +251,37 @@ def _classes(times: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(2 * np.log2(np.maximum(times, 1))), 63).astype(np.uint8)
 
 
-def _slot_rows(times: np.ndarray, nulls: list[pa.DataType]) -> list[pa.Array]:
-    """Columns that are null in rows of slots, then the slots met and how often."""
-    at = np.flatnonzero(times)
-    return [*[pa.nulls(len(at), t) for t in nulls], pa.array(at.astype(np.int32)), pa.array(times[at])]
+def _pieces(times: np.ndarray) -> list[bytes]:
+    """A task's counts in PIECES pieces: bytes, or four bytes each where one doesn't hold them."""
+    return [(p.astype("<u1") if p.max() < 256 else p.astype("<u4")).tobytes() for p in np.split(times, PIECES)]
 
 
-def _collected(rows: DataFrame, slots: int) -> np.ndarray:
-    """Sums of ``times`` by ``slot``: as many rows as slots at most."""
-    times = np.zeros(slots)
-    sums = rows.groupBy("slot").agg(F.sum("times").alias("times")).toPandas()
-    times[sums["slot"].to_numpy(dtype=np.int64)] = sums["times"]
+def _added(table: pa.Table) -> pa.Table:
+    """The sum of pieces of one number; a sum is held in eight bytes a slot, which its length tells."""
+    size, total = SLOTS // PIECES, np.zeros(SLOTS // PIECES, dtype=np.int64)
+    for value in table["counts"].to_pylist():
+        total += np.frombuffer(value, f"<u{len(value) // size}").astype(np.int64)
+    return table.slice(0, 1).set_column(table.column_names.index("counts"), "counts", pa.array([total.astype("<u8").tobytes()]))
+
+
+def _collected(pieces: DataFrame) -> np.ndarray:
+    """Sums of the tasks' pieces (piece, task, counts): SLOTS numbers."""
+    for keys in (["piece", "task"], ["piece"]):
+        pieces = pieces.groupBy(*keys).applyInArrow(_added, "piece int, task int, counts binary")
+    times = np.zeros(SLOTS, dtype=np.int64)
+    for row in pieces.select("piece", "counts").collect():  # PIECES rows of a fixed size
+        size = SLOTS // PIECES
+        times[row.piece * size : (row.piece + 1) * size] = np.frombuffer(row.counts, "<u8")
     return times
 
 
+def _task_class() -> int:
+    return TaskContext.get().partitionId() % TASK_CLASSES
+
+
 def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Size, fingerprint and sketch of each row's set, and how often each hash slot is met."""
-    names = ["_id", "_key", "print", "n", "sketch", "slot", "times"]
+    """Size, fingerprint and sketch of each row's set; then pieces of how often each hash slot is met, with the number of the piece and a class of tasks."""
+    names = ["_id", "_key", "print", "n", "sketch", "piece"]
     times = np.zeros(SLOTS, dtype=np.int64)
     for batch in batches:
         for part, texts in by_bytes(batch.column("text"), BLOCK_BYTES):
@@ -275,8 +289,10 @@ def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             times += np.bincount(slot(s.all, SLOTS), minlength=SLOTS)
             size = part.stop - part.start
             own = [batch.column(c).slice(part.start, size) for c in ("_id", "_key")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(s.print), pa.array(s.size.astype(np.int64)), pa.array(s.sketches(), pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64())], names=names)
-    yield pa.RecordBatch.from_arrays(_slot_rows(times, [*[pa.int64()] * 4, pa.binary()]), names=names)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(s.print), pa.array(s.size.astype(np.int64)), pa.array(s.sketches(), pa.binary()), pa.nulls(size, pa.int32())], names=names)
+    none = pa.nulls(PIECES, pa.int64())
+    task = pa.array(np.full(PIECES, _task_class(), np.int64))
+    yield pa.RecordBatch.from_arrays([none, none, none, task, pa.array(_pieces(times), pa.binary()), pa.array(np.arange(PIECES, dtype=np.int32))], names=names)
 
 
 def _meeting(pairs: DataFrame, data: DataFrame) -> DataFrame:
@@ -333,9 +349,9 @@ class _Corpus:
 
     def __init__(self, rows: DataFrame, width: int, percent: int):
         self.rows, self.width, self.percent = rows, width, percent
-        seen = stored(rows.mapInArrow(lambda batches: _survey(batches, width), "_id long, _key long, print long, n long, sketch binary, slot int, times long"), "shingles")
-        self.sets = seen.where("slot is null").select("_id", "_key", "print", "n", "sketch")
-        self.common = rows.sparkSession.sparkContext.broadcast(_classes(_collected(seen.where("slot is not null"), SLOTS)))
+        seen = stored(rows.mapInArrow(lambda batches: _survey(batches, width), "_id long, _key long, print long, n long, sketch binary, piece int"), "shingles")
+        self.sets = seen.where("piece is null").select("_id", "_key", "print", "n", "sketch")
+        self.common = rows.sparkSession.sparkContext.broadcast(_classes(_collected(seen.where("piece is not null").select("piece", F.col("n").cast("int").alias("task"), F.col("sketch").alias("counts")))))
         # One row of the table for each set that isn't empty, how many rows have it, and their least id.
         one = self.sets.where("n > 0").groupBy("print").agg(F.min(F.struct("_id", "_key", "n", "sketch")).alias("row"), F.count("*").alias("times"), F.min("_id").alias("least"))
         self.one = stored(one.select("print", "row.*", "times", "least"), "sets")
@@ -408,13 +424,14 @@ class _Corpus:
         held = stored(self._whole(many.select("print"), 64).join(many, "print"), "crowded")
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            times = np.zeros(SECOND_SLOTS, dtype=np.int64)
+            times = np.zeros(SLOTS, dtype=np.int64)
             for batch in batches:
                 for h in _views(batch.column("value"), "<u8"):
-                    times += np.bincount(slot(h, SECOND_SLOTS), minlength=SECOND_SLOTS)
-            yield pa.RecordBatch.from_arrays(_slot_rows(times, []), names=["slot", "times"])
+                    times += np.bincount(slot(h, SLOTS), minlength=SLOTS)
+            columns = [pa.array(np.arange(PIECES, dtype=np.int32)), pa.array(np.full(PIECES, _task_class(), np.int32)), pa.array(_pieces(times), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["piece", "task", "counts"])
 
-        times = _collected(held.select("value").mapInArrow(count, "slot int, times long"), SECOND_SLOTS)
+        times = _collected(held.select("value").mapInArrow(count, "piece int, task int, counts binary"))
         common = held.sparkSession.sparkContext.broadcast(_classes(times))
         words = [f"s{k}" for k in range(SKETCH)]
 
@@ -454,11 +471,13 @@ def _with_component(prints: DataFrame, joined: DataFrame, of: str, name: str) ->
     return prints.join(joined, F.col(of) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", of)).drop("_node", "_component")
 
 
-def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs whose sets aren't in one component."""
+def _joined_further(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component after further links: components are joined as nodes of a smaller graph."""
     for side in ("a", "b"):
-        pairs = _with_component(pairs, joined, side, f"of_{side}")
-    return pairs.where("of_a <> of_b").select("a", "b")
+        links = _with_component(links, joined, side, f"of_{side}")
+    more = cut(components(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
+    known = _with_component(joined, more.select("node", "component"), "component", "now").select("node", F.col("now").alias("component"))
+    return known.unionByName(more.join(joined.select("node"), "node", "left_anti"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -474,20 +493,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     corpus = _Corpus(rows, width, percent)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     found = corpus.candidates(max(1, -(-total // bucket_bytes), min(8, total // BLOCK_BYTES)))
-    pairs = cut(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    near = cut(corpus.near(pairs).join(pairs, ["a", "b"]))
-    # First each set meets the one with which it shares most signatures, then what that hasn't joined, then crowded sets meet others.
-    best = cut(near.groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select("a", "b"))
-    links = corpus.links(best)
+    pairs = cut(found.where("kind = 0").select("a", "b").distinct())
+    links = corpus.links(corpus.near(pairs))
     joined = cut(components(links))
-    rest = cut(_apart(near.select("a", "b").join(best, ["a", "b"], "left_anti"), joined))
-    if not rest.isEmpty():
-        links = corpus.links(rest).unionByName(links)
-        joined = cut(components(links))
+    # Then crowded sets meet those that nothing has joined them to.
     many = cut(_with_component(found.where("kind = 1").select(F.col("a").alias("print"), "n").distinct(), joined, "print", "component"))
     if not many.isEmpty():
-        again = cut(corpus.near(cut(corpus.second(many).join(pairs, ["a", "b"], "left_anti"))))
-        joined = cut(components(links.unionByName(corpus.links(again))))
+        again = cut(corpus.second(many).join(pairs, ["a", "b"], "left_anti"))
+        joined = cut(_joined_further(joined, corpus.links(corpus.near(again))))
     # The least id of each component, for the sets that more than one row has or something has joined.
     of_set = _with_component(corpus.one.select("print", "times", "least"), joined, "print", "root")
     roots = of_set.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("times").alias("rows")).where("rows > 1")
