@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from dossia.operators.checkpoints import cut
 
 
+#: Edges that one task writes between rounds, as far as they were so many in the first one.
+TASK_ROWS = 50_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reached) of every node in edges (a long, b long); nulls and loops don't count.
 
@@ -16,16 +20,16 @@ def components(edges: DataFrame) -> DataFrame:
     the longest path. Each round is checkpointed.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before, rows = None, now.count()
     while True:
         # Large star: of u's neighbours, those above u are linked to the smallest of u and its neighbours.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).select("a", "m")
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # Small star: u and its smaller neighbours are linked to the smallest of those.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        now = cut(small)
+        now = cut(small.coalesce(max(1, -(-rows // TASK_ROWS))))  # few edges: few tasks and files
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(state) == before:
             break
