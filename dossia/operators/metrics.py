@@ -66,8 +66,12 @@ def latest(records: DataFrame, order: str, keys: tuple[str, ...] = ("variant", "
 
 
 def robustness(fields: DataFrame) -> DataFrame:
-    """kind, level, accuracy: variants named kind:level, and level 0 from the clean variant of the same documents."""
-    rows = fields.where("key is not null").select("variant", "id", F.col("ok").cast("int").alias("ok"))
+    """kind, level, accuracy: variants named kind:level, and level 0 from the clean variant of the same documents.
+
+    Of a document's repeated records under one variant only the last one counts, by the order in which they were read.
+    """
+    last = F.max("rec").over(W.partitionBy("variant", "id"))
+    rows = fields.withColumn("_last", last).where("rec = _last and key is not null").select("variant", "id", F.col("ok").cast("int").alias("ok"))
     stress = rows.where(F.col("variant").contains(":")).select(
         F.split_part("variant", F.lit(":"), F.lit(1)).alias("kind"), F.split_part("variant", F.lit(":"), F.lit(2)).cast("int").alias("level"), "id", "ok"
     )
@@ -96,9 +100,9 @@ def ids_of_all(rows: DataFrame, id_col: str, engine: str) -> DataFrame:
 def fingerprint(items: DataFrame, key: str, *columns: Column) -> DataFrame:
     """fingerprint: 12 hex digits that change with any row.
 
-    Each row is hashed where it lies; hashes are combined by bucket of the key and then over buckets, in order, so that no task holds all rows.
+    A null counts as other than any text, in its own place. Each row is hashed where it lies; hashes are combined by bucket of the key and then over buckets, in order, so that no task holds all rows.
     """
-    row = F.sha2(F.concat_ws("\u0001", F.col(key).cast("string"), *columns), 256)
+    row = F.sha2(F.concat_ws("\u0001", *[F.coalesce(c.cast("string"), F.lit("\u0002")) for c in (F.col(key), *columns)]), 256)
     bucket = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 3)  # 4096 of them
     buckets = items.select(bucket.alias("b"), F.struct(F.col(key).cast("string").alias("k"), row.alias("h")).alias("r"))
     per = buckets.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["h"]), ""), 256).alias("h"))

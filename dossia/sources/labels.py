@@ -14,7 +14,7 @@ from dossia.schema import CHECK, DOC_FIELDS, ITEM, RECORD
 
 
 def read_items(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """Labelled documents as JSON lines; unknown or missing keys and broken lines are errors. ``split``: one of them, else all."""
+    """Labelled documents as JSON lines; broken lines are errors, unknown keys are passed over and missing ones null. ``split``: one of them, else all."""
     items = spark.read.schema(ITEM).option("mode", "FAILFAST").json(path)
     return items if split in (None, "all") else items.where(F.col("split") == split)
 
