@@ -240,4 +240,4 @@ def docs_word(n: Column) -> Column:
 
 
 def percent_text(share: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", share * 100), F.lit("—"))
+    return F.when(share.isNotNull(), F.format_string("%.1f%%", share * 100)).otherwise("—")

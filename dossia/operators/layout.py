@@ -55,12 +55,16 @@ def lcs_ratio(a: str | None, b: str | None) -> float:
     a, b = a or "", b or ""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for n, y in enumerate(b, 1):
-            last, row[n] = row[n], last + 1 if x == y else max(row[n], row[n - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    places: dict[str, int] = {}
+    for n, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << n
+    # One bit for each character of a; a bit that becomes 0 is one more character of the subsequence.
+    whole = (1 << len(a)) - 1
+    free = whole
+    for y in b:
+        met = free & places.get(y, 0)
+        free = (free + met | free - met) & whole
+    return 200.0 * (len(a) - free.bit_count()) / (len(a) + len(b))
 
 
 def lcs_ratio_udf(a: str, b: str) -> Column:
@@ -122,6 +126,16 @@ def label_dim(spark) -> DataFrame:
     return spark.createDataFrame([(t, k, label) for t, labels in LABELS.items() for k, label in labels.items()], "doc_type string, key string, printed string")
 
 
+def near_labels(lines: DataFrame, least: float) -> DataFrame:
+    """label, near (array of doc_type, key, ratio): the printed labels that each distinct label is near to. Each is compared once, however many lines hold it."""
+    labels = F.array(*[F.struct(F.lit(t).alias("doc_type"), F.lit(k).alias("key"), F.lit(x).alias("printed")) for t, ls in LABELS.items() for k, x in ls.items()])
+    pairs = lines.where("label <> ''").select("label").distinct().select("label", F.inline(labels))
+    size = F.length("label") + F.length("printed")
+    possible = pairs.where(F.least(F.length("label"), F.length("printed")) * 200 >= size * least)  # no ratio is higher than that of the lengths
+    rated = possible.withColumn("ratio", lcs_ratio_udf("label", "printed")).where(F.col("ratio") >= least)
+    return rated.groupBy("label").agg(F.collect_list(F.struct("doc_type", "key", "ratio")).alias("near"))  # a few dozen at most
+
+
 def doc_types(lines: DataFrame) -> DataFrame:
     """doc_id, doc_type by vote: 2 for each keyword in the text, 1 for each line whose best label is near (80); ties go to the first type in KEYWORDS."""
     order = list(KEYWORDS)
@@ -129,9 +143,8 @@ def doc_types(lines: DataFrame) -> DataFrame:
     whole = lines.groupBy("doc_id").agg(F.translate(F.upper(text), "Ё", "Е").alias("text"))
     words = F.array(*[F.struct(F.lit(t).alias("doc_type"), sum((F.when(F.col("text").contains(k), 2).otherwise(0) for k in KEYWORDS[t]), F.lit(0)).alias("n")) for t in order])
     by_word = whole.select("doc_id", F.inline(words))
-    labels = F.array(*[F.struct(F.lit(t).alias("doc_type"), F.lit(x).alias("printed")) for t, ls in LABELS.items() for x in ls.values()])
-    near = lines.where("label <> ''").select("*", F.inline(labels))
-    near = near.withColumn("ratio", lcs_ratio_udf("label", "printed")).groupBy(*LINE, "doc_type").agg(F.max("ratio").alias("ratio")).where("ratio >= 80")
+    met = lines.select(*LINE, "label").join(near_labels(lines, 80), "label")
+    near = met.select(*LINE, F.explode(F.array_distinct(F.transform("near", lambda x: x["doc_type"]))).alias("doc_type"))
     votes = by_word.unionByName(near.select("doc_id", "doc_type", F.lit(1).alias("n"))).groupBy("doc_id", "doc_type").agg(F.sum("n").alias("n"))
     place = F.array_position(F.array(*map(F.lit, order)), F.col("doc_type"))
     return votes.groupBy("doc_id").agg(F.max(F.struct("n", (-place).alias("p"), "doc_type"))["doc_type"].alias("doc_type"))
@@ -139,12 +152,12 @@ def doc_types(lines: DataFrame) -> DataFrame:
 
 def labelled_values(lines: DataFrame, types: DataFrame) -> DataFrame:
     """doc_id, doc_type, key, value, next_value: the best line for each label, from 70 on; short labels need 80."""
-    spark = lines.sparkSession
     order = W.partitionBy("doc_id").orderBy("block", "par", "line")
     after = F.when(F.lead("label").over(order) == "", F.nullif(F.lead("value").over(order), F.lit("")))
     rows = lines.withColumn("next_value", after).where("label <> '' and value <> ''").join(types, "doc_id")
-    met = rows.join(F.broadcast(label_dim(spark)), "doc_type").withColumn("ratio", lcs_ratio_udf("label", "printed"))
-    best = met.groupBy(*LINE, "doc_type", "label", "value", "next_value").agg(F.max(F.struct("ratio", "key")).alias("b"))
+    met = rows.join(near_labels(lines, 70), "label")
+    of_type = F.filter("near", lambda x: x["doc_type"] == F.col("doc_type"))
+    best = met.withColumn("b", F.array_max(F.transform(of_type, lambda x: F.struct(x["ratio"].alias("ratio"), x["key"].alias("key"))))).where("b is not null")
     best = best.select(*LINE, "doc_type", "value", "next_value", "b.key", (F.col("b.ratio") - F.when(F.length("label") <= 6, 10).otherwise(0)).alias("score"))
     first = W.partitionBy("doc_id", "key").orderBy(F.desc("score"), "block", "par", "line")
     best = best.where("score >= 70").withColumn("n", F.row_number().over(first)).where("n = 1")

@@ -14,7 +14,6 @@ from dossia.functions import canon as C
 from dossia.functions.answers import extraction
 from dossia.functions.regions import plate_codes
 from dossia.operators import layout, linking, metrics, quality
-from dossia.plans.phrases import parse_phrases
 from dossia.plans.predicates import Cond, any_text, compile_all, kinds_of, search, vocabulary
 from dossia.schema import EPTS, PTS, STS_BACK, STS_FRONT
 from dossia.sources.labels import annotations
@@ -110,23 +109,6 @@ def card_doc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.doc_counts(table(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey", "o_custkey", "o_orderstatus")
 
 
-PHRASES = [
-    "белые тойоты с 2015 по 2018 из Саратова", "хендай крета мощнее 120 л.с.", "машины Морозовой не старше 2012 года", "а123вс164", "дизель 1.6 евро 5 с эптс",
-    "vin XTA2112", "категории b", "лада веста или киа рио", "непонятное слово",
-]
-
-
-@query()
-def nlq_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditions of a few phrases against a small card table."""
-    phrases = spark.createDataFrame(list(enumerate(PHRASES)), "phrase_id int, text string")
-    cards = spark.createDataFrame(
-        [("HYUNDAI CRETA", "МОРОЗОВА", "Г. САРАТОВ", "САРАТОВСКАЯ ОБЛ"), ("LADA VESTA", "ИВАНОВ", "Г. КАЗАНЬ", "РЕСП. ТАТАРСТАН"), ("KIA RIO", None, None, None)],
-        "make_model string, owner_last string, city string, region string",
-    )
-    return parse_phrases(phrases, cards).withColumn("value", F.array_join("value", "|"))
-
-
 # ---- canonical forms ----------------------------------------------------------------------------------------------
 
 _BASE = "trim(regexp_replace(translate(upper({0}), 'Ё', 'Е'), '\\s+', ' ', 'g'), ' .,;:')"
