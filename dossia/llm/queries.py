@@ -45,7 +45,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     test = held_out(F.col("doc_id"), 4, 2)
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~test)
-    model = toxicity.fit(toxicity.labelled_texts(docs, labels), label_col="label")
+    model = toxicity.fit(toxicity.labelled_texts(docs, labels), label_col="label", id_col="_id")
     scored = toxicity.score_texts(docs.select("doc_id", test.alias("held_out"), "text"), model, keep_text=False)
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 

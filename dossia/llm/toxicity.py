@@ -7,7 +7,6 @@ As features add up over words, a worker scores each distinct word once.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,19 +24,19 @@ from dossia.llm.bpe import by_block
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
-#: Bounds of the fit: documents taken from the labelled ones by a hash of their texts, in parts of at least so many that are fitted apart and averaged.
+#: Bounds of the fit: documents taken from the labelled ones by a hash of id and text, in parts of at least so many that are fitted apart and averaged.
 TRAIN_DOCS = 12_000
 PART_DOCS = 2_000
 STEPS = 150
 PENALTY = 2e-4
-#: Ratios of n-grams rarer than this, or nearer to 0, count as 0.
+#: Ratios of n-grams rarer than this in the sample, or nearer to 0, count as 0; parameters of fit().
 LEAST_COUNT = 4
 LEAST_RATIO = 0.4
 THRESHOLD = 0.3
 BLOCK_BYTES = 2_000_000
 REMEMBERED = 200_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 
 
 def distinct_words(text: str) -> set[str]:
@@ -130,19 +130,22 @@ def _fit_part(ratio: np.ndarray, rows: pd.DataFrame) -> tuple[np.ndarray, float]
     return out, float(b)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> ToxicityModel:
-    """A model of about ``train_docs`` labelled rows chosen by a hash of the text. Rows with a null label are no examples; null texts are empty.
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS, id_col: str | None = None,
+        least_count: int = LEAST_COUNT, least_ratio: float = LEAST_RATIO) -> ToxicityModel:
+    """A model of about ``train_docs`` labelled rows chosen by a hash of the text, with ``id_col`` of id and text, so that copies are drawn and
+    dealt to parts one by one. Rows with a null label are no examples; null texts are empty.
 
     Without examples of both classes all texts score the share of label 1 (0 without any example).
     """
-    rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    drawn = F.xxhash64(*([id_col] if id_col else []), text_col)
+    rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"), drawn.alias("drawn")).where("label in (0, 1)")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < ones < n:
         share = ones / n if n else 0.0
         return ToxicityModel(np.zeros(BUCKETS), 40.0 if share else -40.0)
-    spot = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
+    spot = F.pmod("drawn", F.lit(1_000_000))
     number = max(1, min(n, train_docs) // PART_DOCS)
-    chosen = rows.where(spot < int(min(1.0, train_docs / n) * 1_000_000)).repartition(number, F.xxhash64("text", F.lit(1)))
+    chosen = rows.where(spot < int(min(1.0, train_docs / n) * 1_000_000)).repartition(number, F.xxhash64("drawn", F.lit(1)))
     total = F.expr("aggregate(all, array_repeat(0D, size(all[0])), (a, x) -> zip_with(a, x, (p, q) -> p + q))")
     parts = chosen.mapInPandas(_class_counts, "k int, counts array<double>").groupBy("k").agg(F.collect_list("counts").alias("all"))
     counts = np.zeros((2, BUCKETS))
@@ -150,14 +153,14 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", t
         counts[:, r.k * (BUCKETS // 64) : (r.k + 1) * (BUCKETS // 64)] = np.array(r.counts).reshape(2, -1)
     toxic, other = counts[1] + 1, counts[0] + 1
     ratio = np.log((toxic / toxic.sum()) / (other / other.sum()))
-    ratio[(counts.sum(axis=0) < LEAST_COUNT) | (np.abs(ratio) < LEAST_RATIO)] = 0
+    ratio[(counts.sum(axis=0) < least_count) | (np.abs(ratio) < least_ratio)] = 0
     sent = chosen.sparkSession.sparkContext.broadcast(ratio)
 
     def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         weight, intercept = _fit_part(sent.value, part)
         return pd.DataFrame({"n": [len(part)], "weight": [weight.astype("<f4").tobytes()], "intercept": [intercept]})
 
-    by_part = chosen.groupBy(F.pmod(F.xxhash64("text", F.lit(2)), F.lit(number)).alias("part"))
+    by_part = chosen.groupBy(F.pmod(F.xxhash64("drawn", F.lit(2)), F.lit(number)).alias("part"))
     fitted = by_part.applyInPandas(learn, "n long, weight binary, intercept double").collect()  # one row of a fixed size for each part
     rows_fitted = sum(r.n for r in fitted)
     weight = sum(np.frombuffer(r.weight, "<f4").astype(float) * r.n for r in fitted) / rows_fitted

@@ -149,3 +149,24 @@ def test_ngrams_stay_within_words():
     at, ends = toxicity.ngrams(["ab", "", "a1cd"])
     # ^ab$ has 4 characters: two of 3, one of 4; ^a$^cd$ is one string of 7.
     assert ends.tolist() == [3, 3, 3 + 5 + 4 + 3 + 2] and len(at) == ends[-1]
+
+
+def test_copies_are_drawn_one_by_one(spark):
+    """One text is half of the rows, and its label is wrong in one row of four; by text alone it would be drawn whole or not at all."""
+    rows = [(n, "same words again", int(n % 4 == 0)) for n in range(4000)] + [(n, f"word{n} other", int(n % 2 == 0)) for n in range(4000, 8000)]
+    model = toxicity.fit(spark.createDataFrame(rows, "id long, text string, toxic int"), train_docs=400, id_col="id")
+    got = toxicity.score_texts(spark.createDataFrame([(1, "same words again")], "id long, text string"), model).first().score
+    assert 0.1 < got < 0.45
+
+
+def test_few_examples_need_no_least_count(spark):
+    rows = [(1, "horrid thing", 1), (2, "sunny road", 0), (3, "quiet house", 0)]
+    docs = spark.createDataFrame(rows, "id long, text string, toxic int")
+    model = toxicity.fit(docs, id_col="id", least_count=1, least_ratio=0.0)
+    score = {r.id: r.score for r in toxicity.score_texts(docs, model).collect()}
+    assert score[1] > max(score[2], score[3])
+
+
+def test_marks_belong_to_words():
+    at, _ = toxicity.ngrams(["e\u0301ab"])
+    assert len(at) == 4 + 3 + 2 + 1
