@@ -106,10 +106,34 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language_id, op3_toxicity, op4_exact_dedup, op5_link_graph, op6_jaccard, op7_topk, op8_packing, op9_substring_dedup, op10_sharding)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dossia.llm.token_alignment import aligned_scores
 
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    done = aligned_scores(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dossia.llm.filter_audit import filter_audit
+
+    return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dossia.llm.embedding_dedup import vector_groups
+
+    return vector_groups(read(spark, sf_dir, "embeddings"))
 
 
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe, op2_language_id, op3_toxicity, op4_exact_dedup, op5_link_graph, op6_jaccard, op7_topk, op8_packing, op9_substring_dedup, op10_sharding,
+        op11_token_alignment, op12_filter_audit, op13_embedding_dedup,
+    )
+}
+
 def _link_graph_sql() -> str:
     """The same judgement as one statement: rules, edges between hosts, and each round of both walks as a table of its own."""
     from dossia.llm import url_graph as g
@@ -165,4 +189,64 @@ ORACLES = {
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op12_filter_audit": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+        ), g AS (SELECT text, min(doc_id) AS least FROM t GROUP BY text),
+        w AS (
+            SELECT t.*, doc_id > least AS copy, [x FOR x IN regexp_split_to_array(text, '[\x20\x09-\x0D]+') IF x <> ''] AS words
+            FROM t LEFT JOIN g USING (text)
+        ), l AS (
+            SELECT doc_id, coalesce(max(CAST(quality = 1 AS INT)), 0) AS good, coalesce(max(CAST(toxic = 1 AS INT)), 0) AS toxic FROM labels GROUP BY doc_id
+        ), m AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {
+                'A': len(words) < 50,
+                'B': 100 * len(list_distinct(words)) < 65 * len(words),
+                'C': 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text),
+                'D': regexp_matches(text, '[#$%&*|]'),
+                'E': coalesce(copy, false)
+            } AS f
+            FROM w LEFT JOIN l USING (doc_id)
+        ), d AS (
+            SELECT part, concat(CASE WHEN f.A THEN 'A' ELSE '' END, CASE WHEN f.B THEN 'B' ELSE '' END, CASE WHEN f.C THEN 'C' ELSE '' END,
+                                CASE WHEN f.D THEN 'D' ELSE '' END, CASE WHEN f.E THEN 'E' ELSE '' END) AS failed, good, toxic
+            FROM m
+        ), c AS (
+            SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, failed
+        ), o AS (
+            SELECT '' AS filter_order UNION ALL
+            SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)
+        ), s AS (
+            SELECT filter_order, step, filter_order[step] AS x, filter_order[1:step - 1] AS earlier
+            FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step) WHERE len(filter_order) = 5
+        ), r AS (
+            SELECT part, filter_order, step, x,
+                   sum(n) FILTER (translate(failed, earlier || x, '') = failed) AS kept,
+                   coalesce(sum(n) FILTER (contains(failed, x) AND translate(failed, earlier, '') = failed), 0) AS removed,
+                   coalesce(sum(n) FILTER (contains(failed, x) AND translate(failed, earlier, '') <> failed), 0) AS redundant,
+                   coalesce(sum(n) FILTER (failed = x), 0) AS unique_fails,
+                   coalesce(sum(good) FILTER (contains(failed, x) AND translate(failed, earlier, '') = failed), 0) AS good_lost,
+                   coalesce(sum(toxic) FILTER (contains(failed, x) AND translate(failed, earlier, '') = failed), 0) AS toxic_lost
+            FROM c, s GROUP BY ALL
+        )
+        SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+        FROM r""",
+    "op13_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), u AS (
+            SELECT vec_id, label, e, sqrt(list_sum([x * x FOR x IN e])) AS size FROM v
+            WHERE label IS NOT NULL AND e IS NOT NULL AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0
+        ), p AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.98
+        ), r AS (
+            SELECT a AS vec_id, b AS reached FROM p UNION SELECT r.vec_id, p.b FROM r JOIN p ON r.reached = p.a
+        ), n AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a),
+        c AS (SELECT vec_id, min(reached) AS least FROM r GROUP BY vec_id)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id,
+               vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
+        FROM v LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)""",
 }
