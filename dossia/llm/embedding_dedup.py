@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossia.llm.common import BROADCAST_ROWS, cut, small
+from dossia.llm.common import BROADCAST_ROWS, cut, drawn, small
 from dossia.operators.components import components
 
 THRESHOLD = 0.98
@@ -86,8 +86,7 @@ def centres_of(vectors: DataFrame, d: int, cells: int, rounds: int = ROUNDS, see
     The sample is drawn by a 64-bit hash, about SAMPLE_ROWS vectors for each cell. Each round sends sums for each centre to the driver.
     """
     rows = vectors.count()
-    below = -(2**63) + int(min(1.0, SAMPLE_ROWS * cells / max(1, rows)) * (2**64 - 1))
-    sample = cut(vectors.where(F.xxhash64(F.lit(seed), "v") <= F.lit(below)).select("v"))
+    sample = cut(vectors.where(drawn(F.xxhash64(F.lit(seed), "v"), SAMPLE_ROWS * cells, rows)).select("v"))
     first = sample.orderBy(F.xxhash64(F.lit(seed + 1), "v")).limit(4 * cells).collect()  # four vectors for each cell at most
     if cells <= 1 or not first:
         return np.zeros((0, d))
@@ -205,7 +204,8 @@ def vector_groups(
     Two vectors link if their labels are equal and not null (without ``label_col`` all are compared) and their cosine in double precision is at least
     ``threshold`` (over 0.5). n_links counts other rows linked directly, component_id is the smallest id reached by links, kept says whether that is
     the row's own. Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, link with nothing and are kept; vectors of different lengths
-    aren't compared. Rows that repeat a vector, with the same id or not, are linked; they are compared once. An empty table gives an empty result; other
+    aren't compared. Rows that repeat a vector, with the same id or not, are linked; they are compared once. Rows that share an id but not
+    the vector are different ones. An empty table gives an empty result; other
     columns of vectors are not read.
     """
     label = F.col(label_col) if label_col else F.lit(0)
@@ -243,8 +243,8 @@ def vector_groups(
     links = found.where("links > 0").groupBy("cls").agg(F.sum("links").alias("links"))
     joined = components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
     joined = cut(joined.join(classes.select(F.col("cls").alias("node"), "least"), "node"))
-    least = joined.groupBy("component").agg(F.min("least").alias("root"))
-    roots = joined.select("node", "component").join(least, "component").select(F.col("node").alias("cls"), "root")
+    least = cut(joined.groupBy("component").agg(F.min("least").alias("root")))
+    roots = joined.select("node", "component").join(small(least), "component").select(F.col("node").alias("cls"), "root")
     told = classes.join(links, "cls", "left").join(roots, "cls", "left")
     told = cut(told.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "least").alias("root")))
     # Rows of one vector are split among tasks where they are many; the other side has one row for each.

@@ -16,9 +16,9 @@ from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossia.llm.common import stored
+from dossia.llm.common import cut, small, stored
 
-#: Bytes of texts that a task holds before it sends them on; copies within them are settled where they lie.
+#: Bytes of texts that a task holds before it sends them on; copies within them are settled where they lie. Partitions get about as many.
 BLOCK_BYTES = 32 << 20
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
@@ -115,10 +115,10 @@ def failure_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if id_type not in ("tinyint", "smallint", "int", "bigint", "string"):
         raise ValueError(f"ids of type {id_type}")
     part = F.coalesce(F.col(part_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), part.alias("part"), F.col(text_col).cast("string").cast("binary").alias("text")).rdd
-    # A partition of the input is bounded in bytes, and so is its share after routing.
-    number = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    routed = rows.mapPartitions(_send(block_bytes)).partitionBy(number, lambda key: key).mapPartitions(_receive)
+    text = F.col(text_col).cast("string").cast("binary").alias("text")
+    total, least = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0], int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), part.alias("part"), text).rdd
+    routed = rows.mapPartitions(_send(block_bytes)).partitionBy(max(least, -(-total // block_bytes)), lambda key: key).mapPartitions(_receive)
     return docs.sparkSession.createDataFrame(routed, f"doc_id {id_type}, part string, mask int")
 
 
@@ -171,7 +171,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """
     one = lambda c: F.max((F.col(c) == 1).cast("int")).alias(c)
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(one("quality"), one("toxic"))
-    masks = stored(failure_masks(docs, id_col, text_col, part_col), "masks").join(known, "doc_id", "left")
+    masks = stored(failure_masks(docs, id_col, text_col, part_col), "masks").join(small(cut(known)), "doc_id", "left")
     says = lambda c: F.coalesce(F.col(c), F.lit(0))
     counted = mask_counts(masks.select("part", "mask", says("quality"), says("toxic")).rdd)
     rows = counted.flatMap(lambda x: ((x[0], *step) for step in audit_orders(x[1])))

@@ -33,8 +33,8 @@ CHUNK_CHARS = 64
 REMEMBERED = 250_000
 TRANSITIONS = 300_000
 
-# Both tokenizers cut a text before a space that follows a character other than white space.
-_CUT = re.compile(r"(?<=\S)(?= )")
+# Both tokenizers cut a text before spaces that follow a character other than white space. Spaces at the end stay with the last chunk.
+_CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 
 A, B = 0, 1
 _EMPTY = 0  # the state without a residual
