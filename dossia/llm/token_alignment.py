@@ -30,7 +30,7 @@ from dossia.llm.common import stored
 BLOCK_BYTES = 2_000_000
 #: Results of chunks of up to so many characters, and transitions, that a worker remembers.
 CHUNK_CHARS = 64
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 TRANSITIONS = 300_000
 
 # Both tokenizers cut a text before spaces that follow a character other than white space. Spaces at the end stay with the last chunk.
