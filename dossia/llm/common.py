@@ -12,7 +12,7 @@ from dossia.operators.checkpoints import cut, shared_dir
 #: Rows up to which a side with a few fixed-width columns is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
-__all__ = ["BROADCAST_ROWS", "ascii_lower", "cut", "drawn", "read", "shared_dir", "small", "stored"]
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "cut", "draw_below", "drawn", "read", "shared_dir", "small", "stored"]
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -38,9 +38,12 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, _UPPER, _UPPER.lower()))
 
 
+def draw_below(want: int, rows: int) -> int:
+    """The 64-bit hash up to which a row belongs to a sample of about ``want`` of ``rows`` rows. All 64 bits count, so no share rounds to
+    nothing however many the rows; with want >= rows all are drawn."""
+    return 2**63 - 1 if want >= rows else -(2**63) + (max(0, want) << 64) // rows
+
+
 def drawn(hashed: Column, want: int, rows: int) -> Column:
-    """Whether a row whose 64-bit hash this is belongs to a sample of about ``want`` of ``rows`` rows. Shares are compared with all 64 bits, so
-    none rounds to nothing however many the rows; with want >= rows all are drawn."""
-    if want >= rows:
-        return F.lit(True)
-    return hashed < F.lit(-(2**63) + (max(0, want) << 64) // rows)
+    """Whether a row with this 64-bit hash belongs to a sample of about ``want`` of ``rows`` rows."""
+    return hashed <= F.lit(draw_below(want, rows))

@@ -23,19 +23,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossia.llm.bpe import by_block
-from dossia.llm.common import cut
+from dossia.llm.common import cut, draw_below
 from dossia.llm.wordhash import Words
 
 UND = "und"
 #: Bounds of the fit: documents taken from the labelled ones, in equal parts from all languages and by a hash of their texts, and rounds.
 TRAIN_DOCS = 6_000
 ROUNDS = 3
-#: The model holds a probability of each piece for each language; more languages than this are refused.
+#: The model holds a probability of each piece for each language: the commonest languages are learned, so many at most.
 MOST_LANGUAGES = 500
 SMOOTHING = 0.05
 START = "▁"  # what the vocabulary writes for a word's start
 BLOCK_BYTES = 4_000_000
 REMEMBERED = 400_000
+REMEMBERED_BYTES = 128 << 20
 
 _LETTERS = regex.compile(r"\p{L}+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -197,16 +198,17 @@ def _word_counts(train: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 def fit(labelled: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> LanguageModel:
     """Piece probabilities from about ``train_docs`` of the labelled rows, in equal parts from all languages, chosen by a hash of the text.
 
-    Rows that repeat a text and its language count once; null texts or languages are no examples.
+    Rows that repeat a text and its language count once; null texts or languages are no examples. Of more than MOST_LANGUAGES languages
+    those with the most rows are learned (ties by name), the others are no examples. An empty table gives a model without languages.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    seen = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()  # one row for each language
-    if len(seen) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    share = {r.lang: int(min(1.0, train_docs / len(seen) / r.n) * 1_000_000) for r in seen}
-    spot = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    below = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang")) if share else F.lit(0)
-    words = cut(_word_counts(rows.where(spot < below).dropDuplicates(["text", "lang"]), "text", "lang"))
+    seen = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()  # one row for each language
+    sample = rows.where(F.lit(False))
+    if seen:
+        below = [(r.lang, draw_below(-(-train_docs // len(seen)), r.n)) for r in seen]
+        shares = rows.sparkSession.createDataFrame(below, "lang string, below long")
+        sample = rows.join(F.broadcast(shares), "lang").where(F.xxhash64("text") <= F.col("below")).select("text", "lang").dropDuplicates(["text", "lang"])
+    words = cut(_word_counts(sample, "text", "lang"))
     languages = sorted(r.lang for r in words.select("lang").distinct().collect())  # MOST_LANGUAGES at most
     pieces = piece_ids(path)
     size = len(pieces) + 1
@@ -241,6 +243,7 @@ class _Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model, self.pieces = model, piece_ids(model.path)
+        self.most = max(1000, min(REMEMBERED, REMEMBERED_BYTES // (8 * max(1, len(model.languages)))))
         self.clear()
 
     def clear(self) -> None:
@@ -259,12 +262,15 @@ class _Scorer:
             scores = forward([START + w for w in words], self.pieces, self.model.prob)[np.fromiter(map(words.__getitem__, flat), np.int64, len(flat))]
             new = np.stack([np.bincount(of, scores[:, k], len(runs)) for k in range(new.shape[1])], axis=1) if new.shape[1] else new
         self.row.update(zip(hashes, range(len(self.row), len(self.row) + len(hashes)), strict=True))
-        self.scores = np.concatenate([self.scores, new])
-        self.letters = np.concatenate([self.letters, number > 0])
+        end = len(self.row)
+        if end > len(self.letters):  # grows by doubling
+            more = end + len(self.letters)
+            self.scores, self.letters = np.resize(self.scores, (more, self.scores.shape[1])), np.resize(self.letters, more)
+        self.scores[end - len(hashes) : end], self.letters[end - len(hashes) : end] = new, number > 0
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each text in each language, and whether it has a letter."""
-        if len(self.row) > REMEMBERED:
+        if len(self.row) > self.most:
             self.clear()
         w = Words([t.lower().encode("utf-8", "surrogatepass") for t in texts])
         hashes, first, at = np.unique(w.hash, return_index=True, return_inverse=True)
