@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossia.llm.bpe import by_block
+from dossia.llm.common import cut, drawn, small
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
@@ -29,7 +30,7 @@ TRAIN_DOCS = 12_000
 PART_DOCS = 2_000
 STEPS = 150
 PENALTY = 2e-4
-#: Ratios of n-grams rarer than this in the sample, or nearer to 0, count as 0; parameters of fit().
+#: Ratios of n-grams rarer than this in a sample of TRAIN_DOCS (in proportion less in smaller ones), or nearer to 0, count as 0; parameters of fit().
 LEAST_COUNT = 4
 LEAST_RATIO = 0.4
 THRESHOLD = 0.3
@@ -133,19 +134,19 @@ def _fit_part(ratio: np.ndarray, rows: pd.DataFrame) -> tuple[np.ndarray, float]
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS, id_col: str | None = None,
         least_count: int = LEAST_COUNT, least_ratio: float = LEAST_RATIO) -> ToxicityModel:
     """A model of about ``train_docs`` labelled rows chosen by a hash of the text, with ``id_col`` of id and text, so that copies are drawn and
-    dealt to parts one by one. Rows with a null label are no examples; null texts are empty.
+    dealt to parts one by one. Rows with a null label are no examples; null texts are empty; repeated rows are drawn together. n-grams rarer than
+    ``least_count`` are left out of a sample of TRAIN_DOCS, in smaller samples those rarer than that share of it.
 
     Without examples of both classes all texts score the share of label 1 (0 without any example).
     """
-    drawn = F.xxhash64(*([id_col] if id_col else []), text_col)
-    rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"), drawn.alias("drawn")).where("label in (0, 1)")
+    spot = F.xxhash64(*([id_col] if id_col else []), text_col)
+    rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"), spot.alias("drawn")).where("label in (0, 1)")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < ones < n:
         share = ones / n if n else 0.0
         return ToxicityModel(np.zeros(BUCKETS), 40.0 if share else -40.0)
-    spot = F.pmod("drawn", F.lit(1_000_000))
     number = max(1, min(n, train_docs) // PART_DOCS)
-    chosen = rows.where(spot < int(min(1.0, train_docs / n) * 1_000_000)).repartition(number, F.xxhash64("drawn", F.lit(1)))
+    chosen = rows.where(drawn(F.col("drawn"), train_docs, n)).repartition(number, F.xxhash64("drawn", F.lit(1)))
     total = F.expr("aggregate(all, array_repeat(0D, size(all[0])), (a, x) -> zip_with(a, x, (p, q) -> p + q))")
     parts = chosen.mapInPandas(_class_counts, "k int, counts array<double>").groupBy("k").agg(F.collect_list("counts").alias("all"))
     counts = np.zeros((2, BUCKETS))
@@ -153,6 +154,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", t
         counts[:, r.k * (BUCKETS // 64) : (r.k + 1) * (BUCKETS // 64)] = np.array(r.counts).reshape(2, -1)
     toxic, other = counts[1] + 1, counts[0] + 1
     ratio = np.log((toxic / toxic.sum()) / (other / other.sum()))
+    least_count *= min(1.0, min(n, train_docs) / TRAIN_DOCS)
     ratio[(counts.sum(axis=0) < least_count) | (np.abs(ratio) < least_ratio)] = 0
     sent = chosen.sparkSession.sparkContext.broadcast(ratio)
 
@@ -193,7 +195,10 @@ def _scorer(model: ToxicityModel) -> _Scorer:
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "score", keep_text: bool = True) -> DataFrame:
-    """docs with a score from 0 to 1 for each whole text; null counts as empty. A column of that name is replaced, the others stay."""
+    """docs with a score from 0 to 1 for each whole text; null counts as empty. A column of that name is replaced, the others stay.
+
+    Rows are scored on their own: repeated ones alike, texts of any length whole; an empty table gives an empty result.
+    """
     kept = [c for c in docs.columns if c != out_col and (keep_text or c != text_col)]
     schema = T.StructType([*(f for f in docs.schema.fields if f.name in kept), T.StructField(out_col, T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -210,9 +215,14 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", o
     return docs.mapInArrow(run, schema)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """text and label of documents with one label; ids with more than one label are no examples."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 4 * TRAIN_DOCS) -> DataFrame:
+    """_id, text and label of documents with one label; ids with more than one label are no examples.
+
+    About ``most`` ids are drawn by their hash from all labelled ones before they meet the documents, so they are broadcast and no text is shuffled.
+    """
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(
         F.max(label_col).alias("label"), F.min(label_col).alias("_least")
     ).where("label = _least").select(F.col(id_col).alias("_id"), "label")
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(one, "_id")
+    one = cut(one)
+    one = cut(one.where(drawn(F.xxhash64("_id"), most, one.count())))
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(small(one), "_id")
