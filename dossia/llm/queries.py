@@ -156,17 +156,17 @@ def _link_graph_sql() -> str:
         h AS (SELECT host AS src, unnest(regexp_extract_all(html, '{g.HREF.replace("'", "''")}', 1)) AS quoted FROM p),
         l AS (SELECT src, CASE WHEN prefix(href, '//') THEN 'http:' || href ELSE href END AS href FROM (SELECT src, trim(quoted, chr(34) || chr(39)) AS href FROM h) WHERE contains(href, '//')),
         e AS (SELECT src, dst, count(*) AS n FROM (SELECT src, {host("href")} AS dst FROM l) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
-        b AS (SELECT 'allow' AS kind, src, dst, n FROM e UNION ALL SELECT 'block', dst, src, n FROM e),
+        b AS (SELECT 'allow' AS kind, src, dst, n FROM e UNION ALL SELECT 'block', dst, src, n FROM e UNION ALL SELECT 'page', dst, src, n FROM e),
         w AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS w FROM b),
-        c AS (SELECT by_rule AS kind, host, count(*) AS n FROM j WHERE by_rule IS NOT NULL GROUP BY by_rule, host),
+        c AS (SELECT by_rule AS kind, host, count(*) AS n FROM j WHERE by_rule IS NOT NULL AND host <> '' GROUP BY by_rule, host
+              UNION ALL SELECT 'page', host, count(*) FROM j WHERE host <> '' GROUP BY host),
         r0 AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS score FROM c),
         {", ".join(rounds)},
-        o AS (SELECT kind, host, score / sum(score) OVER (PARTITION BY kind) AS score FROM r{g.ROUNDS}),
-        s AS (SELECT host, coalesce(sum(CASE WHEN kind = 'allow' THEN score END), 0) AS trust, coalesce(sum(CASE WHEN kind = 'block' THEN score END), 0) AS distrust FROM o GROUP BY host),
-        z AS (SELECT host, count(*) / (SELECT count(*) FROM j WHERE host <> '') AS size FROM j WHERE host <> '' GROUP BY host)
+        s AS (SELECT host, coalesce(sum(CASE WHEN kind = 'allow' THEN score END), 0) AS trust, coalesce(sum(CASE WHEN kind = 'block' THEN score END), 0) AS distrust,
+                     coalesce(sum(CASE WHEN kind = 'page' THEN score END), 0) AS usual FROM r{g.ROUNDS} GROUP BY host)
         SELECT j.page_id, j.host, j.path, j.rule,
-               coalesce(j.by_rule, CASE WHEN coalesce(s.distrust, 0) > {g.THRESHOLD * (1 + g.TOLERANCE)} * greatest(coalesce(s.trust, 0), coalesce(z.size, 0)) THEN 'block' ELSE 'allow' END) AS verdict
-        FROM j LEFT JOIN z ON j.host = z.host LEFT JOIN s ON z.host = s.host"""
+               coalesce(j.by_rule, CASE WHEN s.distrust > {g.THRESHOLD * (1 + g.TOLERANCE)} * greatest(s.trust, s.usual) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM j LEFT JOIN s ON j.host = s.host AND j.host <> ''"""
 
 
 ORACLES = {
