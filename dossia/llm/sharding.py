@@ -52,7 +52,8 @@ def shuffled_order(rows: DataFrame, seed: int = 17, bucket_rows: int = 20_000, b
     Equal rows are counted before they are dealt out, and each copy's number enters the seeded hash, so that a row
     repeated many times fills no bucket; buckets hold about ``bucket_rows`` rows or ``bucket_bytes`` bytes of strings, whichever is
     less, as one task holds a whole bucket. Bucket offsets are sums over one row per bucket.
-    The order within a bucket is drawn by the task that lays it out; seeds fix the bucket of each record, not its place there.
+    The order within a bucket is drawn by the task that lays it out, from a stream that the seed and the partition's number fix: a task that runs
+    again gives each record the same position. Columns of a map type have no order and are refused.
     """
     scattered, buckets = _scattered(rows, seed, bucket_rows, bucket_bytes)
     sizes = cut(scattered.groupBy("_bucket").agg(F.count("*").alias("_size")))
@@ -64,7 +65,9 @@ def shuffled_order(rows: DataFrame, seed: int = 17, bucket_rows: int = 20_000, b
     offsets = sizes.withColumn("_group", group).withColumn("_within", within).join(groups, "_group").select("_bucket", (F.col("_base") + F.col("_within")).alias("_offset"))
     # As many tasks as buckets, so that none gathers many of them.
     dealt = scattered.repartition(buckets, "_bucket")
-    laid = dealt.groupBy("_bucket").agg(F.shuffle(F.array_sort(F.collect_list("_row")), seed).alias("_rows")).join(small(cut(offsets)), "_bucket")
+    held = dealt.groupBy("_bucket").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    # Spark draws for one row after another of a partition: in a fixed order of buckets, a task that runs again draws the same.
+    laid = held.sortWithinPartitions("_bucket").select("_bucket", F.shuffle("_rows", seed).alias("_rows")).join(small(cut(offsets)), "_bucket")
     return laid.select("_bucket", "_offset", F.posexplode("_rows").alias("_at", "_row")).select(
         "_row.*", (F.col("_offset") + F.col("_at")).alias("position"), F.col("_bucket").alias("bucket")
     )
@@ -83,7 +86,11 @@ def shard_rows(rows: DataFrame, shards: int, seed: int = 17, bucket_rows: int =
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 17, bucket_rows: int = 20_000) -> None:
-    """Writes whole rows as Parquet, one folder per shard, in slot order within each file; a file holds runs of ``bucket_rows`` slots."""
+    """Writes whole rows as Parquet, one folder per shard, in slot order within each file; a file holds runs of ``bucket_rows`` slots.
+
+    Nulls, empty and repeated rows are rows like others, and a row of any length is written whole; columns named shard or slot are replaced; an empty table gives
+    a folder without shards. Positions don't depend on which task draws them, so lost executors neither drop nor repeat rows.
+    """
     placed = shard_rows(docs, shards, seed, bucket_rows)
     run = F.floor(F.col("slot") / bucket_rows)
     placed.repartition("shard", run).sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
