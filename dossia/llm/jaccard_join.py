@@ -516,5 +516,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts without words stay, as do repeated rows of an id that stays; columns of docs come along whatever their names; an empty table gives an empty result.
     """
     found = jaccard_components(docs.select(id_col, text_col), id_col, text_col, width, percent)
-    losers = small(cut(found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_loser")).distinct()))
-    return docs.join(losers, F.col(id_col) == F.col("_loser"), "left_anti")
+    losers = small(cut(found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("id")).distinct()))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    return rows.join(losers, "id", "left_anti").select("row.*")
