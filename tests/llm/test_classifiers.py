@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from dossia.llm import langid, queries, toxicity
-from dossia.llm.common import read
+from dossia.llm.common import draw_below, read
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -122,6 +122,35 @@ def test_copies_and_common_languages_dont_fill_the_sample(spark):
     assert model.languages == ["en", "fr"]
 
 
+def test_shares_of_samples_dont_round_to_nothing():
+    for rows in (10**9, 4 * 10**8 * 20, 10**13):
+        below = draw_below(300, rows) + 2**63
+        assert abs(below / 2**64 * rows - 300) < 1
+    assert draw_below(5, 5) == 2**63 - 1 and draw_below(0, 0) == 2**63 - 1
+
+
+def test_more_languages_than_are_learned(spark, monkeypatch):
+    """A noisy label column: the commonest languages are learned, by rows."""
+    rows = [(f"word{k} text{k} more{k}", f"l{k:03d}") for k in range(600)] + [("the cat and the dog", "en"), ("a cat", "en"), ("le chat et le chien", "fr"), ("un chat", "fr")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 20)
+    model = langid.fit(df, PATH)
+    assert len(model.languages) == 20 and {"en", "fr", "l000"} <= set(model.languages) and "l599" not in model.languages
+    got = langid.predict(spark.createDataFrame([(1, "the dog"), (2, "le chien")], "doc_id long, text string"), model).collect()
+    assert [r.lang_pred for r in got] == ["en", "fr"]
+
+
+def test_scorer_forgets_by_bytes(monkeypatch):
+    prob = np.full((len(langid.piece_ids(PATH)) + 1, 3), 1e-4)
+    prob[langid.piece_ids(PATH)["\u2581the"], 1] = 0.1
+    texts = [f"the word{k} cat{k}" for k in range(3000)]
+    whole = langid._Scorer(langid.LanguageModel(PATH, ["a", "b", "c"], prob)).score(texts)[0]
+    monkeypatch.setattr(langid, "REMEMBERED_BYTES", 24_000)
+    small = langid._Scorer(langid.LanguageModel(PATH, ["a", "b", "c"], prob))
+    assert small.most == 1000
+    assert np.allclose(np.concatenate([small.score(texts[k : k + 500])[0] for k in range(0, 3000, 500)]), whole) and len(small.row) < 2500
+
+
 def test_toxicity_on_held_out(spark, sf_dir):
     got = queries.op3_toxicity(spark, sf_dir)
     rows = got.join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
@@ -170,3 +199,45 @@ def test_few_examples_need_no_least_count(spark):
 def test_marks_belong_to_words():
     at, _ = toxicity.ngrams(["e\u0301ab"])
     assert len(at) == 4 + 3 + 2 + 1
+
+
+def test_three_labelled_rows_tell_texts_apart(spark):
+    rows = [(1, "horrid thing", 1), (2, "sunny road", 0), (3, "quiet house", 0)]
+    docs = spark.createDataFrame(rows, "id long, text string, toxic int")
+    score = {r.id: r.score for r in toxicity.score_texts(docs, toxicity.fit(docs, id_col="id")).collect()}
+    assert score[1] > max(score[2], score[3])
+
+
+def test_scores_match_a_plain_counter(spark):
+    """One fitted model, scored by n-grams counted one at a time."""
+    rng = random.Random(5)
+    words = ["horrid", "Sun", "t\u00e9l\u00e9", "road-side", "a1b", "\u65e5\u672c", "x" * 40, "e\u0301t"]
+    rows = [(" ".join(rng.choices(words[1:], k=12)) + (" horrid horrible" if n % 3 == 0 else ""), int(n % 3 == 0)) for n in range(90)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(40)] + [None, " \n ", "12 !"]
+
+    def bucket(run):
+        value = 0
+        for c in run:
+            value = (value * 0x9E3779B97F4A7C15 + ord(c) + 1) & (2**64 - 1)
+        value ^= value >> 29
+        value = (value * 0xBF58476D1CE4E5B9 + len(run) - 1) & (2**64 - 1)
+        return (value >> 40) % toxicity.BUCKETS
+
+    got = toxicity.score_texts(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), model).orderBy("id").collect()
+    for text, r in zip(texts, got, strict=True):
+        distinct = sorted({w for w in (text or "").lower().split()})
+        total = 0.0
+        for w in distinct:
+            marked = "".join(f"^{run}$" for run in toxicity._LETTERS.findall(w))
+            total += sum(model.weight[bucket(marked[k : k + size])] for size in toxicity.SIZES for k in range(len(marked) - size + 1))
+        z = total / max(1, len(distinct)) ** 0.5 + model.intercept
+        assert math.isclose(r.score, 1 / (1 + math.exp(-max(-40, min(40, z)))), abs_tol=1e-8)
+    assert len({r.score for r in got}) > 10
+
+
+def test_labels_meet_texts_by_drawn_ids(spark):
+    docs = spark.createDataFrame([(n, f"text {n}") for n in range(5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(4000)] + [(7, 0), (None, 1), (9, None)], "doc_id long, toxic int")
+    some = toxicity.labelled_texts(docs, labels, most=500)
+    assert 350 < some.count() < 650 and toxicity.labelled_texts(docs, labels).count() == 3999

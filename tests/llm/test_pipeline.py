@@ -38,3 +38,29 @@ def test_last_stage_holds_the_tokens(spark, sf_dir):
         for r in held.itertuples():
             assert bytes(r.ids) == b"".join(want[r.start : r.start + r.length])
     assert not out.duplicated(["sequence_id", "offset"]).any()
+
+
+def odd_documents(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty more words"
+    rows = [(1, None), (2, ""), (3, None), (4, base), (4, base), (5, base.upper()), (6, base + " at the end"), (None, "no id at all"), (7, "very long " * 40_000), (8, "clean short text"), (9, base + " then x y z")]
+    rows = [(i, t, "s", 40, "keep", 1, "kept", "label", 2) for i, t in rows]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int, _loser string, _toxicity int, kept_text string, score string, n_removed int")
+
+
+def test_odd_rows_and_clashing_names_in_every_stage(spark, sf_dir):
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        assert all(tuple(r)[3:] == (40, "keep", 1, "kept", "label", 2) for r in rows), name
+        assert {r.doc_id for r in rows} >= {1, 7, 8, None} if name != "exact dedup" else {r.doc_id for r in rows} >= {3, 7, 8, None}, name
+        assert stage(spark, docs.limit(0), sf_dir).collect() == [], name
+    left = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, sf_dir).collect()}
+    assert left[1] is None and left[4] == docs.where("doc_id = 4").first().text and left[6] == "at the end" and left[9] == "then x y z"
+    ids = sorted((r.doc_id for r in corpus_pipeline.exact_copies(spark, docs, sf_dir).collect()), key=repr)
+    assert ids == sorted([3, 5, 6, None, 7, 8, 9], key=repr)
+    ids = sorted((r.doc_id for r in corpus_pipeline.near_copies(spark, docs, sf_dir).collect()), key=repr)
+    assert ids.count(4) == 2 and 5 not in ids and 6 not in ids
+    packed = corpus_pipeline.packed(spark, docs, sf_dir)
+    assert packed.count() >= docs.count() and corpus_pipeline.packed(spark, docs.limit(0), sf_dir).collect() == []

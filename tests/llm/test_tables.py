@@ -49,14 +49,41 @@ def test_each_step_drops_rows(spark):
     """Of 60 rows 20 are alone in their length, 30 share it but no prefix, 10 share both and 4 of those are equal."""
     rows = [(n, "l" * (500 + n)) for n in range(20)] + [(100 + n, f"{n:03d}" + "m" * 200) for n in range(30)] + [(200 + n, "p" * 300 + (f"{n:03d}" if n > 3 else "999")) for n in range(10)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    lengths = {r._len for r in exact_dedup.shared_lengths(df).collect()}
+    texts = df.select(F.col("text").alias("_text"), F.octet_length("text").cast("long").alias("_len"))
+    lengths = {r._len for r in exact_dedup.shared_lengths(texts).collect()}
     assert sum(len(t) in lengths for _, t in rows) == 40
-    heads = exact_dedup.shared_heads(df).collect()
+    headed = exact_dedup._headed(texts, 1000)
+    assert headed.where("_head is not null").count() == 40
+    heads = exact_dedup.shared_heads(headed).collect()
     assert len(heads) == 1 and heads[0]._len == 303
     got = exact_dedup.exact_dedup(df).collect()
     assert sum(r.digest is not None for r in got) == 10 and sum(r.kept for r in got) == 57
 
 
+def test_no_text_is_shuffled_whatever_the_number_of_keys(spark):
+    """With broadcasts off or keys too many for them the results stay, and no exchange holds a text."""
+    texts = ["same", "Same", "other", "", None] + [f"{n % 40:04d}" for n in range(200)]
+    df = spark.createDataFrame([(n, t, "x") for n, t in enumerate(texts)] + [(0, "same", "x"), (3, "", "x")], "doc_id long, text string, _goes string").repartition(3)
+    row = lambda r: (r.doc_id, r.keep_id, r.group_size, r.kept, r.digest)
+    want = sorted(map(row, exact_dedup.exact_dedup(df, digest="all").collect()), key=repr)
+    stays = sorted(map(repr, exact_dedup.drop_exact_copies(df).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = exact_dedup.exact_dedup(df, digest="all", few_keys=0)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan
+        for line in plan.split("\n"):
+            if "Exchange hashpartitioning" in line:
+                assert "_text" not in line
+        exchanged = plan.split("Exchange hashpartitioning")[1:]
+        assert all("_text" not in part.split("\n")[1] or "Project" in part.split("\n")[1] for part in exchanged)
+        assert sorted(map(row, got.collect()), key=repr) == want
+        assert sorted(map(repr, exact_dedup.drop_exact_copies(df, few_keys=0).collect())) == stays
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 # ---- sharding
 
 
@@ -81,6 +108,24 @@ def test_shuffle_moves_rows_and_writes(spark, tmp_path):
     assert back.count() == 3000 and {r["count"] for r in back.groupBy("shard").count().collect()} == {750}
 
 
+def test_positions_dont_depend_on_the_task_that_draws_them(spark):
+    """A task that runs again after an executor is lost gets its rows in another order: positions stay."""
+    df = spark.range(4000).withColumn("text", F.when(F.col("id") % 7 > 0, F.col("id").cast("string")))
+    order = lambda d: [r.id for r in sharding.shuffled_order(d, bucket_rows=150).orderBy("position").collect()]
+    first = order(df.repartition(3))
+    assert first == order(df.repartition(11).orderBy(F.desc("id"))) and first != sorted(first)
+
+
+def test_written_shards_of_odd_rows(spark, tmp_path):
+    rows = [(1, None), (1, None), (None, ""), (2, "x" * 300_000), (3, "a"), (3, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sharding.write_shards(df.limit(0), str(tmp_path / "empty"), 4)
+    sharding.write_shards(df, str(tmp_path / "odd"), 4)
+    back = sharding.read_shards(spark, str(tmp_path / "odd"), df.schema)
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=repr) == sorted(rows, key=repr)
+    assert sorted((r.shard, r.slot) for r in back.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (3, 0)]
+
+
 def test_long_records_make_more_buckets(spark):
     long = spark.range(600).withColumn("text", F.repeat(F.lit("x"), 100_000))  # 60 MB in 600 rows
     placed = sharding.shuffled_order(long).select("id", "bucket", "position").collect()
@@ -119,7 +164,7 @@ def ranks(edges, seeds, rounds, damping):
             if a in score:
                 new[b] = new.get(b, 0) + damping * score[a] * n / out[a]
         score = new
-    return {h: x / sum(score.values()) for h, x in score.items()}
+    return score
 
 
 def test_urls_match_brute_force(spark):
@@ -151,11 +196,11 @@ def test_urls_match_brute_force(spark):
                     edges[host, to] = edges.get((host, to), 0) + 1
     count = lambda v: {h: sum(1 for _, x, _, r in rows if x == h and r and r.verdict == v) for h in {x for _, x, _, r in rows if r and r.verdict == v}}
     trust = ranks(edges, count("allow"), url_graph.ROUNDS, url_graph.DAMPING)
-    distrust = ranks({(b, a): n for (a, b), n in edges.items()}, count("block"), url_graph.ROUNDS, url_graph.DAMPING)
-    named = sum(1 for _, h, *_ in rows if h)
+    against = {(b, a): n for (a, b), n in edges.items()}
+    distrust = ranks(against, count("block"), url_graph.ROUNDS, url_graph.DAMPING)
+    usual = ranks(against, {h: sum(1 for _, x, *_ in rows if x == h) for _, h, *_ in rows if h}, url_graph.ROUNDS, url_graph.DAMPING)
     for i, h, p, r in rows:
-        size = sum(1 for _, x, *_ in rows if x == h) / named if h else 0
-        bad = distrust.get(h, 0) > max(trust.get(h, 0), size) * (1 + 1e-9) if h else False
+        bad = distrust.get(h, 0) > max(trust.get(h, 0), usual[h]) * (1 + 1e-9) if h else False
         judged.setdefault(i, []).append((h, p, r.text if r else None, r.verdict if r else "block" if bad else "allow"))
     for r in got.collect():
         assert (r.host, r.path, r["rule"], r.verdict) in judged[r.page_id], r
@@ -216,6 +261,25 @@ def test_links_elsewhere_and_forms_of_links(spark):
     assert {r.dst for r in edges.collect()} == {"b", "d", "e"}
 
 
+def test_two_seeds_and_a_link_elsewhere(spark):
+    """bad1 has one blocked page, bad2 one of four pages, of ten in all. A link from another host to bad1 never reaches bad2, whose verdict stays."""
+    rules = [url_graph.Rule("block", "bad1.info", "/x"), url_graph.Rule("block", "bad2.info", "/x")]
+    pages = [(1, "http://bad1.info/x", ""), (2, "http://bad2.info/x", ""), *((n, "http://bad2.info/y", "") for n in (3, 4, 5)), *((n, f"http://h{n}.info/", "") for n in range(6, 11))]
+    judge = lambda rows: {r.page_id: r.verdict for r in url_graph.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    plain = judge(pages)
+    assert plain[3] == "block" and plain[7] == "allow"
+    linked = judge([(n, u, "<a href='http://bad1.info/'>" if n == 7 else h) for n, u, h in pages])
+    assert linked == plain | {7: linked[7]} and linked[7] == "block"  # what links to a blocked host and nothing else is distrusted
+
+
+def test_hubs_among_hosts(spark):
+    """A host that half of all others link to, with distrust that flows back along all of those links."""
+    pages = [(n, f"http://h{n}.info/", "<a href='http://hub.info/'>" if n % 2 else "") for n in range(400)] + [(1000, "http://hub.info/x", ""), (1001, "http://hub.info/y", "")]
+    rules = [url_graph.Rule("block", "hub.info", "/")]
+    got = {r.page_id: r for r in url_graph.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert all(got[n].verdict == ("block" if n % 2 else "allow") for n in range(400))
+
+
 # ---- packing
 
 
