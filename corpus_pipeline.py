@@ -14,37 +14,50 @@ from dossia.llm.langid import held_out
 from dossia.llm.queries import vocabulary
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """Each row as one column beside its id and text, so that no name of a stage's own meets one of docs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't call toxic; it learns from three quarters of the labelled documents."""
+    """Documents that the classifier doesn't call toxic; it learns from three quarters of the labelled documents.
+
+    Null texts count as empty; repeated rows go or stay together. Without labels of both classes all score alike; an empty table stays empty.
+    """
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id"), 4, 2))
     model = toxicity.fit(toxicity.labelled_texts(docs, labels), label_col="label", id_col="_id")
-    scored = toxicity.score_texts(docs, model, out_col="_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    scored = toxicity.score_texts(_whole(docs).select("row", "text"), model, keep_text=False)
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
+    """Of equal texts the document with the largest id stays; null texts are empty ones. See ``exact_dedup.drop_exact_copies`` for repeated rows and missing ids."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.75 or more over shingles of five words the one with the smallest id stays."""
+    """Of documents linked by a similarity of 0.75 or more over shingles of five words the one with the smallest id stays.
+
+    Null and empty texts link with nothing and stay. See ``jaccard_join.drop_near_copies`` for repeated rows and missing ids.
+    """
     return jaccard_join.drop_near_copies(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of windows of 20 words that also start earlier go; texts without any stay as they are."""
-    done = substring.substring_dedup(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    done = done.withColumn("text", text)
+    """Words of windows of 20 words that also start earlier go; texts without any, null ones too, stay as they are.
+
+    n_chars, where docs has it, is counted again for texts that changed. See ``substring.substring_dedup`` for repeated rows and missing ids.
+    """
+    done = substring.substring_dedup(_whole(docs))
+    changed = F.col("n_removed") > 0
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        done = done.withColumn("n_chars", n_chars)
-    return done.select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents and their places in sequences of 1024 tokens."""
+    """Token ids of all documents and their places in sequences of 1024 tokens. A null or empty text is its end alone; repeated rows are packed each."""
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
