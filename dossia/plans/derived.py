@@ -9,6 +9,7 @@ from dossia.functions import canon as C
 from dossia.operators import layout, linking, quality
 from dossia.plans.catalog import query, table
 from dossia.plans.phrases import model_conditions, parse_phrases
+from dossia.plans.search_log import search_log
 from dossia.schema import EPTS, PTS, STS_BACK, STS_FRONT
 from dossia.sources.labels import decode_documents, encode_documents
 
@@ -53,7 +54,7 @@ def _phrase_cards(customers: DataFrame) -> DataFrame:
     )
 
 
-@query("""
+_CONDITIONS = """
     WITH p AS (SELECT c_custkey AS k, c_custkey % 32 AS t, CAST(1990 + c_custkey % 30 AS VARCHAR) AS y, CAST(1990 + c_custkey % 30 + c_custkey % 5 AS VARCHAR) AS z, CAST(50 + c_custkey % 200 AS VARCHAR) AS h,
                       1000 * (1 + c_custkey % 4) + 100 * (c_custkey % 10) AS ccm FROM customer)
     SELECT k AS phrase_id, 'year' AS "column", 'between' AS op, y || '|' || z AS value FROM p WHERE t IN (0, 1)
@@ -76,13 +77,68 @@ def _phrase_cards(customers: DataFrame) -> DataFrame:
     UNION ALL SELECT k, 'owner_last', '=', CASE k % 2 WHEN 0 THEN 'МОРОЗОВА' ELSE 'ПЕТРОВ' END FROM p WHERE t = 25
     UNION ALL SELECT k, 'city', 'like', 'САРАТО' FROM p WHERE t IN (26, 30)
     UNION ALL SELECT k, 'region', 'like', 'ТАТАРСТ' FROM p WHERE t = 27
-    UNION ALL SELECT k, NULL, NULL, 'абракадабра' || CAST(k AS VARCHAR) FROM p WHERE t = 28""")
+    UNION ALL SELECT k, NULL, NULL, 'абракадабра' || CAST(k AS VARCHAR) FROM p WHERE t = 28"""
+
+
+@query(_CONDITIONS)
 def nlq_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditions of a phrase from each customer, one of 32 kinds, against cards from all customers."""
     customers = table(spark, sf_dir, "customer").select("c_custkey")
     return parse_phrases(_phrases(customers), _phrase_cards(customers)).select("phrase_id", "column", "op", F.array_join("value", "|").alias("value"))
 
 
+_COLORS = ["БЕЛЫЙ", "ЧЕРНЫЙ", "СИНИЙ", "КРАСНЫЙ"]
+
+
+def _log_cards(customers: DataFrame) -> DataFrame:
+    k = F.col("c_custkey")
+    return customers.select(
+        k.alias("id"), F.concat(_pick(k % 3, ["KIA", "TOYOTA", "VOLKSWAGEN"]), F.lit(" ZX"), (k % 40).cast("string")).alias("make_model"),
+        _pick(k % 4, ["МОРОЗОВА", "ИВАНОВ", "ПЕТРОВ", "СОКОЛОВА"]).alias("owner_last"), F.when(k % 3 != 0, "Г. САРАТОВ").alias("city"),
+        F.when(k % 2 == 0, "РЕСП. ТАТАРСТАН").alias("region"), F.when(k % 11 != 0, k % 30 + 1990).cast("int").alias("year"), (k % 200 + 50).cast("int").alias("power_hp"),
+        (k % 4 * 1000 + k % 10 * 100 + 1010).cast("int").alias("engine_volume"), _pick(k % 2, ["ДИЗЕЛЬНЫЙ", "Бензиновый"]).alias("engine_type"),
+        F.when(k % 2 == 0, _padded(k, 15)).otherwise(_padded(k, 10)).alias("pts_number"), _pick(k % 3, ["ПЯТЫЙ", "ЧЕТВЕРТЫЙ", F.lit(None).cast("string")]).alias("eco_class"),
+        F.concat(F.lit("А"), _padded(k % 1000, 3), F.lit("ВС"), (k % 90 + 10).cast("string")).alias("plate"), F.concat(F.lit("XTA21129"), _padded(k, 9)).alias("vin"),
+        _pick(k % 4, _COLORS).alias("color"), F.when(k % 2 == 0, "B").alias("category"),
+    )
+
+
+@query(f"""
+    WITH conds AS ({_CONDITIONS}),
+    cards AS (
+        SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'KIA' WHEN 1 THEN 'TOYOTA' ELSE 'VOLKSWAGEN' END || ' ZX' || CAST(c_custkey % 40 AS VARCHAR) AS make_model,
+               CASE c_custkey % 4 WHEN 0 THEN 'МОРОЗОВА' WHEN 1 THEN 'ИВАНОВ' WHEN 2 THEN 'ПЕТРОВ' ELSE 'СОКОЛОВА' END AS owner_last,
+               CASE WHEN c_custkey % 3 <> 0 THEN 'Г. САРАТОВ' END AS city, CASE WHEN c_custkey % 2 = 0 THEN 'РЕСП. ТАТАРСТАН' END AS region,
+               CASE WHEN c_custkey % 11 <> 0 THEN 1990 + c_custkey % 30 END AS year, 50 + c_custkey % 200 AS power_hp, 1010 + 1000 * (c_custkey % 4) + 100 * (c_custkey % 10) AS engine_volume,
+               CASE c_custkey % 2 WHEN 0 THEN 'ДИЗЕЛЬНЫЙ' ELSE 'БЕНЗИНОВЫЙ' END AS engine_type, CASE WHEN c_custkey % 2 = 0 THEN 15 ELSE 10 END AS pts_size,
+               CASE c_custkey % 3 WHEN 0 THEN 'ПЯТЫЙ' WHEN 1 THEN 'ЧЕТВЕРТЫЙ' END AS eco_class,
+               'А' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || 'ВС' || CAST(10 + c_custkey % 90 AS VARCHAR) AS plate, 'XTA21129' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS vin,
+               CASE c_custkey % 4 WHEN 0 THEN 'БЕЛЫЙ' WHEN 1 THEN 'ЧЕРНЫЙ' WHEN 2 THEN 'СИНИЙ' ELSE 'КРАСНЫЙ' END AS color, CASE WHEN c_custkey % 2 = 0 THEN 'B' END AS category
+        FROM customer
+    ), met AS (
+        SELECT phrase_id, id, "column", op, CASE
+            WHEN "column" IN ('year', 'power_hp', 'engine_volume') THEN (CASE op
+                WHEN 'between' THEN number BETWEEN CAST(split_part(value, '|', 1) AS INT) AND CAST(split_part(value, '|', 2) AS INT)
+                WHEN '=' THEN number = CAST(value AS INT) WHEN '<' THEN number < CAST(value AS INT) WHEN '>' THEN number > CAST(value AS INT) ELSE number >= CAST(value AS INT) END)
+            WHEN op = 'len' THEN pts_size = CAST(value AS INT)
+            WHEN op = 'like' THEN contains(held, value) ELSE held = value END AS ok
+        FROM (SELECT phrase_id, "column", op, value, id, pts_size, CASE "column" WHEN 'year' THEN year WHEN 'power_hp' THEN power_hp ELSE engine_volume END AS number,
+                     CASE "column" WHEN 'make_model' THEN make_model WHEN 'owner_last' THEN owner_last WHEN 'city' THEN city WHEN 'region' THEN region WHEN 'engine_type' THEN engine_type
+                                   WHEN 'eco_class' THEN eco_class WHEN 'plate' THEN plate WHEN 'vin' THEN vin WHEN 'color' THEN color WHEN 'category' THEN category END AS held
+              FROM conds, cards WHERE "column" IS NOT NULL)
+    ), units AS (SELECT phrase_id, id, "column", op, bool_or(coalesce(ok, false)) AS ok FROM met GROUP BY phrase_id, id, "column", op),
+    found AS (
+        SELECT phrase_id, id FROM units GROUP BY phrase_id, id HAVING bool_and(ok)
+        UNION ALL SELECT c_custkey, id FROM customer, cards WHERE c_custkey NOT IN (SELECT phrase_id FROM conds)
+    ), ranked AS (SELECT phrase_id, CAST(row_number() OVER (PARTITION BY phrase_id ORDER BY id) AS INTEGER) AS rank, id AS card FROM found)
+    SELECT phrase_id, rank, card FROM ranked WHERE rank <= 20""")
+def nlq_search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 cards (the feature: the first n by id) of a phrase from each customer, all phrases searched at once."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    phrases, cards = _phrases(customers), _log_cards(customers)
+    return search_log(parse_phrases(phrases, cards), phrases, cards, limit=20)
+
+
 @query("""
     SELECT c_custkey AS phrase_id, 'year' AS "column", 'between' AS op, '2001|' || CAST(2002 + c_custkey % 9 AS VARCHAR) AS value FROM customer WHERE c_custkey % 3 <> 0
     UNION ALL SELECT c_custkey, 'color', '=', 'БЕЛЫЙ' FROM customer WHERE c_custkey % 3 = 1""")

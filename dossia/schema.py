@@ -46,25 +46,28 @@ FIELDS = [
     ("epts_status", "Статус ЭПТС", "text"),
 ]
 DOC_FIELDS = {
-    STS_FRONT: (
-        "plate vin make_model vehicle_type category year chassis body color power_kw power_hp eco_class pts_number max_mass curb_mass doc_number"
-    ).split(),
-    STS_BACK: "owner_last owner_first owner_middle region city street_address gibdd_code issue_date doc_number".split(),
-    PTS: (
-        "vin make_model vehicle_type category year engine_model chassis body color power_kw power_hp engine_volume engine_type eco_class max_mass "
-        "curb_mass manufacturer owner_last owner_first owner_middle region city street_address issue_date doc_number"
-    ).split(),
-    EPTS: (
-        "doc_number epts_status vin make_model category year color power_kw power_hp engine_volume engine_type eco_class max_mass manufacturer "
-        "owner_last owner_first owner_middle region issue_date"
-    ).split(),
+    STS_FRONT: [
+        "plate", "vin", "make_model", "vehicle_type", "category", "year", "chassis", "body", "color", "power_kw", "power_hp", "eco_class",
+        "pts_number", "max_mass", "curb_mass", "doc_number",
+    ],
+    STS_BACK: ["owner_last", "owner_first", "owner_middle", "region", "city", "street_address", "gibdd_code", "issue_date", "doc_number"],
+    PTS: [
+        "vin", "make_model", "vehicle_type", "category", "year", "engine_model", "chassis", "body", "color", "power_kw", "power_hp", "engine_volume",
+        "engine_type", "eco_class", "max_mass", "curb_mass", "manufacturer", "owner_last", "owner_first", "owner_middle", "region", "city",
+        "street_address", "issue_date", "doc_number",
+    ],
+    EPTS: [
+        "doc_number", "epts_status", "vin", "make_model", "category", "year", "color", "power_kw", "power_hp", "engine_volume", "engine_type",
+        "eco_class", "max_mass", "manufacturer", "owner_last", "owner_first", "owner_middle", "region", "issue_date",
+    ],
 }
 # Columns of a vehicle card, those that hold whole numbers, and those that link documents.
-CARD_COLUMNS = (
-    "vin plate sts_number pts_number make_model vehicle_type category year color power_kw power_hp engine_volume engine_type eco_class max_mass "
-    "curb_mass manufacturer owner_last owner_first owner_middle region city street_address"
-).split()
-CARD_INTEGERS = "year power_kw power_hp engine_volume max_mass curb_mass".split()
+CARD_COLUMNS = [
+    "vin", "plate", "sts_number", "pts_number", "make_model", "vehicle_type", "category", "year", "color", "power_kw", "power_hp", "engine_volume",
+    "engine_type", "eco_class", "max_mass", "curb_mass", "manufacturer", "owner_last", "owner_first", "owner_middle", "region", "city",
+    "street_address",
+]
+CARD_INTEGERS = ["year", "power_kw", "power_hp", "engine_volume", "max_mass", "curb_mass"]
 LINK_KEYS = ["vin", "sts_number", "pts_number"]
 
 KEYS = [k for k, _, _ in FIELDS]

@@ -1,7 +1,12 @@
+import random
+
 import pytest
 
+from pyspark.sql import functions as F
+
 from dossia.plans import phrases as P
-from dossia.plans.predicates import Cond, search, vocabulary
+from dossia.plans import search_log as L
+from dossia.plans.predicates import OPS, Cond, search, vocabulary
 
 CARDS = [
     (1, "HYUNDAI CRETA", 2016, 123, "БЕЛЫЙ", "МОРОЗОВА", "Г. САРАТОВ", "САРАТОВСКАЯ ОБЛ", "А123ВС164", "63ОХ123456"),
@@ -59,3 +64,56 @@ def test_search(spark, cards):
 def test_phrase_finds_cards(spark, cards):
     conds, words = parsed(spark, cards, "белая крета Морозовой")
     assert [r.id for r in search(cards, conds, words).collect()] == [1]
+
+
+def test_log_finds_what_single_searches_find(spark):
+    """Random conditions of all kinds: the batch and one search after another agree, by the same limit."""
+    rng = random.Random(11)
+    makes, cities = ["KIA RIO", "KIA CEED", "LADA VESTA", "Ваз 2110", None, "", "%_"], ["САРАТОВ", "Казань", None]
+    cards = [(n, rng.choice(makes), rng.choice(cities), rng.choice([None, -5, 0, *range(1990, 2024)]), rng.choice([None, 70, 100, 2**31 - 1, -(2**31)])) for n in rng.sample(range(1000), 300)]
+    table = spark.createDataFrame(cards, "id int, make string, city string, year int, hp int")
+    values = {"make": ["KIA RIO", "KIA", "kia c", "А", "Ваз 2110", "%", "none such long value"], "city": ["САРАТОВ", "аза", "К"], "year": ["2000", "02010", "1995", "x", "-5"], "hp": ["70", "100", "99", "2147483647"]}
+    log, conds = [], {}
+    for phrase in range(120):
+        log.append((phrase,))
+        conds[phrase] = []
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4])):
+            column = rng.choice(["make", "city", "year", "hp", "make|city", "nothing"])
+            op = rng.choice(OPS)
+            pool = values[column.split("|")[0]] if column != "nothing" else ["1"]
+            if op == "len":
+                value = str(rng.choice([4, 7, 8]))
+            elif op == "between":
+                value = tuple(rng.choices(pool, k=2))
+            else:
+                value = rng.choice(pool)
+            conds[phrase].append(Cond(column, op, value))
+    rows = [(p, n, c.column, c.op, list(c.value) if c.op == "between" else [c.value]) for p, cs in conds.items() for n, c in enumerate(cs)]
+    rows += [(200, 0, None, None, ["lada"]), (200, 1, None, None, ["каз"]), (201, 0, None, None, ["none such"])]
+    parsed = spark.createDataFrame(rows, "phrase_id int, pos int, column string, op string, value array<string>")
+    phrases = spark.createDataFrame([*log, (200,), (201,)], "phrase_id int")
+    found = L.search_log(parsed, phrases, table, limit=15)
+    assert "Cartesian" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    got = {}
+    for r in found.orderBy("phrase_id", "rank").collect():
+        got.setdefault(r.phrase_id, []).append(r.card)
+    local = table.cache()
+    for phrase, cs in conds.items():
+        assert got.get(phrase, []) == [r.id for r in search(local, cs, limit=15).collect()], cs
+    assert got.get(200, []) == [r.id for r in search(local, [], ["lada", "каз"], limit=15).collect()] and 201 not in got
+
+
+def test_dyadic_intervals_cover_each_number_once(spark):
+    rng = random.Random(3)
+    rows = [(n, *sorted(rng.choices([0, 1, 2**L.BITS - 1, *[rng.randrange(2**L.BITS) for _ in range(3)]], k=2)), rng.randrange(2**L.BITS)) for n in range(300)]
+    df = spark.createDataFrame([(*r[:3], x) for r in rows for x in (r[3], r[1], r[2], max(0, r[1] - 1), r[2] + 1)], "n int, low long, high long, x long").where(f"x < {2**L.BITS}")
+    hits = F.size(F.array_intersect(L._cover(F.col("low"), F.col("high")), L._ancestors(F.col("x"))))
+    bad = df.withColumn("hits", hits).where((F.col("hits") != F.col("x").between(F.col("low"), F.col("high")).cast("int")))
+    assert bad.count() == 0
+
+
+def test_empty_log_and_table(spark, cards):
+    parsed = P.parse_phrases(spark.createDataFrame([(1, "белые"), (2, ""), (3, None)], "phrase_id int, text string"), cards)
+    log = spark.createDataFrame([(1,), (2,), (3,)], "phrase_id int")
+    assert sorted((r.phrase_id, r.card) for r in L.search_log(parsed, log, cards, limit=2).collect()) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2)]
+    assert L.search_log(parsed, log, cards.limit(0)).collect() == [] and L.search_log(parsed.limit(0), log.limit(0), cards).collect() == []
