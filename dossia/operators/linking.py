@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from dossia.functions.canon import canon, digits
 from dossia.operators.checkpoints import cut
 from dossia.operators.components import components
+from dossia.operators.folding import assign_cards, card_states
 from dossia.schema import CARD_COLUMNS, CARD_INTEGERS, EPTS, LINK_KEYS, PTS, STS_BACK, STS_FRONT
 
 
@@ -56,86 +54,18 @@ def fold_cards(docs: DataFrame, seq: str = "seq", component: str = "component")
     """seq, card of each document and the card's values after all documents: documents in order of seq, each linked to a card now.
 
     A document joins the first card with its vin, else with its sts_number, else with its pts_number; further cards that match merge into
-    that one, whose own values win; then the document's values overwrite the card's. Keys that were overwritten no longer match. Documents that ever
-    meet share a component, so components are folded apart: one after another in a task, in order, with an index of key values. A card's number is
-    the seq of the document that made it.
+    that one, whose own values win; then the document's values overwrite the card's. Keys that were overwritten no longer match. A card's number is
+    the seq of the document that made it. Documents that ever meet share a component; only the events that change keys are folded in order
+    (see ``folding.assign_cards``).
     """
-    names = list(CARD_COLUMNS)
-    kinds = ", ".join(f"{c} {'int' if c in CARD_INTEGERS else 'string'}" for c in names)
-    rows = docs.select(F.col(seq).cast("long").alias("_seq"), F.col(component).alias("_component"), *names)
-    rows = rows.withColumn("_size", F.count("*").over(W.partitionBy("_component")))
-    # A document alone in its component is its card.
-    alone = rows.where("_size = 1").select(F.col("_seq").alias("seq"), F.col("_seq").alias("card"), *names)
-    linked = rows.where("_size > 1").drop("_size").repartition("_component").sortWithinPartitions("_component", "_seq")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("seq", pa.int64()), ("card", pa.int64()), *((c, pa.int32() if c in CARD_INTEGERS else pa.string()) for c in names)])
-        now, cards, done = object(), _Cards(), []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["_component"] != now:
-                    done += cards.rows()
-                    now, cards = row["_component"], _Cards()
-                cards.add(row.pop("_seq"), {c: row[c] for c in names if row[c] is not None})
-            if done:
-                yield pa.RecordBatch.from_pylist(done, schema=schema)
-                done = []
-        done += cards.rows()
-        if done:
-            yield pa.RecordBatch.from_pylist(done, schema=schema)
-
-    return linked.mapInArrow(fold, f"seq long, card long, {kinds}").unionByName(alone)
-
-
-class _Cards:
-    """The cards of one component while its documents come in, with an index from key values to cards."""
-
-    def __init__(self):
-        self.values: dict[int, dict] = {}
-        self.found: dict[tuple, set[int]] = {}
-        self.merged: dict[int, int] = {}
-        self.of: dict[int, int] = {}
-
-    def add(self, seq: int, values: dict) -> None:
-        hits = list(dict.fromkeys(n for k in LINK_KEYS if k in values for n in sorted(self.found.get((k, values[k]), ()))))
-        card = hits[0] if hits else seq
-        for other in hits[1:]:
-            gone = self.values.pop(other)
-            for k in LINK_KEYS:
-                if k in gone:
-                    self.found[k, gone[k]].discard(other)
-            self._set(card, {k: v for k, v in gone.items() if k not in self.values[card]})
-            self.merged[other] = card
-        self._set(card, values)
-        self.of[seq] = card
-
-    def _set(self, card: int, values: dict) -> None:
-        held = self.values.setdefault(card, {})
-        for k in LINK_KEYS:
-            if k in values and held.get(k) != values[k]:
-                if k in held:
-                    self.found[k, held[k]].discard(card)
-                self.found.setdefault((k, values[k]), set()).add(card)
-        held.update(values)
-
-    def rows(self) -> list[dict]:
-        out = []
-        for seq, card in self.of.items():
-            while card in self.merged:
-                card = self.merged[card]
-            out.append({"seq": seq, "card": card} | self.values[card])
-        return out
-
-
-def card_table(folded: DataFrame) -> DataFrame:
-    """One row for each card of fold_cards."""
-    return folded.groupBy("card", *CARD_COLUMNS).agg(F.count("*").alias("doc_count"), F.min("seq").alias("first_seq"))
-
-
-def add_documents(store: DataFrame | None, new: DataFrame) -> DataFrame:
-    """All documents seen so far with their components, after a batch of new ones; checkpointed."""
-    both = new if store is None else store.select(*new.columns).unionByName(new)
-    return cut(link_documents(both))
+    members = assign_cards(docs, seq, component)
+    states = cut(card_states(docs, members, CARD_COLUMNS, seq))
+    return members.select("seq", "card").join(states.select("card", *CARD_COLUMNS), "card").select("seq", "card", *CARD_COLUMNS)
+
+
+def folded_cards(docs: DataFrame, seq: str = "seq", component: str = "component") -> DataFrame:
+    """One row for each card that fold_cards gives: card, the columns, doc_count, first_seq."""
+    return card_states(docs, assign_cards(docs, seq, component), CARD_COLUMNS, seq)
 
 
 def doc_counts(cards: DataFrame, docs: DataFrame, card_id: str, doc_card: str, doc_type: str) -> DataFrame:

@@ -413,7 +413,7 @@ def fold_cards_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     kind = F.when(key % 2 == 0, STS_FRONT).otherwise(STS_BACK)
     docs = table(spark, sf_dir, "customer").select(key.alias("seq"), *linking.card_values(kind, fields))
-    return linking.card_table(linking.fold_cards(linking.link_documents(docs)))
+    return linking.folded_cards(linking.link_documents(docs))
 
 
 # ---- documents as text --------------------------------------------------------------------------------------------

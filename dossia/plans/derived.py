@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossia.functions import canon as C
 from dossia.operators import layout, linking, quality
+from dossia.operators.checkpoints import shared_dir
 from dossia.plans.catalog import query, table
 from dossia.plans.phrases import model_conditions, parse_phrases
 from dossia.plans.search_log import search_log
-from dossia.schema import EPTS, PTS, STS_BACK, STS_FRONT
+from dossia.schema import CARD_COLUMNS, CARD_INTEGERS, EPTS, PTS, STS_BACK, STS_FRONT
 from dossia.sources.labels import decode_documents, encode_documents
+from dossia.sources.store import add_batch, look_up
 
 
 def _pick(number: Column, values: list) -> Column:
@@ -248,10 +252,54 @@ def fold_cards_agreeing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "color": F.when(seq % 2 == 0, F.concat(F.lit("COLOR "), (c % 9).cast("string"))), "year": F.when(seq % 5 == 0, (c % 30 + 1990).cast("string")),
     }
     docs = table(spark, sf_dir, "orders").select(seq.alias("seq"), *linking.card_values(F.lit(STS_FRONT), _map(values)))
-    cards = linking.card_table(linking.fold_cards(linking.link_documents(docs)))
+    cards = linking.folded_cards(linking.link_documents(docs))
     return cards.select("first_seq", "doc_count", "vin", "sts_number", "color", "year")
 
 
+@query("""
+    WITH d AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS by_vin, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey + 1 END AS by_sts, o_custkey + 2 AS by_pts FROM orders)
+    SELECT seq, coalesce(v.c_custkey, s.c_custkey, p.c_custkey) AS card
+    FROM d LEFT JOIN customer v ON by_vin = v.c_custkey LEFT JOIN customer s ON by_sts = s.c_custkey LEFT JOIN customer p ON by_pts = p.c_custkey""")
+def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored card of a document from each order, by vin, else by certificate, else by passport; cards are those of all customers."""
+    k, o, c = F.col("c_custkey"), F.col("o_orderkey"), F.col("o_custkey")
+    key = lambda kind, number: F.concat(F.lit(kind), number.cast("string"))
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    add_batch(spark, path, table(spark, sf_dir, "customer").select(k.alias("seq"), key("V", k).alias("vin"), key("S", k).alias("sts_number"), key("P", k).alias("pts_number")))
+    vin = F.when(o % 3 == 0, key("V", c)).when(o % 3 == 1, "unknown")
+    asked = table(spark, sf_dir, "orders").select(o.alias("seq"), vin.alias("vin"), F.when(o % 2 == 0, key("S", c + 1)).alias("sts_number"), key("P", c + 2).alias("pts_number"))
+    return look_up(spark, path, asked)
+
+
+@query("""
+    WITH RECURSIVE d AS (
+        SELECT c_nationkey AS g, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n, c_custkey AS seq,
+               CASE WHEN c_custkey % 3 <> 0 THEN 'V' || CAST(c_nationkey AS VARCHAR) || '-' || CAST(c_custkey * 7 % 11 AS VARCHAR) END AS vin,
+               CASE WHEN c_custkey % 4 <> 0 THEN 'S' || CAST(c_nationkey AS VARCHAR) || '-' || CAST(c_custkey * 5 % 13 AS VARCHAR) END AS sts,
+               CASE WHEN c_custkey % 2 = 0 THEN 'COLOR ' || CAST(c_custkey % 9 AS VARCHAR) END AS color, CASE WHEN c_custkey % 5 = 0 THEN CAST(1990 + c_custkey % 30 AS INTEGER) END AS year
+        FROM customer
+    ), f(g, n, cards) AS (
+        SELECT DISTINCT g, CAST(0 AS BIGINT), CAST([] AS STRUCT(card BIGINT, vin VARCHAR, sts VARCHAR, color VARCHAR, year INTEGER, doc_count BIGINT)[]) FROM d
+        UNION ALL
+        SELECT g, n, list_append([x FOR x IN cards IF x.card <> coalesce(t.card, -1) AND x.card <> coalesce(o.card, -1)], {
+            'card': coalesce(t.card, seq), 'vin': coalesce(vin, t.vin, o.vin), 'sts': coalesce(sts, t.sts, o.sts), 'color': coalesce(color, t.color, o.color),
+            'year': coalesce(year, t.year, o.year), 'doc_count': 1 + coalesce(t.doc_count, 0) + coalesce(o.doc_count, 0)})
+        FROM (SELECT *, coalesce(a, b) AS t, CASE WHEN a.card <> b.card THEN b END AS o
+              FROM (SELECT d.*, cards, [x FOR x IN cards IF x.vin = d.vin][1] AS a, [x FOR x IN cards IF x.sts = d.sts][1] AS b FROM f JOIN d ON d.g = f.g AND d.n = f.n + 1))
+    ), last AS (SELECT unnest(cards) AS c FROM f WHERE (g, n) IN (SELECT g, max(n) FROM f GROUP BY g))
+    SELECT c.card AS card, c.vin AS vin, c.sts AS sts_number, c.color AS color, c.year AS year, c.doc_count AS doc_count FROM last""")
+def fold_cards_conflicting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of documents that contradict each other: keys are overwritten, forgotten and met again, and cards merge, in each nation's log of customers."""
+    k, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    key = lambda kind, number: F.concat(F.lit(kind), nation, F.lit("-"), number.cast("string"))
+    values = {
+        "vin": F.when(k % 3 != 0, key("V", k * 7 % 11)), "sts_number": F.when(k % 4 != 0, key("S", k * 5 % 13)), "color": F.when(k % 2 == 0, F.concat(F.lit("COLOR "), (k % 9).cast("string"))),
+        "year": F.when(k % 5 == 0, k % 30 + 1990).cast("int"),
+    }
+    docs = table(spark, sf_dir, "customer").select(k.alias("seq"), *[values.get(c, F.lit(None).cast("int" if c in CARD_INTEGERS else "string")).alias(c) for c in CARD_COLUMNS])
+    return linking.folded_cards(linking.link_documents(docs)).select("card", "vin", "sts_number", "color", "year", "doc_count")
+
+
 # ---- printed pages ------------------------------------------------------------------------------------------------
 
 

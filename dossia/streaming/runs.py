@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dossia.functions.answers import extraction
-from dossia.operators.linking import link_documents
+from dossia.sources.store import add_batch
 
 
 def answers_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -28,17 +28,12 @@ def late_counts(events: DataFrame, time: str, group: str, window: str = "1 hour"
 
 
 def link_stream(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the components of all documents seen: each batch is linked to what is stored, and a new snapshot is written.
+    """Keeps a store of documents and cards up to date (see ``store.add_batch``): each batch reads and writes the partitions that its documents lead to.
 
-    Snapshots are numbered by batch, so a batch that is repeated after a failure writes the same one again.
+    A batch that is repeated after a failure gives the same store again.
     """
 
     def upsert(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/{n - 1}") if n else None
-        both = batch if before is None else before.select(*batch.columns).unionByName(batch)
-        link_documents(both).write.mode("overwrite").parquet(f"{path}/{n}")
+        add_batch(batch.sparkSession, path, batch)
 
     return docs.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from dossia.operators import linking
+from dossia.operators import folding, linking
 from dossia.operators.components import components
 from dossia.schema import CARD_COLUMNS, LINK_KEYS, STS_BACK, STS_FRONT
 
@@ -49,6 +49,55 @@ def test_fold_equals_whole_log(spark):
     assert all({c: r[c] for c in CARD_COLUMNS if r[c] is not None} == cards[r.card] for r in got)
 
 
+def checked(spark, log, **options):
+    cards, of = cards_in_order(log)
+    linked = linking.link_documents(frame(spark, log))
+    members = {r.seq: r.card for r in folding.assign_cards(linked, **options).collect()}
+    assert members == of
+    got = {r.card: r for r in linking.folded_cards(linked).collect()}
+    assert {n: {c: r[c] for c in CARD_COLUMNS if r[c] is not None} for n, r in got.items()} == cards
+    assert sum(r.doc_count for r in got.values()) == len(log)
+
+
+def test_fold_of_logs_with_many_conflicts(spark):
+    """Few key values: keys flip, cards merge, forget keys and merge again; chunks of a few documents."""
+    for seed, spread, n in ((1, 3, 120), (2, 8, 200), (3, 20, 200)):
+        rng = random.Random(seed)
+        log = []
+        for seq in range(n):
+            values = {k: f"{k}{rng.randint(0, spread)}" for k in LINK_KEYS if rng.random() < 0.6}
+            values |= {"color": rng.choice("abc")} if rng.random() < 0.4 else {}
+            values |= {"year": rng.randint(2000, 2020)} if rng.random() < 0.4 else {}
+            log.append((seq * 7 - 50, values))
+        checked(spark, log, chunk_rows=30)
+
+
+def test_merged_values_follow_the_order_of_merges(spark):
+    """Gaps are filled by the cards merged first; a document's own values stay."""
+    log = [
+        (1, {"vin": "A", "color": "a"}), (2, {"sts_number": "S", "color": "s", "year": 1}), (3, {"pts_number": "P", "year": 2, "plate": "p"}),
+        (4, {"vin": "A", "sts_number": "S", "pts_number": "P"}), (5, {"vin": "B", "body": "b"}), (6, {"vin": "A", "year": 9}), (7, {"vin": "A", "sts_number": "T"}), (8, {"sts_number": "S"}), (9, {"vin": "B", "sts_number": "S"}), (10, {}), (11, {}),
+    ]
+    log = [(n, {k: v for k, v in values.items() if k != "body" and k != "plate"}) for n, values in log]
+    checked(spark, log)
+    got = {r.card: r for r in linking.folded_cards(linking.link_documents(frame(spark, log))).collect()}
+    assert (got[1].color, got[1].year, got[1].sts_number) == ("a", 9, "T") and {10, 11} <= set(got)
+
+
+def test_a_large_component_has_few_events(spark):
+    """200,000 documents of one car, with two bare orders of keys and one merge: the fold sees a handful of them."""
+    n = 200_000
+    docs = spark.range(n).select(
+        F.col("id").alias("seq"), F.lit(0).cast("long").alias("component"), F.when((F.col("id") % 2 == 0) | (F.col("id") == n // 2 + 1), "V").alias("vin"),
+        F.when(F.col("id") % 2 == 1, "S").alias("sts_number"), F.lit(None).cast("string").alias("pts_number"), (F.col("id") % 1000).cast("string").alias("color"),
+    )
+    members = folding.assign_cards(docs)
+    states = folding.card_states(docs, members, ["vin", "sts_number", "color"]).collect()
+    assert [(r.card, r.vin, r.sts_number, r.color, r.doc_count) for r in states] == [(0, "V", "S", "999", n)]
+    # Values of the first card alone: the merged one's are older or overwritten.
+    assert members.groupBy("turn").count().count() == 2
+
+
 def test_forgotten_key_gives_two_cards(spark):
     log = [(1, {"vin": "A", "sts_number": "1"}), (2, {"vin": "B", "sts_number": "1"}), (3, {"vin": "A"}), (4, {})]
     linked = linking.link_documents(frame(spark, log))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dossia.functions.answers import answer_schema, extraction, prompt
 from dossia.operators import linking, metrics
-from dossia.sources import generate, labels
+from dossia.sources import generate, labels, store
 from dossia.streaming import runs
 
 
@@ -42,7 +42,7 @@ def test_generated_documents_make_one_card_each(spark):
     assert docs.count() == 36 and generate.vehicles(spark, 12, seed=3).exceptAll(cars).count() == 0
     assert docs.groupBy("vehicle_id").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
     rows = docs.withColumn("seq", F.monotonically_increasing_id()).select("seq", "vehicle_id", *linking.card_values(F.col("doc_type"), F.col("fields")))
-    cards = linking.card_table(linking.fold_cards(linking.link_documents(rows.drop("vehicle_id"))))
+    cards = linking.folded_cards(linking.link_documents(rows.drop("vehicle_id")))
     assert sorted(r.doc_count for r in cards.collect()) == [3] * 12
 
 
@@ -88,5 +88,5 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(docs))
         stream = spark.readStream.schema(schema).parquet(str(docs))
         runs.link_stream(stream, str(tmp_path / "cards"), str(tmp_path / "c2")).awaitTermination(120)
-        got = {r.component for r in spark.read.parquet(str(tmp_path / "cards" / str(n))).collect()}
+        got = {r.component for r in store.read_table(spark, str(tmp_path / "cards"), "members").collect()}
         assert got == ({1, 2} if n == 0 else {1})
