@@ -5,6 +5,7 @@ The tables hold no vehicle documents, so document-like rows are derived from key
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,11 @@ from dossia.functions import canon as C
 from dossia.functions.answers import extraction
 from dossia.functions.regions import plate_codes
 from dossia.operators import layout, linking, metrics, quality
+from dossia.operators.checkpoints import shared_dir
 from dossia.plans.predicates import Cond, any_text, compile_all, kinds_of, search, vocabulary
 from dossia.schema import EPTS, PTS, STS_BACK, STS_FRONT
-from dossia.sources.labels import annotations
+from dossia.sources import fill
+from dossia.sources.labels import annotations, write_coco
 from dossia.streaming.runs import late_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -492,7 +495,93 @@ def coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("p_size"), (F.col("p_partkey") % 100).cast("int")
     boxes = F.create_map(F.lit("vin"), F.array(x, y, x + y, y + 7), F.lit("color"), F.array(x, y, x + 10, y + 5))
     items = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), boxes.alias("boxes"), F.create_map(F.lit("color"), F.lit("red")).alias("fields"))
-    return annotations(items, spark).withColumn("bbox", F.array_join(F.col("bbox").cast("array<string>"), ","))
+    boxes = F.array_join(F.col("bbox").cast("array<string>"), ",").alias("bbox")
+    return annotations(items, spark).select("id", "item", "category_id", boxes, "area", "value")
+
+
+@query("""
+    WITH i AS (SELECT CAST(p_partkey AS VARCHAR) AS item, p_partkey % 3 AS n, p_size AS x FROM part),
+    m AS (SELECT item, row_number() OVER (ORDER BY item) AS image_id FROM i),
+    b AS (SELECT item, 0 AS pos, 5 AS category_id, x FROM i WHERE n > 0 UNION ALL SELECT item, 1, 28, x FROM i WHERE n > 1)
+    SELECT row_number() OVER (ORDER BY item, pos) AS id, image_id, category_id, x || ',0,10,5' AS bbox, 50 AS area, 0 AS iscrowd, CASE category_id WHEN 5 THEN 'red' ELSE '' END AS value, 'p' || item || '.jpg' AS file_name
+    FROM b JOIN m USING (item)""")
+def coco_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data set written for annotation tools, read back: annotations with their images; items may have no box."""
+    k, x = F.col("p_partkey"), F.col("p_size")
+    one = F.array(x, F.lit(0), x + 10, F.lit(5))
+    boxes = F.map_filter(F.create_map(F.lit("vin"), one, F.lit("color"), one), lambda name, _: F.when(name == "color", k % 3 > 0).otherwise(k % 3 > 1))
+    fields = F.create_map(F.lit("color"), F.lit("red"))
+    items = table(spark, sf_dir, "part").select(
+        k.cast("string").alias("id"), F.concat(F.lit("p"), k.cast("string"), F.lit(".jpg")).alias("image"), F.lit(1).alias("width"), F.lit(2).alias("height"), F.lit(PTS).alias("doc_type"), F.lit("test").alias("split"),
+        boxes.alias("boxes"), fields.alias("fields"),
+    )
+    path = f"{shared_dir(spark)}/coco-{uuid.uuid4().hex}"
+    write_coco(items, path)
+    images = spark.read.schema("id long, file_name string").json(f"{path}/images").select(F.col("id").alias("image_id"), "file_name")
+    kinds = "id long, image_id long, category_id int, bbox array<int>, area int, iscrowd int, attributes struct<value:string>"
+    rows = spark.read.schema(kinds).json(f"{path}/annotations").join(images, "image_id")
+    return rows.select("id", "image_id", "category_id", F.array_join(F.col("bbox").cast("array<string>"), ",").alias("bbox"), "area", "iscrowd", "attributes.value", "file_name")
+
+
+@query("""
+    SELECT l_returnflag, median(l_extendedprice) AS median FROM lineitem GROUP BY l_returnflag""")
+def median_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact medians of large groups, by counting ranges of values."""
+    return metrics.exact_median(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice")
+
+
+@query("""
+    WITH h AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS b, CAST(doc_id AS VARCHAR) AS k, sha256(CAST(doc_id AS VARCHAR) || chr(1) || coalesce(text, chr(2))) AS h FROM documents),
+    p AS (SELECT substr(b, 1, 6) AS b, sha256(string_agg(h, '' ORDER BY k)) AS h FROM h GROUP BY substr(b, 1, 6)),
+    q AS (SELECT substr(b, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY b)) AS h FROM p GROUP BY substr(b, 1, 3))
+    SELECT substr(sha256(string_agg(h, '' ORDER BY b)), 1, 12) AS fingerprint FROM q""")
+def deep_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of whole documents by a tree of two levels, as tables of over 16 million rows have."""
+    return metrics.fingerprint(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), levels=2)
+
+
+@query("""
+    SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'epts' WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'pts' END AS doc_type FROM orders WHERE o_orderkey % 5 <> 0""")
+def result_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types by which results of one variant are stored: the predicted one, else the label's."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    records = orders.select(
+        k.cast("string").alias("id"), F.when(k % 5 == 0, "photo").otherwise("clean").alias("variant"), F.when(k % 3 == 0, EPTS).when(k % 2 == 0, "").alias("pred_doc_type"), F.create_map(F.lit("vin"), F.lit("X")).alias("fields")
+    )
+    items = orders.where(k % 7 != 0).select(k.cast("string").alias("id"), F.lit(PTS).alias("doc_type"))
+    found = fill.documents_of_results(records, items, "clean").select("id", F.nullif("doc_type", F.lit("")).alias("doc_type"))
+    return found
+
+
+@query("""
+    WITH a AS (SELECT 'vlm_m' || CAST(l_suppkey % 3 AS VARCHAR) AS engine, 'f' || CAST(l_partkey % 20 AS VARCHAR) AS key, avg(l_discount) AS accuracy FROM lineitem WHERE (l_suppkey % 3 + l_partkey % 20) % 4 <> 0 GROUP BY 1, 2),
+    b AS (SELECT key, max(accuracy) AS best FROM a GROUP BY key), e AS (SELECT DISTINCT engine FROM a)
+    SELECT b.key, e.engine, round(coalesce(a.accuracy, 0), 9) AS accuracy, round(best, 9) AS best FROM b CROSS JOIN e LEFT JOIN a ON a.key = b.key AND a.engine = e.engine""")
+def field_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a chart by field: each engine's accuracy (0 where it has none) and the best of all engines."""
+    engine, key = F.col("l_suppkey") % 3, F.col("l_partkey") % 20
+    rows = table(spark, sf_dir, "lineitem").where((engine + key) % 4 != 0)
+    shares = rows.groupBy(F.concat(F.lit("vlm_m"), engine.cast("string")).alias("engine"), F.concat(F.lit("f"), key.cast("string")).alias("key")).agg(F.avg("l_discount").alias("accuracy"))
+    return metrics.field_chart(shares).withColumns({c: F.round(c, 9) for c in ("accuracy", "best")})
+
+
+@query("""
+    SELECT count(DISTINCT o_custkey) AS vehicles, count(*) AS documents, CAST(sum(o_orderkey % 4) AS BIGINT) AS boxes, count(*) FILTER (o_orderkey % 3 = 0) AS test FROM orders""")
+def dataset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct vehicles, documents, boxes and documents of the test part."""
+    k = F.col("o_orderkey")
+    boxes = F.map_from_entries(F.transform(F.filter(F.sequence(F.lit(1), F.lit(3)), lambda n: n <= k % 4), lambda n: F.struct(n.cast("string"), F.array(n, n, n, n))))
+    items = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("vehicle_id"), F.when(k % 3 == 0, "test").otherwise("dev").alias("split"), boxes.alias("boxes"))
+    return metrics.dataset_counts(items)
+
+
+@query("""
+    SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'Qwen3-VL 8B' WHEN 1 THEN 'Qwen2.5-VL' WHEN 2 THEN 'own-' || CAST(s_suppkey AS VARCHAR) WHEN 3 THEN 'Tesseract 5 + правила' ELSE s_name END AS label FROM supplier""")
+def engine_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    name = F.when(k % 5 == 0, "vlm_qwen3-vl-8b").when(k % 5 == 1, "vlm_Qwen2.5VL").when(k % 5 == 2, F.concat(F.lit("vlm_own-"), k.cast("string"))).when(k % 5 == 3, "tesseract").otherwise(F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", metrics.engine_label(name).alias("label"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

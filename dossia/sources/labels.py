@@ -8,25 +8,57 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from dossia.schema import CHECK, DOC_FIELDS, ITEM, RECORD
 
 
-def read_items(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """Labelled documents as JSON lines; broken lines are errors, unknown keys are passed over and missing ones null. ``split``: one of them, else all."""
+class StrictSchema(ValueError):
+    """Lines that don't hold exactly the schema's keys."""
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line, seq of the lines of text files that aren't blank. seq (file, start, row) is the line's place: its file, where its split starts there, and its turn in the split; it orders
+    lines as the files do, however these are split among tasks."""
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    seq = F.struct("file", "start", F.monotonically_increasing_id().alias("row"))
+    return rows.select("line", seq.alias("seq")).where(F.trim("line") != "")
+
+
+def audit_items(spark: SparkSession, path: str, schema: str = ITEM) -> DataFrame:
+    """seq, problem, key of each departure of a line from the schema: ``json`` (no object), ``unknown``, ``missing`` and ``repeated`` keys."""
+    lines = read_lines(spark, path)
+    keys = F.json_object_keys("line")
+    want = F.array(*[F.lit(f.name) for f in T.StructType.fromDDL(schema).fields])
+    found = F.transform(F.array_except(keys, want), lambda k: F.struct(F.lit("unknown").alias("problem"), k.alias("key")))
+    gone = F.transform(F.array_except(want, keys), lambda k: F.struct(F.lit("missing").alias("problem"), k.alias("key")))
+    twice = F.array_distinct(F.filter(keys, lambda k: F.size(F.filter(keys, lambda o: o == k)) > 1))
+    twice = F.transform(twice, lambda k: F.struct(F.lit("repeated").alias("problem"), k.alias("key")))
+    none = F.array(F.struct(F.lit("json").alias("problem"), F.lit(None).cast("string").alias("key")))
+    return lines.select("seq", F.inline(F.when(keys.isNull(), none).otherwise(F.concat(found, gone, twice))))
+
+
+def read_items(spark: SparkSession, path: str, split: str | None = None, strict: bool = False) -> DataFrame:
+    """Labelled documents as JSON lines; broken lines are errors. ``split``: one of them, else all.
+
+    Unknown keys are passed over and missing ones null; with ``strict`` either is an error (see ``audit_items``), raised before anything is read.
+    """
+    if strict and (wrong := audit_items(spark, path).limit(5).collect()):
+        raise StrictSchema("; ".join(f"{r.seq.file} from {r.seq.start}, row {r.seq.row}: {r.problem} {r.key or ''}".strip() for r in wrong))
     items = spark.read.schema(ITEM).option("mode", "FAILFAST").json(path)
     return items if split in (None, "all") else items.where(F.col("split") == split)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Extraction records as JSON lines; none where the path doesn't exist. Blank lines don't count."""
+    """Extraction records as JSON lines with ``seq``, their place in the files; none where the path doesn't exist. Blank lines don't count."""
     try:
-        return spark.read.schema(RECORD).json(path)
+        lines = read_lines(spark, path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], RECORD)
+            return spark.createDataFrame([], f"{RECORD}, seq struct<file:string,start:long,row:long>")
         raise
+    return lines.select(F.from_json("line", RECORD).alias("r"), "seq").select("r.*", "seq")
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
@@ -78,25 +110,52 @@ def global_ids(rows: DataFrame, order: str, name: str) -> DataFrame:
     return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
 
 
-def annotations(items: DataFrame, spark: SparkSession) -> DataFrame:
-    """id (a running number by item and box), item, category_id, bbox (x, y, w, h), area and value of each box."""
+def annotations(items: DataFrame, spark: SparkSession, images: DataFrame | None = None) -> DataFrame:
+    """id (a running number by item and box), item, image_id, category_id, bbox (x, y, w, h), area, iscrowd, attributes (value) and value of each box.
+
+    ``images``: id and number of the items' images (see ``image_table``); without it image_id is null.
+    """
     box = F.col("box")
     rows = items.select(F.col("id").alias("item"), "fields", F.posexplode(F.array_sort(F.map_entries("boxes"))).alias("pos", "e"))
     rows = rows.select("item", "pos", F.col("e.key").alias("name"), F.col("e.value").alias("box"), "fields")
     size = [box[2] - box[0], box[3] - box[1]]
-    rows = rows.join(F.broadcast(categories(spark).withColumnRenamed("id", "category_id")), "name").select(
+    value = F.coalesce(F.element_at("fields", F.col("name")), F.lit(""))
+    rows = rows.join(F.broadcast(categories(spark).select(F.col("id").alias("category_id"), "name")), "name").select(
         F.concat_ws("/", "item", F.lpad(F.col("pos").cast("string"), 6, "0")).alias("_order"), "item", "category_id",
-        F.array(box[0], box[1], *size).alias("bbox"), (size[0] * size[1]).alias("area"), F.coalesce(F.element_at("fields", F.col("name")), F.lit("")).alias("value"),
+        F.array(box[0], box[1], *size).alias("bbox"), (size[0] * size[1]).alias("area"), F.lit(0).alias("iscrowd"), F.struct(value.alias("value")).alias("attributes"), value.alias("value"),
     )
+    if images is None:
+        rows = rows.withColumn("image_id", F.lit(None).cast("long"))
+    else:
+        rows = rows.join(images.select(F.col("item"), F.col("id").alias("image_id")), "item")
     return global_ids(rows, "_order", "id").drop("_order")
 
 
-def write_coco(items: DataFrame, path: str) -> None:
-    """Images, annotations and categories as three folders of JSON lines: the data set needn't fit in one file."""
+def image_table(items: DataFrame) -> DataFrame:
+    """id (a running number from 1, by item), item, file_name, width, height, doc_type, split of each item's image."""
+    rows = items.select(F.col("id").alias("item"), F.col("image").alias("file_name"), "width", "height", "doc_type", "split")
+    return global_ids(rows, "item", "id")
+
+
+def write_coco(items: DataFrame, path: str, description: str = "labelled documents", version: str = "1.0") -> None:
+    """info, images, annotations and categories as four folders of JSON lines: the data set needn't fit in one file."""
+    from dossia.operators.checkpoints import cut
+
     spark = items.sparkSession
-    global_ids(items.select("id", "image", "width", "height", "doc_type", "split"), "id", "number").write.json(f"{path}/images")
-    annotations(items, spark).write.json(f"{path}/annotations")
-    categories(spark).write.json(f"{path}/categories")
+    images = cut(image_table(items))
+    spark.createDataFrame([(description, version)], "description string, version string").coalesce(1).write.json(f"{path}/info")
+    images.drop("item").write.json(f"{path}/images")
+    annotations(items, spark, images).drop("item", "value").write.json(f"{path}/annotations")
+    categories(spark).withColumn("supercategory", F.lit("field")).write.json(f"{path}/categories")
+
+
+def coco_json(path: str, spark: SparkSession) -> str:
+    """One JSON object of what write_coco wrote, for data sets that fit in the driver."""
+    import json
+
+    part = lambda name: [json.loads(r.value) for r in spark.read.text(f"{path}/{name}").collect()]
+    by_id = lambda name: sorted(part(name), key=lambda r: r["id"])
+    return json.dumps({"info": part("info")[0]} | {n: by_id(n) for n in ("images", "annotations", "categories")}, ensure_ascii=False)
 
 
 def extract_with(docs: DataFrame, engine: Callable[[], Callable[[bytes], str]], content: str = "content") -> DataFrame:
@@ -117,30 +176,3 @@ def extract_with(docs: DataFrame, engine: Callable[[], Callable[[bytes], str]],
             yield pd.DataFrame(out, columns=["id", "answer", "seconds", "error"])
 
     return docs.select(F.col("id").cast("string").alias("id"), content).mapInPandas(run, "id string, answer string, seconds double, error string")
-
-
-def http_engine(url: str, model: str, prompt: str, schema: dict | None, key: str = "", timeout: float = 120) -> Callable[[], Callable[[bytes], str]]:
-    """An engine behind a chat completion service; asks once more without the schema where the service refuses it."""
-
-    def open_session() -> Callable[[bytes], str]:
-        import base64
-
-        import requests
-
-        session = requests.Session()
-        session.headers["Authorization"] = f"Bearer {key}"
-
-        def ask(content: bytes) -> str:
-            image = "data:image/jpeg;base64," + base64.b64encode(content).decode()
-            parts = [{"type": "text", "text": prompt}, {"type": "image_url", "image_url": {"url": image}}]
-            body = {"model": model, "temperature": 0, "messages": [{"role": "user", "content": parts}]}
-            formed = {"response_format": {"type": "json_schema", "json_schema": {"name": "document", "schema": schema}}}
-            r = session.post(f"{url}/chat/completions", json=body | (formed if schema else {}), timeout=timeout)
-            if r.status_code == 400 and schema:
-                r = session.post(f"{url}/chat/completions", json=body, timeout=timeout)
-            r.raise_for_status()
-            return r.json()["choices"][0]["message"]["content"] or ""
-
-        return ask
-
-    return open_session
