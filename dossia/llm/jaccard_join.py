@@ -179,10 +179,10 @@ def _packets(sets: Shingles, percent: int, common: np.ndarray, buckets: int) ->
 
 def _candidates(table: pa.Table, percent: int) -> pa.Table:
     """kind 0: pairs a, b of candidates; kind 1: set a of n shingles, which is to meet others by a second signature."""
-    named, number = np.unique(np.frombuffer(b"".join(table["prints"].to_pylist()), "<i8"), return_inverse=True)
+    named, number = np.unique(_end_to_end(table["prints"], "<i8"), return_inverse=True)
     size = np.zeros(len(named), np.int64)
-    size[number] = np.frombuffer(b"".join(table["sizes"].to_pylist()), "<i4")
-    sigs = np.frombuffer(b"".join(table["sigs"].to_pylist()), "<u4")
+    size[number] = _end_to_end(table["sizes"], "<i4")
+    sigs = _end_to_end(table["sigs"], "<u4")
     number = number.astype(np.int32)[np.cumsum(sigs & np.uint32(1), dtype=np.int32) - 1]
     sigs = sigs >> np.uint32(1)
     codes, many = [], []
@@ -238,6 +238,16 @@ def _candidates_of(s: np.ndarray, number: np.ndarray, size: np.ndarray, percent:
     return np.concatenate(codes), number[again]
 
 
+def _end_to_end(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The values of a binary column without nulls as numbers, one after another."""
+    out = []
+    for chunk in column.chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if len(chunk) and ends[-1] > ends[0]:
+            out.append(np.frombuffer(chunk.buffers()[2], np.uint8, int(ends[-1] - ends[0]), int(ends[0])))
+    return (np.concatenate(out) if out else np.zeros(0, np.uint8)).view(kind)
+
+
 def _views(column: pa.Array, kind: str) -> Iterator[np.ndarray]:
     """Each value of a binary column without nulls as numbers, without copying it."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()

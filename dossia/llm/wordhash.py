@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,14 +63,16 @@ def runs(hashes: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
 
 
 def by_bytes(column: pa.Array, most: int) -> Iterator[tuple[slice, list[bytes]]]:
-    """Runs of rows of about ``most`` bytes, with their texts as bytes (null: empty)."""
-    texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
-    start = total = 0
-    for n, t in enumerate(texts):
-        total += len(t)
-        if total >= most or n == len(texts) - 1:
-            yield slice(start, n + 1), texts[start : n + 1]
-            start, total = n + 1, 0
+    """Runs of rows of about ``most`` bytes, with their texts as bytes (null: empty). Only one run's texts are held beside the column."""
+    column = column.cast(pa.binary())
+    ends = np.cumsum(np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64))
+    start = 0
+    while start < len(ends):
+        done = int(ends[start - 1]) if start else 0
+        stop = min(int(np.searchsorted(ends, done + most)) + 1, len(ends))
+        yield slice(start, stop), [t or b"" for t in column.slice(start, stop - start).to_pylist()]
+        start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def slot(hashes: np.ndarray, slots: int = SLOTS) -> np.ndarray:
