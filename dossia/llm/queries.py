@@ -189,6 +189,34 @@ ORACLES = {
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op6_jaccard": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS shingles
+            FROM t
+        ), e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS g FROM s),
+        l AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+        ), r AS (SELECT a AS doc_id, b AS reached FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a),
+        c AS (SELECT doc_id, min(reached) AS least FROM r GROUP BY doc_id)
+        SELECT doc_id, len(shingles) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id FROM s LEFT JOIN c USING (doc_id)""",
+    "op9_substring_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents
+        ), g AS (SELECT doc_id, unnest([{'start': i, 'words': array_to_string(w[i:i + 19], ' ')} FOR i IN range(1, len(w) - 18)]) AS g FROM t),
+        f AS (SELECT g.words AS words, min({'doc_id': doc_id, 'start': g.start}) AS first FROM g GROUP BY g.words),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(g.start, g.start + 20)) AS place FROM g JOIN f ON g.words = f.words
+            WHERE {'doc_id': doc_id, 'start': g.start} > f.first
+        ), each AS (SELECT doc_id, unnest([{'place': i, 'word': w[i]} FOR i IN range(1, len(w) + 1)]) AS e FROM t),
+        kept AS (
+            SELECT each.doc_id, string_agg(e.word, ' ' ORDER BY e.place) AS text, count(*) AS n FROM each ANTI JOIN gone ON each.doc_id = gone.doc_id AND e.place = gone.place GROUP BY each.doc_id
+        )
+        SELECT t.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM t LEFT JOIN kept ON t.doc_id = kept.doc_id""",
     "op12_filter_audit": r"""
         WITH RECURSIVE t AS (
             SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
