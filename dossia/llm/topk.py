@@ -64,12 +64,19 @@ def _long(x: np.ndarray) -> np.ndarray:
     return x if x.dtype == np.int64 else np.clip(x, -LONG, LONG).astype(np.int64)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int, among: np.ndarray) -> np.ndarray:
-    """Positions of the k best of ``among``: by score downwards, then id upwards."""
-    at = np.flatnonzero(among)
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best: by score downwards, then id upwards. Only those that reach the k-th best score are sorted."""
+    at = np.arange(len(scores))
+    if len(at) > k > 0:
+        at = np.flatnonzero(scores >= np.partition(scores, len(at) - k)[len(at) - k])
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
+def _resolved(parts: list[np.ndarray], i: int, at: np.ndarray) -> np.ndarray:
+    """Exact scores of a query's entries at these positions: their partial scores of all slices are fetched and added."""
+    return _long(np.sum([p[i][at] for p in parts], axis=0))
+
+
 def _frame(block: int, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
     ids = [np.full(len(v), q, dtype=np.int64) for q, v, _ in parts]
     query, vec, score = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (ids, [p[1] for p in parts], [p[2] for p in parts]))
@@ -88,20 +95,19 @@ def _scan(k: int, slices: int, resolve: bool):
                 for start in range(0, len(q_ids), _CHUNK):
                     ids, q = q_ids[start : start + _CHUNK], q_all[start : start + _CHUNK]
                     parts = _partials(q, c, slices)
-                    total = _long(np.sum(parts, axis=0))
                     found = []
                     for i, qid in enumerate(ids):
-                        among = c_ids != qid
-                        if not resolve:  # the exact scores of each slice's local list
-                            listed = np.zeros(len(c_ids), bool)
-                            for p in parts:
-                                listed[_best(_long(p[i]), c_ids, k, among)] = True
-                            among = listed
-                        elif (t := cutoff.get(qid)) is not None:  # partial >= t / slices, without rounding
-                            among &= np.logical_or.reduce([(p[i] * slices >= t).astype(bool) for p in parts])
-                            among &= total[i] >= t
-                        at = _best(total[i], c_ids, k, among)
-                        found.append((qid, c_ids[at], total[i][at]))
+                        others = np.flatnonzero(c_ids != qid)
+                        if not resolve:  # each slice's local list
+                            lists = [others[_best(_long(p[i][others]), c_ids[others], k)] for p in parts]
+                            at = np.unique(np.concatenate(lists))
+                        elif (t := cutoff.get(qid)) is not None:  # partial >= t / slices in some slice, without rounding
+                            at = others[np.logical_or.reduce([(p[i][others] * slices >= t).astype(bool) for p in parts])]
+                        else:  # fewer than k candidates have a score: all are collected
+                            at = others
+                        total = _resolved(parts, i, at)
+                        best = _best(total, c_ids[at], k)
+                        found.append((qid, c_ids[at][best], total[best]))
                     yield _frame(row.q_block, found)
 
     return scan

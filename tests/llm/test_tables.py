@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -236,6 +237,27 @@ def test_topk_matches_brute_force(spark, monkeypatch):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_only_collected_entries_are_resolved(monkeypatch):
+    """The last phase adds up the partial scores of entries that reach the cutoff's share in some slice, and of no others."""
+    rng = np.random.default_rng(4)
+    q, c = rng.integers(-1000, 1000, (7, 16)).astype(float), rng.integers(-1000, 1000, (2000, 16)).astype(float)
+    score = (q @ c.T).astype(np.int64)
+    cuts = np.sort(score, axis=1)[:, -10]
+    batch = pd.DataFrame({"q_block": [0], "q_ids": [list(range(-7, 0))], "c_ids": [list(range(2000))], "q_m": [q.ravel()], "c_m": [c.ravel()], "cut_ids": [list(range(-7, 0))], "cuts": [cuts.tolist()]})
+    counted, before = [], topk._resolved
+    monkeypatch.setattr(topk, "_resolved", lambda parts, i, at: (counted.append(len(at)), before(parts, i, at))[1])
+    found = pd.concat(topk._scan(10, 4, resolve=True)([batch]))
+    for n in range(7):
+        want = sorted((-s, i) for i, s in enumerate(score[n].tolist()))[:10]
+        assert [(-s, i) for i, s in zip(found[found.query_id == n - 7].vec_id, found[found.query_id == n - 7].score, strict=True)] == want
+    assert 70 <= sum(counted) < 0.5 * score.size
+    partial = [(q[:, 4 * k : 4 * k + 4] @ c[:, 4 * k : 4 * k + 4].T) * 4 >= cuts[:, None] for k in range(4)]
+    assert counted == np.logical_or.reduce(partial).sum(axis=1).tolist()
+    counted.clear()
+    list(topk._scan(10, 4, resolve=False)([batch.drop(columns=["cut_ids", "cuts"])]))
+    assert max(counted) <= 40  # four lists of ten
+
+
 def test_topk_of_huge_components(spark):
     df = spark.createDataFrame([(0, [2.0**25, 1.0]), (1, [2.0**24, 3.0]), (2, [-(2.0**24), 1.0])], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.score for r in topk.top_k(df, df.where("vec_id = 0")).collect()}
