@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossia.functions import canon as C
+from dossia.functions import sql
 from dossia.operators import layout, linking, quality
 from dossia.operators.checkpoints import shared_dir
 from dossia.plans.catalog import query, table
@@ -91,6 +92,30 @@ def nlq_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_phrases(_phrases(customers), _phrase_cards(customers)).select("phrase_id", "column", "op", F.array_join("value", "|").alias("value"))
 
 
+@query(f"""
+    SELECT phrase_id, "column", op, value FROM ({_CONDITIONS})
+    WHERE "column" IN ('year', 'power_hp', 'engine_volume', 'engine_type', 'pts_number', 'eco_class', 'plate') OR "column" = 'vin'""")
+def sql_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules find in phrases, by a table function in SQL."""
+    sql.register_phrases(spark)
+    _phrases(table(spark, sf_dir, "customer").select("c_custkey")).createOrReplaceTempView("phrases_of_customers")
+    return spark.sql("SELECT p.phrase_id, c.`column`, c.op, array_join(c.value, '|') AS value FROM phrases_of_customers p, LATERAL phrase_conditions(p.text) c")
+
+
+@query("""
+    SELECT p_partkey, 'XTA' || lpad(CAST(p_partkey AS VARCHAR), 14, '0') AS vin, CAST(p_partkey % 28 + p_size AS VARCHAR) AS number, least(1.0, CAST(levenshtein(upper(p_brand), upper(p_type)) AS DOUBLE) / length(p_type)) AS cer,
+           CASE WHEN p_partkey % 3 = 0 THEN '—' ELSE CAST(p_partkey % 101 AS VARCHAR) || '.0%' END AS share
+    FROM part""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical forms, error rates and shares by functions in SQL alone."""
+    sql.register(spark)
+    return spark.sql(
+        f"""SELECT p_partkey, canon_vin(concat('хта ', lpad(CAST(p_partkey AS STRING), 14, 'O'))) AS vin, canon_year(concat('000', p_partkey % 28 + p_size, ' г.')) AS number, cer(upper(p_brand), upper(p_type)) AS cer,
+                   percent_text(CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 101 / 100 END) AS share
+            FROM parquet.`{sf_dir}/part.parquet`"""
+    )
+
+
 _COLORS = ["БЕЛЫЙ", "ЧЕРНЫЙ", "СИНИЙ", "КРАСНЫЙ"]
 
 
