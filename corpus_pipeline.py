@@ -1,10 +1,14 @@
 """A training corpus from raw documents: toxic ones go, then exact copies, near copies and repeated passages; the rest is packed.
 
-All stages but the last take and return the columns of ``documents``. Each works on all that its predecessor kept.
+All stages but the last take and return the columns of ``documents``. Each works on all that its predecessor kept. Stages set the session's
+``spark.sql.execution.arrow.maxBytesPerBatch``.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +18,25 @@ from dossia.llm.langid import held_out
 from dossia.llm.queries import vocabulary
 
 
+#: Bytes of a batch that goes to a Python worker. Workers live through all stages and keep what a batch once took, beside what the operators hold.
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(stage: Callable) -> Callable:
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def _whole(docs: DataFrame) -> DataFrame:
     """Each row as one column beside its id and text, so that no name of a stage's own meets one of docs."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
 
 
+@_small_batches
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic; it learns from three quarters of the labelled documents.
 
@@ -30,11 +48,13 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
+@_small_batches
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays; null texts are empty ones. See ``exact_dedup.drop_exact_copies`` for repeated rows and missing ids."""
     return exact_dedup.drop_exact_copies(docs)
 
 
+@_small_batches
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.75 or more over shingles of five words the one with the smallest id stays.
 
@@ -43,6 +63,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.drop_near_copies(docs)
 
 
+@_small_batches
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows of 20 words that also start earlier go; texts without any, null ones too, stay as they are.
 
@@ -56,6 +77,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
+@_small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents and their places in sequences of 1024 tokens. A null or empty text is its end alone; repeated rows are packed each."""
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
