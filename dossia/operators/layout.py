@@ -208,3 +208,10 @@ def regex_fallbacks(fields: Column, doc_type: Column, text: Column) -> Column:
     entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in found.items()])
     rest = F.map_filter(fields, lambda k, v: ~k.isin(*found))
     return F.map_concat(rest, F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())))
+
+
+def nearest_by_edits(text: Column, labels: list[str]) -> Column:
+    """label, distance: the label with the fewest edits to a text, of equally near ones the last by name."""
+    each = [F.struct((-F.levenshtein(text, F.lit(label))).alias("d"), F.lit(label).alias("label")) for label in labels]
+    best = F.array_max(F.array(*each))
+    return F.struct(best["label"].alias("label"), (-best["d"]).alias("distance"))

@@ -256,3 +256,12 @@ def between_marks(text: str, block: str, start: str, end: str) -> str | None:
         return None
     head, rest = text.split(start, 1)
     return head + start + "\n" + block + "\n" + end + rest.split(end, 1)[1]
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row with the number of rows of each table, by name."""
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()]
+    whole = rows[0]
+    for one in rows[1:]:
+        whole = whole.unionByName(one)
+    return whole.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in tables])

@@ -19,7 +19,8 @@ from dossia.operators.checkpoints import shared_dir
 from dossia.plans.predicates import Cond, any_text, compile_all, kinds_of, search, vocabulary
 from dossia.schema import EPTS, PTS, STS_BACK, STS_FRONT
 from dossia.sources import fill
-from dossia.sources.labels import annotations, write_coco
+from dossia.sources.generate import split_by
+from dossia.sources.labels import annotations, long_fields, write_coco
 from dossia.streaming.runs import late_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,14 +95,13 @@ def vocab_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey = 42")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey = 42").select("c_custkey", "c_name", "c_acctbal")
+    cards = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return search(cards, [Cond("c_custkey", "=", 42)], order="c_custkey", limit=1)  # the feature is one card
 
 
 @query("SELECT (SELECT count(*) FROM customer) AS cards, (SELECT count(*) FROM orders) AS documents")
 def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = [table(spark, sf_dir, t).agg(F.count("*").alias(n)) for t, n in (("customer", "cards"), ("orders", "documents"))]
-    both = counts[0].select("cards", F.lit(0).cast("long").alias("documents")).unionByName(counts[1].select(F.lit(0).cast("long").alias("cards"), "documents"))
-    return both.agg(F.sum("cards").alias("cards"), F.sum("documents").alias("documents"))
+    return metrics.table_counts({"cards": table(spark, sf_dir, "customer"), "documents": table(spark, sf_dir, "orders")})
 
 
 @query("""
@@ -332,8 +332,8 @@ def robustness_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT c_custkey, 'c_name' AS key, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment FROM customer
     UNION ALL SELECT c_custkey, 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer""")
 def fields_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_nationkey").cast("string").alias("c_nationkey"))
-    return c.unpivot("c_custkey", ["c_name", "c_mktsegment", "c_nationkey"], "key", "value")
+    fields = F.create_map(*[x for c in ("c_name", "c_mktsegment", "c_nationkey") for x in (F.lit(c), F.col(c).cast("string"))])
+    return long_fields(table(spark, sf_dir, "customer").select("c_custkey", fields.alias("fields")), "c_custkey")
 
 
 @query("""
@@ -362,7 +362,7 @@ def last_record_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CASE WHEN (c_custkey * 7919) % 100 < 30 THEN 'test' ELSE 'dev' END AS split, count(*) AS n, count(DISTINCT c_nationkey) AS groups FROM customer GROUP BY 1")
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = F.when((F.col("c_custkey") * 7919) % 100 < 30, "test").otherwise("dev")
+    split = split_by(F.col("c_custkey") * 7919 % 100, 30)
     return table(spark, sf_dir, "customer").groupBy(split.alias("split")).agg(F.count("*").alias("n"), F.countDistinct("c_nationkey").alias("groups"))
 
 
@@ -474,8 +474,8 @@ LABEL_WORDS = ["small ring", "red widget", "blue bolt", "hot gear", "green gizmo
     SELECT p_name, label, distance FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY distance, label DESC) AS n FROM d) WHERE n = 1""")
 def fuzzy_label_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select("p_name").distinct()
-    near = F.array_max(F.array(*[F.struct((-F.levenshtein("p_name", F.lit(w))).alias("d"), F.lit(w).alias("label")) for w in LABEL_WORDS]))
-    return names.select("p_name", near["label"].alias("label"), (-near["d"]).cast("long").alias("distance"))
+    near = layout.nearest_by_edits(F.col("p_name"), LABEL_WORDS)
+    return names.select("p_name", near["label"].alias("label"), near["distance"].cast("long").alias("distance"))
 
 
 @query()

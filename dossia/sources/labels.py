@@ -71,6 +71,11 @@ def decode_documents(store: DataFrame) -> DataFrame:
     return store.withColumns({"fields": F.from_json("fields", "map<string,string>"), "checks": F.from_json("checks", CHECK)})
 
 
+def long_fields(docs: DataFrame, id_col: str = "id") -> DataFrame:
+    """id, key, value: one row for each field of each document; documents without fields have none."""
+    return docs.select(id_col, F.explode("fields").alias("key", "value"))
+
+
 def encode_documents(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"fields": F.to_json("fields"), "checks": F.to_json("checks")})
 
