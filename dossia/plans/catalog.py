@@ -20,7 +20,7 @@ from dossia.plans.predicates import Cond, any_text, compile_all, kinds_of, searc
 from dossia.schema import EPTS, PTS, STS_BACK, STS_FRONT
 from dossia.sources import fill
 from dossia.sources.generate import split_by
-from dossia.sources.labels import annotations, long_fields, write_coco
+from dossia.sources.labels import annotations, as_json, in_one_line, long_fields, write_coco
 from dossia.streaming.runs import late_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,6 +257,19 @@ def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir).select("o_orderkey", F.explode("checks").alias("c")).select("o_orderkey", "c.level", "c.field")
 
 
+@query("""
+    WITH d AS (SELECT o_orderkey, CAST(1940 + o_orderkey % 100 AS BIGINT) AS made, CAST(o_custkey % 200 AS BIGINT) AS hp, CAST(o_orderkey % 150 AS BIGINT) AS kw, CAST(o_custkey AS BIGINT) AS curb, CAST(o_orderkey % 1500 AS BIGINT) AS top,
+                      year(o_orderdate) AS issued, CAST(round_even(CAST(o_custkey % 200 AS BIGINT) * 0.7355, 0) AS BIGINT) AS want FROM orders)
+    SELECT o_orderkey, 'power_kw' AS field, CASE WHEN abs(want - kw) > 1 THEN CAST(hp AS VARCHAR) || ' л.с. дают ' || CAST(want AS VARCHAR) || ' кВт, а указано ' || CAST(kw AS VARCHAR) ELSE 'Обе мощности согласуются' END AS message FROM d WHERE hp <> 0 AND kw <> 0
+    UNION ALL SELECT o_orderkey, 'curb_mass', CASE WHEN curb < top THEN 'Обе массы согласуются' ELSE 'Пустая машина тяжелее, чем разрешено гружёной' END FROM d WHERE curb <> 0 AND top <> 0
+    UNION ALL SELECT o_orderkey, 'year', 'Таким год выпуска быть не может: ' || CAST(made AS VARCHAR) FROM d WHERE made NOT BETWEEN 1950 AND 2026
+    UNION ALL SELECT o_orderkey, 'issue_date', 'Дата выдачи раньше года выпуска' FROM d WHERE issued < made - 1""")
+def quality_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages on powers, masses, years and dates."""
+    found = _checked(spark, sf_dir).select("o_orderkey", F.explode("checks").alias("c"))
+    return found.select("o_orderkey", "c.field", "c.message").where("field <> 'doc_number'")
+
+
 @query(_CHECKS + "SELECT level, field, count(*) AS n FROM c GROUP BY level, field")
 def quality_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.check_counts(_checked(spark, sf_dir))
@@ -576,6 +589,17 @@ def dataset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.dataset_counts(items)
 
 
+@query("""
+    SELECT c_custkey, concat_ws(' ', CASE WHEN c_custkey % 3 <> 0 THEN c_name END, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END) AS owner,
+           '{"c_custkey":' || CAST(c_custkey AS VARCHAR) || ',"c_mktsegment":"' || c_mktsegment || '"}' AS json
+    FROM customer""")
+def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a found card in one line, empty ones left out, and a card as JSON to download."""
+    k = F.col("c_custkey")
+    cards = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.when(k % 3 != 0, F.col("c_name")).alias("last"), F.when(k % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("first"))
+    return cards.select("c_custkey", in_one_line("last", "first").alias("owner"), as_json(["c_custkey", "c_mktsegment"]).alias("json"))
+
+
 @query("""
     SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'Qwen3-VL 8B' WHEN 1 THEN 'Qwen2.5-VL' WHEN 2 THEN 'own-' || CAST(s_suppkey AS VARCHAR) WHEN 3 THEN 'Tesseract 5 + правила' ELSE s_name END AS label FROM supplier""")
 def engine_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

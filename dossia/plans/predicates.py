@@ -30,6 +30,11 @@ class Cond:
         return f"{title}{sign} {self.value}"
 
 
+def explain(conds: list[Cond], titles: dict[str, str] | None = None) -> list[str]:
+    """Each condition for readers, in order."""
+    return [c.human(titles) for c in conds]
+
+
 def valid(cond: Cond, kinds: dict[str, str]) -> bool:
     """Whether columns and operation are known and the value has the operation's form."""
     if cond.op not in OPS or any(c not in kinds for c in cond.column.split("|")):

@@ -76,6 +76,16 @@ def long_fields(docs: DataFrame, id_col: str = "id") -> DataFrame:
     return docs.select(id_col, F.explode("fields").alias("key", "value"))
 
 
+def in_one_line(*columns: str) -> Column:
+    """Values of some columns parted by spaces; null and empty ones are left out."""
+    return F.concat_ws(" ", *[F.nullif(F.col(c).cast("string"), F.lit("")) for c in columns])
+
+
+def as_json(columns: list[str]) -> Column:
+    """A row's columns as one JSON object; null ones are left out, letters stay as they are."""
+    return F.to_json(F.struct(*columns))
+
+
 def encode_documents(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"fields": F.to_json("fields"), "checks": F.to_json("checks")})
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dossia.plans import phrases as P
 from dossia.plans import search_log as L
-from dossia.plans.predicates import OPS, Cond, search, vocabulary
+from dossia.plans.predicates import OPS, Cond, explain, search, vocabulary
 
 CARDS = [
     (1, "HYUNDAI CRETA", 2016, 123, "БЕЛЫЙ", "МОРОЗОВА", "Г. САРАТОВ", "САРАТОВСКАЯ ОБЛ", "А123ВС164", "63ОХ123456"),
@@ -61,6 +61,12 @@ def test_search(spark, cards):
         vocabulary(cards, "x; --")
 
 
+def test_models_imply_brands_without_cards(spark):
+    conds, words = P.conditions(P.parse_phrases(spark.createDataFrame([(1, "хендай крета не старше 2015, киа")], "phrase_id int, text string")))
+    assert {(c.column, c.value) for c in conds} == {("year", "2015"), ("make_model", "CRETA"), ("make_model", "KIA")} and words == []
+    assert explain(conds[:1], {"year": "Год"}) == ["Год ≥ 2015"] and explain([Cond("year", "between", (1, 2))]) == ["year: 1–2"]
+
+
 def test_phrase_finds_cards(spark, cards):
     conds, words = parsed(spark, cards, "белая крета Морозовой")
     assert [r.id for r in search(cards, conds, words).collect()] == [1]
