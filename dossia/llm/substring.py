@@ -3,6 +3,9 @@
 Windows are brought together by super-k-mer partitioning. A window's minimiser is its rarest run of GRAM words (by a fixed-size table
 of how common runs are, ties by hash); consecutive windows that share a minimiser travel as one packed string to the
 minimiser's bucket. There all windows are cut out again and sorted, so that equal ones meet exactly.
+
+A block of texts settles its own repeats first, and a task remembers windows that it met more than once, with their earliest place: later
+blocks of the task don't send these again, so a passage that very many documents hold reaches its bucket about once a task.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ GRAM = 3
 #: Bytes of text that a task handles at once, and of text per bucket (its windows' packed strings hold about three times as many).
 BLOCK_BYTES = 4_000_000
 BUCKET_BYTES = 3_000_000
+#: Windows that a task remembers from block to block; those it forgets are sent again and meet in their bucket.
+REMEMBERED = 1 << 16
 
 _LAST = np.iinfo(np.int64).max
 _FLAGS = "_id long, _key long, first array<int>, last array<int>"
@@ -42,11 +47,11 @@ def _window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarr
     return runs(words, window, 1), runs(words, window, 2)
 
 
-def later(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Whether an equal window among these has a smaller (id, start)."""
-    out = np.zeros(len(h1), dtype=bool)
+def repeats(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether an equal window among these has a smaller (id, start), and whether there is an equal one at all."""
+    out, equal = np.zeros(len(h1), dtype=bool), np.zeros(len(h1), dtype=bool)
     if not len(h1):
-        return out
+        return out, equal
     order = np.argsort(h1, kind="stable")
     same = h1[order[1:]] == h1[order[:-1]]
     if not np.array_equal(same, same & (h2[order[1:]] == h2[order[:-1]])):  # different windows with one hash
@@ -57,14 +62,35 @@ def later(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, starts: np.ndarray) -
     met[:-1] |= same
     at = order[met]
     if not len(at):
-        return out
+        return out, equal
     head = np.concatenate([[True], ~same])[met]
     group = np.flatnonzero(head)
     least = np.minimum.reduceat(ids[at], group)
     of = np.cumsum(head) - 1
     first = np.minimum.reduceat(np.where(ids[at] == least[of], starts[at], _LAST), group)
     out[at] = (ids[at] > least[of]) | (starts[at] > first[of])
-    return out
+    equal[at] = True
+    return out, equal
+
+
+class _Remembered:
+    """Windows that a task met more than once: hashes, and the earliest place of each so far."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.windows = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def later(self, *windows: np.ndarray) -> np.ndarray:
+        """Which of a block's windows (two hashes, id, start) an equal one of the block, or one remembered, precedes. Remembers those met again."""
+        n = len(windows[0])
+        every = [np.concatenate([new, old.astype(new.dtype)]) for new, old in zip(windows, self.windows, strict=True)]
+        out, equal = repeats(*every)
+        known = np.zeros(len(out), dtype=bool)
+        known[n:] = True
+        # First those met again, of these the block's last; then those not met for long.
+        ranked = np.concatenate([np.flatnonzero(equal & ~out)[::-1], np.flatnonzero(known & ~equal)])[: self.most]
+        self.windows = tuple(x[ranked] for x in every)
+        return out[:n]
 
 
 def _ranges(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,9 +111,9 @@ def _flag_batch(ids: np.ndarray, keys: np.ndarray, rows: np.ndarray, starts: np.
 
 
 class _Block:
-    """The windows of a block of rows, without those that an earlier window of the block already repeats."""
+    """The windows of a block of rows, without those that repeat an earlier window of the block or one remembered."""
 
-    def __init__(self, ids: np.ndarray, keys: np.ndarray, texts: list[bytes], window: int, common: np.ndarray):
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, texts: list[bytes], window: int, common: np.ndarray, remembered: _Remembered):
         # Rows that repeat an id and its text have the same windows: one stands for all.
         pairs = np.rec.fromarrays([ids, keys])
         once = np.sort(np.unique(pairs, return_index=True)[1])
@@ -96,7 +122,7 @@ class _Block:
         h1, h2 = _window_hashes(w.hash, window)
         at = np.flatnonzero(w.text[: len(h1)] == w.text[window - 1 :]) if len(h1) else np.zeros(0, np.int64)
         self.start = at - w.first[w.text[at]]
-        repeated = later(h1[at], h2[at], self.ids[w.text[at]], self.start)
+        repeated = remembered.later(h1[at], h2[at], self.ids[w.text[at]], self.start)
         self.flagged = at[repeated]
         self.at = at[~repeated]
         self.start = self.start[~repeated]
@@ -148,7 +174,7 @@ def _repeats_of_bucket(packets: list[tuple[bytes, bytes]], window: int) -> pa.Re
     row, begin = which[text], start[text] + at - w.first[text]
     h1, h2 = h1[at], h2[at]
     del w, at, text
-    flagged = later(h1, h2, ids[row], begin)
+    flagged, _ = repeats(h1, h2, ids[row], begin)
     return _flag_batch(ids, keys, row[flagged], begin[flagged])
 
 
@@ -169,10 +195,11 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, bucket_bytes: int =
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = pa.Codec("zstd", 3)
         names = ["bucket", "head", "packed", "head_size", "packed_size", "_id", "_key", "first", "last"]
+        remembered = _Remembered(REMEMBERED)
         for batch in batches:
             ids, keys = (np.asarray(batch.column(c)) for c in ("_id", "_key"))
             for part, texts in by_bytes(batch.column("text"), BLOCK_BYTES):
-                block = _Block(ids[part], keys[part], texts, window, common.value)
+                block = _Block(ids[part], keys[part], texts, window, common.value, remembered)
                 w = block.words
                 # What the block finds out itself goes along with the packets.
                 flags = _flag_batch(block.ids, block.keys, w.text[block.flagged], block.flagged - w.first[w.text[block.flagged]])

@@ -1,7 +1,9 @@
 import random
 import re
 
-from dossia.llm import substring
+import numpy as np
+
+from dossia.llm import substring, wordhash
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, n_words string"
@@ -48,3 +50,42 @@ def test_long_text_and_empty_table(spark):
     (row,) = run(spark, [(1, text, None)], 20)
     assert row[1] == 90_000 and row[2] == 59_999
     assert run(spark, [], 20) == []
+
+
+def blocks(texts, size, window, most):
+    """The windows that blocks of some texts send, and those that they find repeated: (id, start)."""
+    remembered, common = substring._Remembered(most), np.zeros(wordhash.SLOTS, np.uint8)
+    sent, flagged = [], set()
+    for n in range(0, len(texts), size):
+        part = texts[n : n + size]
+        block = substring._Block(np.arange(n, n + len(part)), np.arange(n, n + len(part)), [t.encode() for t in part], window, common, remembered)
+        text = block.words.text
+        sent += zip(block.ids[text[block.at]].tolist(), block.start.tolist(), strict=True)
+        flagged |= set(zip(block.ids[text[block.flagged]].tolist(), (block.flagged - block.words.first[text[block.flagged]]).tolist(), strict=True))
+    return sent, flagged
+
+
+def test_a_passage_of_all_blocks_is_sent_about_once():
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = [f"{passage} own{n}" if n % 2 else f"own{n} {passage}" for n in range(400)]
+    sent, flagged = blocks(texts, 4, 20, 1000)
+    inner = 21  # windows of the passage alone
+    assert len(set(sent)) == len(sent) == 400 + inner and len(flagged) == 399 * inner
+    forgetful, found = blocks(texts, 4, 20, 0)
+    assert len(forgetful) == 400 + 100 * inner and len(found) == 300 * inner
+
+
+def test_remembered_windows_change_no_result():
+    rng = random.Random(8)
+    for most in (0, 3, 50, 10_000):
+        texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+        windows = {}
+        for i, t in enumerate(texts):
+            ws = t.split()
+            for k in range(len(ws) - 4):
+                windows.setdefault(tuple(ws[k : k + 5]), []).append((i, k))
+        later = {place for places in windows.values() for place in places if place > min(places)}
+        sent, flagged = blocks(texts, 3, 5, most)
+        # Nothing that comes first is flagged, all that is flagged is later, and what is neither is sent.
+        assert flagged <= later and not flagged & set(sent)
+        assert set(sent) | flagged == {p for places in windows.values() for p in places}
