@@ -45,11 +45,20 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, body)
 
 
+def folded_case(v: Column) -> Column:
+    """Upper case, Ё as Е, white space runs as one space, outer blanks stripped; null is empty."""
+    s = F.translate(F.upper(F.coalesce(v, F.lit(""))), "Ё\u00a0", "Е ")
+    return F.btrim(F.regexp_replace(s, r"(?U)\s+", " "))
+
+
+def stripped(s: Column) -> Column:
+    """A folded text without outer punctuation; words for "none" are empty."""
+    return F.btrim(F.when(s.isin(NOTHING), F.lit("")).otherwise(s), F.lit(" .,;:"))
+
+
 def base(v: Column, let: Let = repeated) -> Column:
     """Upper case, Ё as Е, white space runs as one space, outer blanks and punctuation stripped; words for "none" are empty."""
-    s = F.translate(F.upper(F.coalesce(v, F.lit(""))), "Ё\u00a0", "Е ")
-    s = F.btrim(F.regexp_replace(s, r"(?U)\s+", " "))
-    return let(s, lambda s: F.btrim(F.when(s.isin(NOTHING), F.lit("")).otherwise(s), F.lit(" .,;:")))
+    return let(folded_case(v), stripped)
 
 
 def to_latin(s: Column) -> Column:
@@ -69,23 +78,36 @@ def fix_vin(s: Column, let: Let = repeated) -> Column:
     return F.translate(to_latin(_squeezed(s, r"\-")), "OIQ", "010")
 
 
-def fix_plate(s: Column, let: Let = repeated) -> Column:
-    """Cyrillic; letters and digits are told apart by their places: A123BC64."""
+def squeezed_plate(s: Column) -> Column:
+    return to_cyrillic(_squeezed(s, r"\-|"))
+
+
+def placed_plate(s: Column) -> Column:
+    """A squeezed number with letters and digits told apart by their places."""
     letter = lambda c: F.translate(c, "08", "ОВ")
     digit = lambda c: F.translate(c, "ОЗБ", "036")
-    placed = lambda s: F.concat(letter(F.substring(s, 1, 1)), digit(F.substring(s, 2, 3)), letter(F.substring(s, 5, 2)), digit(s.substr(F.lit(7), F.length(s))))
-    return let(to_cyrillic(_squeezed(s, r"\-|")), placed)
+    return F.concat(letter(F.substring(s, 1, 1)), digit(F.substring(s, 2, 3)), letter(F.substring(s, 5, 2)), digit(s.substr(F.lit(7), F.length(s))))
 
 
-def fix_series(s: Column, let: Let = repeated) -> Column:
-    """Document numbers; the middle of a paper passport's series is Cyrillic letters."""
+def fix_plate(s: Column, let: Let = repeated) -> Column:
+    """Cyrillic; letters and digits are told apart by their places: A123BC64."""
+    return let(squeezed_plate(s), placed_plate)
+
 
-    def fixed(s: Column) -> Column:
-        middle = F.substring(s, 3, 2)
-        mixed = s.rlike(r"(?U)^\d{2}.{2}\d{6}$") & ~middle.rlike(r"(?U)^\d+$")
-        return F.when(mixed, F.concat(F.substring(s, 1, 2), F.translate(to_cyrillic(middle), "0", "О"), F.substring(s, 5, 6))).otherwise(s)
+def squeezed_number(s: Column) -> Column:
+    return _squeezed(s, r"\-№N")
 
-    return let(_squeezed(s, r"\-№N"), fixed)
+
+def fixed_series(s: Column) -> Column:
+    """A squeezed number; the middle of a paper passport's series is Cyrillic letters."""
+    middle = F.substring(s, 3, 2)
+    mixed = s.rlike(r"(?U)^\d{2}.{2}\d{6}$") & ~middle.rlike(r"(?U)^\d+$")
+    return F.when(mixed, F.concat(F.substring(s, 1, 2), F.translate(to_cyrillic(middle), "0", "О"), F.substring(s, 5, 6))).otherwise(s)
+
+
+def fix_series(s: Column, let: Let = repeated) -> Column:
+    """Document numbers; the middle of a paper passport's series is Cyrillic letters."""
+    return let(squeezed_number(s), fixed_series)
 
 
 def digits(s: Column) -> Column:
@@ -116,8 +138,13 @@ def _form(key: str) -> str:
     return "latin" if key in LATIN_FIELDS else "cyrillic" if key in CYRILLIC_FIELDS else "text"
 
 
+def body_form(s: Column, vin: Column) -> Column:
+    """A body's number from its base form, and that read as a VIN."""
+    return F.when(F.length(vin) == 17, vin).otherwise(_alnum(s))
+
+
 def _body(s: Column, let: Let = repeated) -> Column:
-    return let(fix_vin(s), lambda vin: F.when(F.length(vin) == 17, vin).otherwise(_alnum(s)))
+    return let(fix_vin(s), lambda vin: body_form(s, vin))
 
 
 _FORMS = {
@@ -193,8 +220,8 @@ def date_value(v: Column) -> Column:
     return F.try_to_date(F.concat_ws(".", part(1), part(2), part(3)), "d.M.yyyy")
 
 
-def vin_check_digit(vin: Column, let: Let = repeated) -> Column:
-    """Check digit (place 9) by ISO 3779; other characters count 0."""
+def check_digit_sum(vin: Column, let: Let = repeated) -> Column:
+    """The weighted sum of a VIN's characters modulo 11, by ISO 3779; other characters count 0."""
     chars = "".join(VIN_VALUES)
 
     def rest(as_digits: Column) -> Column:
@@ -203,7 +230,16 @@ def vin_check_digit(vin: Column, let: Let = repeated) -> Column:
 
     # translate() gives each character its value as one digit; others become 0.
     as_digits = F.translate(F.regexp_replace(vin, f"[^{chars}]", "0"), chars, "".join(str(n) for n in VIN_VALUES.values()))
-    return let(let(as_digits, rest), lambda r: F.when(r == 10, "X").otherwise(r.cast("string")))
+    return let(as_digits, rest)
+
+
+def check_digit_of(r: Column) -> Column:
+    return F.when(r == 10, "X").otherwise(r.cast("string"))
+
+
+def vin_check_digit(vin: Column, let: Let = repeated) -> Column:
+    """Check digit (place 9) by ISO 3779; other characters count 0."""
+    return let(check_digit_sum(vin, let), check_digit_of)
 
 
 def vin_year_code(year: Column) -> Column:

@@ -210,6 +210,18 @@ def regex_fallbacks(fields: Column, doc_type: Column, text: Column) -> Column:
     return F.map_concat(rest, F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())))
 
 
+def read_documents(words: DataFrame) -> DataFrame:
+    """doc_id, doc_type, fields, text of printed pages: lines, the type by vote, labelled values, and numbers found by their form.
+
+    Documents without any label that is near to a printed one have no row. A null address line counts as none.
+    """
+    lines = split_lines(words)
+    found = fields_of_values(labelled_values(lines, doc_types(lines)))
+    place = F.struct("block", "par", "line", "text")
+    texts = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["text"]), "\n").alias("text"))
+    return found.join(texts, "doc_id").select("doc_id", "doc_type", regex_fallbacks(F.col("fields"), F.col("doc_type"), F.col("text")).alias("fields"), "text")
+
+
 def nearest_by_edits(text: Column, labels: list[str]) -> Column:
     """label, distance: the label with the fewest edits to a text, of equally near ones the last by name."""
     each = [F.struct((-F.levenshtein(text, F.lit(label))).alias("d"), F.lit(label).alias("label")) for label in labels]

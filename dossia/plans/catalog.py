@@ -249,12 +249,12 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
         "curb_mass": F.col("o_custkey").cast("string"), "max_mass": (F.col("o_orderkey") % 1500).cast("string"), "issue_date": day, "doc_number": number,
     }
     fields = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
-    return table(spark, sf_dir, "orders").select("o_orderkey", quality.checks(F.lit(STS_FRONT), fields, 2025).alias("checks"))
+    return quality.with_checks(table(spark, sf_dir, "orders").select("o_orderkey", F.lit(STS_FRONT).alias("doc_type"), fields.alias("fields")), 2025)
 
 
 @query(_CHECKS + "SELECT o_orderkey, level, field FROM c")
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _checked(spark, sf_dir).select("o_orderkey", F.explode("checks").alias("c")).select("o_orderkey", "c.level", "c.field")
+    return quality.findings(_checked(spark, sf_dir), "o_orderkey").select("o_orderkey", "level", "field")
 
 
 @query("""
@@ -266,8 +266,7 @@ def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT o_orderkey, 'issue_date', 'Дата выдачи раньше года выпуска' FROM d WHERE issued < made - 1""")
 def quality_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages on powers, masses, years and dates."""
-    found = _checked(spark, sf_dir).select("o_orderkey", F.explode("checks").alias("c"))
-    return found.select("o_orderkey", "c.field", "c.message").where("field <> 'doc_number'")
+    return quality.findings(_checked(spark, sf_dir), "o_orderkey").select("o_orderkey", "field", "message").where("field <> 'doc_number'")
 
 
 @query(_CHECKS + "SELECT level, field, count(*) AS n FROM c GROUP BY level, field")
@@ -491,7 +490,14 @@ def fuzzy_label_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("p_name", near["label"].alias("label"), near["distance"].cast("long").alias("distance"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE p AS (SELECT a, b FROM (SELECT DISTINCT p_name AS a FROM part), (SELECT unnest({LABEL_WORDS!r}) AS b)),
+    f(a, b, i, best) AS (
+        SELECT a, b, 0, [0 FOR j IN range(0, length(b) + 1)] FROM p
+        UNION ALL
+        SELECT a, b, i + 1, [list_max(now[1:j]) FOR j IN range(1, length(b) + 2)]
+        FROM (SELECT a, b, i, [CASE WHEN j > 1 AND substr(a, i + 1, 1) = substr(b, j - 1, 1) THEN greatest(best[j], best[j - 1] + 1) ELSE best[j] END FOR j IN range(1, length(b) + 2)] AS now FROM f WHERE i < length(a)))
+    SELECT a AS p_name, b AS label, CAST(200 * best[length(b) + 1] AS DOUBLE) / (length(a) + length(b)) AS ratio FROM f WHERE i = length(a)""")
 def lcs_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of distinct part names to a few labels by longest common subsequence."""
     names = table(spark, sf_dir, "part").select("p_name").distinct()

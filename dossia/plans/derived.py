@@ -222,8 +222,8 @@ def quality_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "issue_date": F.when(k % 9 == 0, "без даты").otherwise("01.02.2020"),
     }
     kind = _pick(k % 3, [STS_FRONT, PTS, EPTS])
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", quality.checks(kind, _map(values), 2025).alias("checks"))
-    return rows.select("o_orderkey", F.explode("checks").alias("c")).select("o_orderkey", "c.*")
+    rows = quality.with_checks(table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("doc_type"), _map(values).alias("fields")), 2025)
+    return quality.findings(rows, "o_orderkey")
 
 
 @query("""
@@ -362,3 +362,31 @@ def layout_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = layout.best_pass(F.col("fields"), second, F.lit(10))
     entries = F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return whole.select("doc_id", "doc_type", F.array_join(entries, ";").alias("fields"))
+
+
+def _passports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens with places of a vehicle passport from each customer: full names with and without a comma and a middle name, addresses in one line and in two."""
+    k = F.col("c_custkey")
+    word = lambda line, left, text: F.struct(F.lit(line).alias("line"), F.lit(left).alias("left"), (text if isinstance(text, Column) else F.lit(text)).alias("text"))
+    page = F.array(
+        word(0, 0, "ПАСПОРТ ТРАНСПОРТНОГО СРЕДСТВА"), word(1, 520, F.concat(F.lit("63 ОХ "), _padded(k % 1000000, 6))), word(2, 0, "10. Мощность двигателя, л.с. (кВт)"), word(2, 520, "106"), word(2, 570, "(78)"),
+        word(3, 0, "21. Наименование (ФИО) собственника ТС"), word(3, 520, F.when(k % 4 == 0, "СИДОРОВ СЕМЕН").otherwise("ИВАНОВА, АННА ПЕТРОВНА")),
+        word(4, 0, "22. Адрес"), word(4, 520, F.when(k % 3 == 0, "САРАТОВСКАЯ ОБЛ").otherwise("САРАТОВСКАЯ ОБЛ, Г. САРАТОВ")), word(5, 520, F.when(k % 3 != 0, F.concat(F.lit("УЛ. ЛЕНИНА, "), (k % 50 + 1).cast("string")))),
+        word(6, 0, "24. Дата выдачи паспорта"), word(6, 520, F.concat(F.lit("01.02."), (k % 30 + 1990).cast("string"))),
+    )
+    tokens = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.inline(page)).where("text is not null")
+    one = {"page_width": 1000, "block": 1, "par": 1, "height": 20}
+    return tokens.withColumns({n: F.lit(v) for n, v in one.items()} | {"width": F.length("text") * 12})
+
+
+@query("""
+    SELECT c_custkey AS doc_id, 'pts' AS doc_type,
+           'city=' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Г. САРАТОВ' END || ';doc_number=63 ОХ ' || lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0') || ';issue_date=01.02.' || CAST(1990 + c_custkey % 30 AS VARCHAR)
+           || CASE WHEN c_custkey % 4 = 0 THEN ';owner_first=СЕМЕН;owner_last=СИДОРОВ' ELSE ';owner_first=АННА;owner_last=ИВАНОВА;owner_middle=ПЕТРОВНА' END || ';power_hp=106;power_kw=78;region=САРАТОВСКАЯ ОБЛ'
+           || CASE WHEN c_custkey % 3 <> 0 THEN ';street_address=УЛ. ЛЕНИНА, ' || CAST(c_custkey % 50 + 1 AS VARCHAR) ELSE '' END AS fields
+    FROM customer""")
+def layout_passports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type and fields of printed passports: a pair of powers in their label's order, a full name, and an address that goes on in an unlabelled line."""
+    read = layout.read_documents(_passports(spark, sf_dir))
+    entries = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return read.select("doc_id", "doc_type", F.array_join(entries, ";").alias("fields"))

@@ -7,7 +7,7 @@ import pytest
 from dossia.operators import layout
 from dossia.plans import catalog, derived  # noqa: F401
 
-NAMES = ["nlq_parse", "nlq_model_answers", "quality_documents", "document_words", "store_round_trip", "fold_cards_agreeing", "layout_fields"]
+NAMES = ["nlq_parse", "nlq_model_answers", "quality_documents", "document_words", "store_round_trip", "fold_cards_agreeing", "layout_fields", "layout_passports", "quality_messages", "quality_level_counts", "lcs_ratio"]
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +18,7 @@ def small():
 @pytest.fixture(scope="module")
 def sql(small):
     con = duckdb.connect()
-    for name in ("customer", "orders"):
+    for name in ("customer", "orders", "part"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{small}/{name}.parquet')")
     return con
 
