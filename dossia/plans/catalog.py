@@ -20,7 +20,7 @@ from dossia.plans.predicates import Cond, any_text, compile_all, kinds_of, searc
 from dossia.schema import EPTS, PTS, STS_BACK, STS_FRONT
 from dossia.sources import fill
 from dossia.sources.generate import split_by
-from dossia.sources.labels import annotations, as_json, in_one_line, long_fields, write_coco
+from dossia.sources.labels import annotations, as_json, in_one_line, long_fields, read_records, write_coco, write_jsonl
 from dossia.streaming.runs import late_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,18 @@ def nlq_len_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.where(compile_all([Cond("p_name", "len", 9), Cond("p_brand|p_type", "len", 7)], kinds_of(part))).select("p_partkey", "p_name")
 
 
+@query("""
+    SELECT o_orderkey, o_totalprice FROM orders
+    WHERE o_totalprice >= 1000 AND o_totalprice < 200000 AND o_orderkey BETWEEN 5 AND 50000 AND (o_orderstatus = 'F' OR o_orderstatus = 'O') AND contains(upper(o_orderpriority), 'I')""")
+def nlq_conjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions of different columns or operations must all hold, also two on one column; equalities of one column are alternatives."""
+    orders = table(spark, sf_dir, "orders")
+    conds = [
+        Cond("o_totalprice", ">=", 1000), Cond("o_orderstatus", "=", "F"), Cond("o_totalprice", "<", 200000), Cond("o_orderkey", "between", (5, 50000)), Cond("o_orderstatus", "=", "O"), Cond("o_orderpriority", "like", "i"),
+    ]
+    return orders.where(compile_all(conds, kinds_of(orders))).select("o_orderkey", "o_totalprice")
+
+
 @query("""
     SELECT doc_id FROM documents
     WHERE (contains(upper(text), 'IDIOT') OR contains(upper(source), 'IDIOT')) AND (contains(upper(text), 'SRC1') OR contains(upper(source), 'SRC1'))""")
@@ -518,6 +530,24 @@ def coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotations(items, spark).select("id", "item", "category_id", boxes, "area", "value")
 
 
+@query("""
+    SELECT CAST(c_custkey AS VARCHAR) AS id, 'clean' AS variant, CASE WHEN c_custkey % 3 = 0 THEN 3 WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS round,
+           CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'Ю ' || c_name END AS owner, CASE WHEN c_custkey % 3 = 0 THEN 'no answer' END AS error FROM customer""")
+def record_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of extraction records of all customers, written, appended to twice and read back in the order of the appends; the last record of each counts."""
+    k = F.col("c_custkey")
+    path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    for n, (again, failed) in enumerate([(F.lit(True), False), (k % 2 == 0, False), (k % 3 == 0, True)], 1):
+        owner = F.lit(None).cast("string") if failed else F.concat(F.lit("Ю "), "c_name")
+        fields = F.when(owner.isNotNull(), F.create_map(F.lit("owner_last"), owner))
+        rows = table(spark, sf_dir, "customer").where(again).select(
+            k.cast("string").alias("id"), F.lit("clean").alias("variant"), fields.alias("fields"), F.lit(float(n)).alias("seconds"), F.lit("no answer" if failed else None).cast("string").alias("error")
+        )
+        write_jsonl(rows, path, append=True)
+    last = metrics.latest(read_records(spark, path), "seq")
+    return last.select("id", "variant", F.col("seconds").cast("int").alias("round"), F.element_at("fields", "owner_last").alias("owner"), "error")
+
+
 @query("""
     WITH i AS (SELECT CAST(p_partkey AS VARCHAR) AS item, p_partkey % 3 AS n, p_size AS x FROM part),
     m AS (SELECT item, row_number() OVER (ORDER BY item) AS image_id FROM i),

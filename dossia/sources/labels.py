@@ -14,14 +14,18 @@ from pyspark.sql import Window as W
 from dossia.schema import CHECK, DOC_FIELDS, ITEM, RECORD
 
 
+#: Folders of lines that were appended; the name sorts behind those of Spark's files.
+APPENDED = "then-"
+
+
 class StrictSchema(ValueError):
     """Lines that don't hold exactly the schema's keys."""
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """line, seq of the lines of text files that aren't blank. seq (file, start, row) is the line's place: its file, where its split starts there, and its turn in the split; it orders
-    lines as the files do, however these are split among tasks."""
-    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines as the files and appends do, however these are split among tasks."""
+    rows = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     seq = F.struct("file", "start", F.monotonically_increasing_id().alias("row"))
     return rows.select("line", seq.alias("seq")).where(F.trim("line") != "")
 
@@ -46,7 +50,7 @@ def read_items(spark: SparkSession, path: str, split: str | None = None, strict:
     """
     if strict and (wrong := audit_items(spark, path).limit(5).collect()):
         raise StrictSchema("; ".join(f"{r.seq.file} from {r.seq.start}, row {r.seq.row}: {r.problem} {r.key or ''}".strip() for r in wrong))
-    items = spark.read.schema(ITEM).option("mode", "FAILFAST").json(path)
+    items = spark.read.schema(ITEM).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(path)
     return items if split in (None, "all") else items.where(F.col("split") == split)
 
 
@@ -62,8 +66,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
-    """One JSON object a line, letters unescaped. Appending is how a run goes on where it stopped."""
-    df.write.mode("append" if append else "errorifexists").json(path)
+    """One JSON object a line, letters unescaped. Appending is how a run goes on where it stopped.
+
+    Each append has a folder of its own, numbered, whose name comes after what is there: so the lines' places (see ``read_lines``) follow the order of
+    appends, which the random names of Spark's files wouldn't. Two appends at once can't share a number: one of them fails and writes nothing.
+    """
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    if append and fs.exists(where):
+        numbers = [int(f.getPath().getName().removeprefix(APPENDED)) for f in fs.listStatus(where) if f.getPath().getName().startswith(APPENDED)]
+        path = f"{path}/{APPENDED}{max(numbers, default=0) + 1:09d}"
+    df.write.mode("errorifexists").json(path)
 
 
 def decode_documents(store: DataFrame) -> DataFrame:

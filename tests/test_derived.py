@@ -7,7 +7,7 @@ import pytest
 from dossia.operators import layout
 from dossia.plans import catalog, derived  # noqa: F401
 
-NAMES = ["nlq_parse", "nlq_model_answers", "quality_documents", "document_words", "store_round_trip", "fold_cards_agreeing", "layout_fields", "layout_passports", "quality_messages", "quality_level_counts", "lcs_ratio"]
+NAMES = ["nlq_parse", "nlq_model_answers", "quality_documents", "document_words", "store_round_trip", "fold_cards_agreeing", "layout_fields", "layout_passports", "quality_messages", "quality_level_counts", "lcs_ratio", "record_log", "nlq_conjunction"]
 
 
 @pytest.fixture(scope="module")

@@ -123,6 +123,19 @@ def test_the_last_record_in_the_files_wins(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_appended_records_come_last(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for n in range(12):
+        rows = spark.createDataFrame([(f"d{k}", "clean", {"year": str(100 * n + k)}) for k in range(n % 3, 6)], "id string, variant string, fields map<string,string>")
+        labels.write_jsonl(rows.repartition(3), path, append=True)
+    records = labels.read_records(spark, path)
+    assert records.count() == 60
+    got = {r.id: r.fields["year"] for r in metrics.latest(records, "seq").collect()}
+    assert got == {"d0": "900", "d1": "1001", **{f"d{k}": str(1100 + k) for k in range(2, 6)}}
+    with pytest.raises(Exception, match="EXISTS"):
+        labels.write_jsonl(rows, path)
+
+
 def test_strict_items(spark, tmp_path):
     item = {"id": "a", "vehicle_id": "v", "doc_type": "pts", "split": "test", "image": "i", "photo": "p", "width": 1, "height": 2, "fields": {}, "boxes": {}}
     good, path = json.dumps(item), tmp_path / "i.jsonl"
