@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -250,7 +251,8 @@ def vin_year_code(year: Column) -> Column:
 
 
 def hp_to_kw(hp: Column) -> Column:
-    return F.bround(hp * F.lit(0.7355)).cast("int")
+    """Whole kilowatts, halves to even; in decimals, as 11000 * 0.7355 is above 8090.5 in doubles."""
+    return F.bround(hp.cast("decimal(28,9)") * F.lit(Decimal("0.7355"))).cast("int")
 
 
 def safe_name(s: Column) -> Column:

@@ -59,6 +59,11 @@ def test_dates_and_numbers(spark):
     assert [one(spark, C.docs_word(F.lit(n))) for n in (1, 2, 5, 11, 12, 21, 111)] == ["документ", "документа", "документов", "документов", "документов", "документ", "документов"]
 
 
+def test_halves_of_kilowatts_go_to_even(spark):
+    assert [one(spark, C.hp_to_kw(F.lit(n))) for n in (0, 106, 1000, 3000, 11000, 43000, 87000)] == [0, 78, 736, 2206, 8090, 31626, 63988]
+    assert one(spark, C.hp_to_kw(F.lit(11000.0))) == 8090 and one(spark, C.hp_to_kw(F.lit(None).cast("bigint"))) is None
+
+
 def test_clean_fields(spark):
     raw = F.create_map(*map(F.lit, ["vin", "хта21170ок1234567", "color", " cеpый.", "city", "", "make_model", "КIА rio"]))
     assert one(spark, C.clean_fields(raw)) == {"vin": "XTA211700K1234567", "color": "СЕРЫЙ", "make_model": "KIA RIO"}
