@@ -4,6 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from dossia.functions import sql
 from dossia.plans import phrases as P
 from dossia.plans import search_log as L
 from dossia.plans.predicates import OPS, Cond, explain, search, vocabulary
@@ -55,6 +56,12 @@ def test_year_at_a_words_end_is_part_of_the_word(spark, cards):
     assert [(c.column, c.value) for c in conds] == [("year", "2015"), ("year", "2016"), ("color", "БЕЛЫЙ")] and words == []
 
 
+def test_year_at_a_words_end_by_the_sql_function(spark):
+    sql.register_phrases(spark, "x_phrase_conditions")
+    got = spark.sql("SELECT p.t, c.value[0] AS v FROM VALUES ('абракадабра1916'), ('год 1916') AS p(t), LATERAL x_phrase_conditions(p.t) c").collect()
+    assert [tuple(r) for r in got] == [("год 1916", "1916")]
+
+
 def test_search(spark, cards):
     ids = lambda conds, words=(): [r.id for r in search(cards, conds, words).collect()]
     assert ids([Cond("color", "=", "БЕЛЫЙ"), Cond("color", "=", "СЕРЫЙ"), Cond("year", ">", "2010")]) == [1, 3]
