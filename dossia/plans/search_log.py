@@ -2,7 +2,7 @@
 
 Each distinct test is made once, on the distinct values of its column: equal values and lengths by hash, parts of texts by their first letters, ranges by
 an index of dyadic intervals. The rarest unit of a set of conditions (several equal or like conditions of a column are one unit)
-names the candidates; the set's other units are tested on those alone.
+names the candidates; the set's other units are tested on those alone. Of a set that has no other units, the first cards of each value suffice.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from dossia.operators.checkpoints import cut
+from dossia.operators.joins import met
 from dossia.plans.predicates import OPS
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -45,7 +46,7 @@ def condition_sets(parsed: DataFrame, phrases: DataFrame, kinds: dict[str, str],
     conds = conds.groupBy(id_col).agg(F.array_sort(F.collect_list("tests")).alias("units"))
     word = F.array(test(F.array(*map(F.lit, texts)), F.lit("like"), F.array(F.upper(F.col("value")[0]))))
     words = rows.where(F.col("column").isNull()).groupBy(id_col).agg(F.array_sort(F.collect_set(word)).alias("words"))
-    both = phrases.select(id_col).distinct().join(conds, id_col, "left").join(words, id_col, "left")
+    both = phrases.select(id_col).distinct().join(conds.hint("merge"), id_col, "left").join(words.hint("merge"), id_col, "left")
     units = F.coalesce("units", "words", F.array().cast(conds.schema["units"].dataType))
     typed = F.transform(units, lambda tests: F.transform(tests, lambda t: test(t["columns"], t["op"], F.when(t["op"] == "like", F.transform(t["value"], F.upper)).otherwise(t["value"]))))
     return both.select(F.col(id_col).alias("phrase_id"), typed.alias("units"))
@@ -92,23 +93,27 @@ def matching_values(tests: DataFrame, values: DataFrame, numbers: list[str]) ->
     """column, op, value (of the test), held (the value of a card that passes) for distinct tests and distinct values of columns; no test meets a value but by equality."""
     is_number = F.col("column").isin(numbers)
     keys = ["column", "op", "value"]
-    known = values.select("column", "held")
+    asked = tests.select("op", "column").distinct().collect()  # columns and operators at most
+    known = lambda *ops: values.select("column", "held").where(F.col("column").isin([r.column for r in asked if r.op in ops]))
     same = tests.where("op = '='").withColumn("typed", _typed(F.col("column"), F.col("value")[0], numbers))
-    equal = same.join(known.withColumn("typed", _typed(F.col("column"), F.col("held"), numbers)), ["column", "typed"])
+    equal = met(known("=").withColumn("typed", _typed(F.col("column"), F.col("held"), numbers)), same, ["column", "typed"])
     lengths = tests.where("op = 'len'").withColumn("size", F.col("value")[0].try_cast("int"))
-    long = lengths.join(known.withColumn("size", F.length("held")), ["column", "size"])
+    long = met(known("len").withColumn("size", F.length("held")), lengths, ["column", "size"])
     parts = tests.where("op = 'like'").withColumn("gram", F.substring(F.col("value")[0], 1, GRAM))
     sizes = F.array(*[F.lit(n) for n in range(1, GRAM + 1)])
     starts = lambda n: F.transform(F.sequence(F.lit(1), F.length("held") - n + 1), lambda i: F.substring(F.upper("held"), i, n))
     grams = F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length("held")), starts)))
-    like = parts.join(known.withColumn("gram", F.explode(grams)), ["column", "gram"]).where(F.upper("held").contains(F.col("value")[0]))
+    # Only parts that a test begins with are sent.
+    begun = met(known("like").withColumn("gram", F.explode(grams)), parts.select("column", "gram").distinct(), ["column", "gram"])
+    like = met(begun, parts, ["column", "gram"]).where(F.upper("held").contains(F.col("value")[0]))
     top = F.lit(2**BITS - 1)
     a, b = _order_key(F.col("value")[0], is_number), _order_key(F.get("value", 1), is_number)
     low = F.when(F.col("op").isin(">", ">=", "between"), a).otherwise(F.lit(0).cast("long"))
     high = F.when(F.col("op").isin("<", "<="), a).when(F.col("op") == "between", b).otherwise(top)
-    ranges = tests.where(F.col("op").isin("<", ">", "<=", ">=", "between")).select(*keys, F.inline(_cover(low, high)))
-    held = known.select("column", "held", F.inline(_ancestors(_order_key(F.col("held"), is_number))))
-    within = ranges.join(held, ["column", "level", "place"]).where(holds(F.col("held"), is_number, F.col("op"), F.col("value")))
+    orders = ("<", ">", "<=", ">=", "between")
+    ranges = tests.where(F.col("op").isin(*orders)).select(*keys, F.inline(_cover(low, high)))
+    held = known(*orders).select("column", "held", F.inline(_ancestors(_order_key(F.col("held"), is_number))))
+    within = met(held, ranges, ["column", "level", "place"]).where(holds(F.col("held"), is_number, F.col("op"), F.col("value")))
     found = [x.select(*keys, "held") for x in (equal, long, like, within)]
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).distinct()
 
@@ -122,11 +127,11 @@ def search_log(parsed: DataFrame, phrases: DataFrame, cards: DataFrame, id_col:
     kinds = {c: k for c, k in cards.dtypes if k in NUMERIC or k == "string" or k.startswith("decimal")}
     numbers = _numbers(kinds)
     asked = condition_sets(parsed, phrases, kinds, phrase_col)
-    asked = asked.withColumn("key", F.sha2(F.to_json("units"), 256))
-    sets = cut(asked.groupBy("key").agg(F.first("units").alias("units")))
+    asked = cut(asked.withColumn("key", F.sha2(F.to_json("units"), 256)))
+    sets = cut(asked.groupBy("key").agg(F.first("units").alias("units")).withColumn("set", F.monotonically_increasing_id()))
 
-    units = sets.select("key", F.posexplode("units").alias("unit", "tests"))
-    each = units.select("key", "unit", F.explode("tests").alias("t")).select("key", "unit", "t.op", "t.value", F.explode("t.columns").alias("column"))
+    units = sets.select("set", F.posexplode("units").alias("unit", "tests"))
+    each = units.select("set", "unit", F.explode("tests").alias("t")).select("set", "unit", "t.op", "t.value", F.explode("t.columns").alias("column"))
     each = cut(each)
     tests = each.select("column", "op", "value").distinct()
     # Cards as rows of column and value, for columns that are asked for.
@@ -135,21 +140,29 @@ def search_log(parsed: DataFrame, phrases: DataFrame, cards: DataFrame, id_col:
     long = (cards.select(F.col(id_col).alias("card"), F.inline(entries)) if used else cards.select(F.col(id_col).alias("card"), F.lit("").alias("column"), F.lit("").alias("held"))).where("held is not null")
     values = cut(long.groupBy("column", "held").agg(F.count("*").alias("n")))
     passed = cut(matching_values(tests, values, numbers))
-
-    # The rarest unit of each set; a unit that no card can meet ends the search.
-    met = each.join(passed, ["column", "op", "value"]).select("key", "unit", "column", "held").distinct()
-    size = met.join(values, ["column", "held"]).groupBy("key", "unit").agg(F.sum("n").alias("n"))
-    size = units.select("key", "unit").join(size, ["key", "unit"], "left").select("key", "unit", F.coalesce("n", F.lit(0)).alias("n"))
-    rarest = size.groupBy("key").agg(F.min(F.struct("n", "unit")).alias("r")).where("r.n > 0").select("key", F.col("r.unit").alias("unit"))
-    candidates = met.join(rarest, ["key", "unit"]).join(long, ["column", "held"]).select("key", "card").distinct()
+    held = cut(met(passed, each, ["column", "op", "value"]).select("set", "unit", "column", "held").distinct())
+
+    # Sets of one unit: the first cards of each value that passes hold the first cards of all.
+    several = cut(sets.where(F.size("units") > 1).select("set", "units"))
+    numbered = lambda df, *by: df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("card"))).where(F.col("rank") <= limit)
+    plain = held.join(several.select("set").hint("merge"), "set", "left_anti").select("set", "column", "held")
+    plain = plain.join(numbered(long, "column", "held").drop("rank").hint("merge"), ["column", "held"]).select("set", "card").distinct()
+
+    # The rarest unit of each other set; a unit that no card can meet ends the search.
+    other = cut(met(held, several.select("set"), "set"))
+    size = other.join(values.hint("merge"), ["column", "held"]).groupBy("set", "unit").agg(F.sum("n").alias("n"))
+    size = units.join(several.select("set").hint("merge"), "set", "left_semi").select("set", "unit").join(size.hint("merge"), ["set", "unit"], "left").select("set", "unit", F.coalesce("n", F.lit(0)).alias("n"))
+    rarest = cut(size.groupBy("set").agg(F.min(F.struct("n", "unit")).alias("r")).where("r.n > 0").select("set", F.col("r.unit").alias("unit")))
+    chosen = cut(met(other, rarest, ["set", "unit"]).select("set", "column", "held"))
+    candidates = met(long, chosen, ["column", "held"]).select("set", "card").distinct()
 
     # Its other units are tested on the candidates.
     row = F.create_map(*[x for c in used for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]) if used else F.create_map().cast("map<string,string>")
-    whole = candidates.join(cards.select(F.col(id_col).alias("card"), row.alias("row")), "card").join(sets, "key")
+    whole = met(candidates.join(cards.select(F.col(id_col).alias("card"), row.alias("row")).hint("merge"), "card"), several, "set")
     passes = lambda t: F.exists(t["columns"], lambda c: holds(F.element_at("row", c), c.isin(numbers), t["op"], t["value"]))
-    found = whole.where(F.forall("units", lambda tests: F.exists(tests, passes))).select("key", "card")
-    first = found.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("card"))).where(F.col("rank") <= limit)
-    answered = asked.select("phrase_id", "key").join(first, "key").select("phrase_id", "rank", "card")
+    found = whole.where(F.forall("units", lambda tests: F.exists(tests, passes))).select("set", "card")
+    first = cut(numbered(found.unionByName(plain), "set"))
+    answered = asked.select("phrase_id", "key").join(sets.select("key", "set").hint("merge"), "key").join(first.hint("merge"), "set").select("phrase_id", "rank", "card")
 
     every = [r.card for r in cards.select(F.col(id_col).alias("card")).orderBy("card").limit(limit).collect()]  # limit rows
     all_of = F.posexplode(F.array(*map(F.lit, every))) if every else None

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossia.functions import sql
+from dossia.operators import joins
 from dossia.plans import phrases as P
 from dossia.plans import search_log as L
 from dossia.plans.predicates import OPS, Cond, explain, search, vocabulary
@@ -136,3 +137,18 @@ def test_empty_log_and_table(spark, cards):
     log = spark.createDataFrame([(1,), (2,), (3,)], "phrase_id int")
     assert sorted((r.phrase_id, r.card) for r in L.search_log(parsed, log, cards, limit=2).collect()) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2)]
     assert L.search_log(parsed, log, cards.limit(0)).collect() == [] and L.search_log(parsed.limit(0), log.limit(0), cards).collect() == []
+
+
+def test_search_log_broadcasts_only_what_was_counted(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    tests = [("year", ">=", ["2001"]), ("year", "between", ["1999", "2002"]), ("vin", "like", ["A9"]), ("vin", "len", ["2"]), ("vin", "=", ["A7"])]
+    tests = spark.createDataFrame(tests, "column string, op string, value array<string>")
+    values = spark.createDataFrame([("year", str(1990 + k)) for k in range(20)] + [("vin", f"A{k}") for k in range(20)], "column string, held string")
+    matching = L.matching_values(tests, values, ["year"])
+    assert "Broadcast" not in matching._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in matching.collect():
+        got.setdefault((r.column, r.op), set()).add(r.held)
+    years = lambda a, b: {str(y) for y in range(a, b)}
+    want = {("year", ">="): years(2001, 2010), ("year", "between"): years(1999, 2003), ("vin", "like"): {"A9"}, ("vin", "len"): {f"A{k}" for k in range(10)}, ("vin", "="): {"A7"}}
+    assert got == want
