@@ -7,7 +7,9 @@ card by a join, and a card's values are an aggregate: its own latest value of ea
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,6 +19,8 @@ from dossia.schema import LINK_KEYS
 
 #: Documents of one chunk of the order; a window holds one component's documents of a chunk.
 CHUNK_ROWS = 100_000
+#: Rows that a fold sends on at once.
+TOLD_ROWS = 10_000
 
 
 class Cards:
@@ -71,19 +75,39 @@ class Cards:
         return out
 
 
-def _simulate(rows: pd.DataFrame) -> pd.DataFrame:
-    """One component: rows at events, in order, each followed by the kinds of documents that come before the next one."""
-    cards, seen = Cards(), []
-    for r in rows.sort_values(["at", "event"], ascending=[True, False], kind="stable").itertuples():
-        keys = {k: v for k in LINK_KEYS if isinstance(v := getattr(r, k), str)}
-        if r.event:
-            cards.add(r.at, keys)
-        else:
-            seen.append((r.at, r.kind, cards.settled(keys)))
-    places = cards.places()
-    told = [(at, kind, *(places[card] if card is not None else (None, None))) for at, kind, card in seen]
-    out = pd.DataFrame(told, columns=["at", "kind", "card", "turn"]).astype({"at": "int64", "kind": "int64", "card": "Int64", "turn": "Int64"})
-    return out.assign(component=rows["component"].iloc[0])
+_TOLD = pa.schema([("component", pa.int64()), ("at", pa.int64()), ("kind", pa.int64()), ("card", pa.int64()), ("turn", pa.int32())])
+
+
+def _simulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components one after another: of each the rows at events, in order, each followed by the kinds of documents that come before the next one."""
+    told: list[tuple] = []
+    now, cards, seen = None, Cards(), []
+
+    def end() -> None:
+        if seen:
+            places = cards.places()
+            told.extend((now, at, kind, *(places[card] if card is not None else (None, None))) for at, kind, card in seen)
+
+    def taken() -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*told, strict=True), _TOLD.types, strict=True)]
+        told.clear()
+        return pa.RecordBatch.from_arrays(columns, schema=_TOLD)
+
+    for batch in batches:
+        for component, at, event, kind, *values in zip(*(batch.column(c).to_pylist() for c in ("component", "at", "event", "kind", *LINK_KEYS)), strict=True):
+            if component != now:
+                end()
+                now, cards, seen = component, Cards(), []
+            keys = {k: v for k, v in zip(LINK_KEYS, values, strict=True) if v is not None}
+            if event:
+                cards.add(at, keys)
+            else:
+                seen.append((at, kind, cards.settled(keys)))
+            if len(told) >= TOLD_ROWS:
+                yield taken()
+    end()
+    if told:
+        yield taken()
 
 
 def _at_event(docs: DataFrame, events: DataFrame, width: int) -> DataFrame:
@@ -104,10 +128,10 @@ def assign_cards(docs: DataFrame, seq: str = "seq", component: str = "component"
 
     docs: the link keys of documents with their components; seq is unique, null or empty keys say nothing. Components whose documents all have the same keys need no fold. Of others the first document of
     each set of keys is an event, to begin with; while documents turn out to change keys, the first of them become events too (twice as many each
-    time), until none is left. A task holds the events of one component, and for each the sets of keys that follow before the next.
+    time), until none is left. A task holds the events of one component at a time, and for each the sets of keys that follow before the next.
     """
     keys = [F.nullif(F.col(k), F.lit("")).alias(k) for k in LINK_KEYS]
-    rows = docs.select(F.col(seq).cast("long").alias("seq"), F.col(component).cast("long").alias("component"), *keys)
+    rows = cut(docs.select(F.col(seq).cast("long").alias("seq"), F.col(component).cast("long").alias("component"), *keys))  # values are made canonical once, not once for each use
     same = ["component", *LINK_KEYS]
     sets = cut(rows.groupBy(*same).agg(F.min("seq").alias("first"), F.count("*").alias("n")).withColumn("kind", F.monotonically_increasing_id()))
     per = cut(sets.groupBy("component").agg(F.count("*").alias("sets"), F.min("first").alias("least"), F.sum("n").alias("n"), F.bool_or(F.coalesce(*LINK_KEYS).isNull()).alias("bare")))
@@ -132,8 +156,9 @@ def assign_cards(docs: DataFrame, seq: str = "seq", component: str = "component"
         placed = cut(_at_event(hard, events, width))
         kinds = placed.select("component", "at", "kind").distinct().withColumn("event", F.lit(False))
         both = kinds.unionByName(events.select("component", F.col("seq").alias("at"), "kind", F.lit(True).alias("event"))).join(sets.select("kind", *LINK_KEYS), "kind")
-        told = both.groupBy("component").applyInPandas(_simulate, "at long, kind long, card long, turn int, component long")
-        told = cut(told)
+        # Components follow each other in a task: most are small, and a call of Python for each would cost more than its fold.
+        ordered = both.repartition("component").sortWithinPartitions("component", "at", F.col("event").desc())
+        told = cut(ordered.mapInArrow(_simulate, "component long, at long, kind long, card long, turn int"))
         wrong = told.where("card is null").select("component", "at", "kind")
         wrong = wrong.join(bare, "kind", "left_anti")
         if wrong.isEmpty():

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from dossia.operators import folding, linking
@@ -118,3 +119,15 @@ def test_card_values(spark):
     assert (front.vin, front.sts_number, front.pts_number, front.year, front.color) == ("XTA211700K1234567", "9901123456", "63ОХ123456", 2015, None)
     back = spark.range(1).select(*linking.card_values(F.lit(STS_BACK), F.create_map(F.lit("doc_number"), F.lit("1")))).first()
     assert back.sts_number == "1" and back.pts_number is None
+
+
+def test_components_follow_each_other_in_a_task():
+    """One call folds all components of a task, also one that batches cut in two."""
+    rows = [(1, 1, True, 0, "V1", None), (1, 1, False, 0, "V1", None), (1, 5, True, 1, "V1", "S1"), (1, 5, False, 2, None, "S1"), (2, 7, True, 3, "V2", None), (2, 7, False, 4, "V3", None)]
+    kinds = [("component", pa.int64()), ("at", pa.int64()), ("event", pa.bool_()), ("kind", pa.int64()), ("vin", pa.string()), ("sts_number", pa.string())]
+    table = pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds, strict=True)], names=[n for n, _ in kinds])
+    table = table.append_column("pts_number", pa.nulls(len(rows), pa.string()))
+    for size in (1, 3, 10):
+        told = pa.Table.from_batches(folding._simulate(iter(table.to_batches(max_chunksize=size)))).to_pylist()
+        assert [tuple(r.values()) for r in told] == [(1, 1, 0, 1, 0), (1, 5, 2, 1, 0), (2, 7, 4, None, None)]
+    assert list(folding._simulate(iter([]))) == []
