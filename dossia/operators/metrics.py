@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from dossia.functions.canon import base, canon_of_base, cer
+from dossia.operators import joins
 from dossia.operators.checkpoints import cut
 
 
@@ -37,7 +38,7 @@ def exact_median(rows: DataFrame, group: str, value: str, ranges: int = RANGES,
     """group, median of each group's values (the mean of the middle two where they are even in number); nulls and NaN don't count, a null group is one.
 
     Selection instead of sorting: values are counted in equal ranges of what is left of a group, and only the range that holds a middle one goes on, until few
-    values are left or all are equal. Each pass sends ``ranges`` counts for a group and task at most. A group without values has no row.
+    values are left or all are equal. Each pass sends ``ranges`` counts for a group and task at most; values are sent only where the groups are too many to be broadcast. A group without values has no row.
     """
     one = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
     sizes = one.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
@@ -48,12 +49,12 @@ def exact_median(rows: DataFrame, group: str, value: str, ranges: int = RANGES,
     more = F.expr(f"low < high and n > {sorted_rows}")
     while not left.where(more).isEmpty():
         share = F.expr("(x / 2 - low / 2) / (high / 2 - low / 2)")  # halves don't overflow
-        met = one.join(left.where(more), within).withColumn("range", F.least(F.floor(share * ranges), F.lit(ranges - 1)).cast("int"))
+        met = joins.met(one, left.where(more), within).withColumn("range", F.least(F.floor(share * ranges), F.lit(ranges - 1)).cast("int"))
         counts = met.groupBy("of", "place", "range").agg(F.count("*").alias("c"), F.min("x").alias("low"), F.max("x").alias("high"), F.first("k").alias("k"))
         before = (F.sum("c").over(W.partitionBy("of", "place").orderBy("range")) - F.col("c")).alias("b")
         chosen = counts.select("*", before).where("b <= k and k < b + c").select("of", "low", "high", F.col("c").alias("n"), (F.col("k") - F.col("b")).alias("k"), "place")
         left = cut(left.where(~more).unionByName(chosen))
-    met = one.join(left.where("low < high"), within)
+    met = joins.met(one, left.where("low < high"), within)
     turn = F.row_number().over(W.partitionBy("of", "place").orderBy("x")) - 1
     found = met.withColumn("r", turn).where("r = k").select(F.col("of").alias("g"), "x")
     found = found.unionByName(left.where("low >= high").select(F.col("of").alias("g"), F.col("low").alias("x")))

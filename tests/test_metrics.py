@@ -52,6 +52,19 @@ def test_exact_median_of_ties_even_counts_and_odd_values(spark):
     assert metrics.exact_median(df.limit(0), "g", "x").collect() == []
 
 
+def test_medians_send_no_values(spark):
+    df = spark.range(100).selectExpr("id % 3 AS g", "double(id) AS x")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with a table too large for Spark to guess that few places are left
+    try:
+        medians = metrics.exact_median(df, "g", "x")
+        plan = medians._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r.g: r.median for r in medians.collect()} == {0: 49.5, 1: 49.0, 2: 50.0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_fingerprint_by_trees_of_any_depth(spark):
     rows = [(n, f"text {n}") for n in range(3000)] + [(None, "a"), (None, None)]
     df = spark.createDataFrame(rows, "id long, a string")
