@@ -7,7 +7,7 @@ minimiser's bucket. There all windows are cut out again and sorted, so that equa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,7 +126,8 @@ class _Block:
             yield int(bucket[lo]), b"".join(x.astype("<i8").tobytes() for x in head), b"".join(packed)
 
 
-def _repeats_of_bucket(packets: list[tuple[bytes, bytes]], window: int) -> pa.RecordBatch:
+def _repeats_of_bucket(packets: Iterable[tuple[bytes, bytes]], window: int) -> pa.RecordBatch:
+    """Flags of the packets' repeated windows; packets are read one after another, so that only one is held beside its words."""
     ids, keys, which, start, texts, base = [], [], [], [], [], 0
     for head, packed in packets:
         x = np.frombuffer(head, dtype="<i8")
@@ -141,7 +142,7 @@ def _repeats_of_bucket(packets: list[tuple[bytes, bytes]], window: int) -> pa.Re
         base += rows
     ids, keys, which, start = (np.concatenate(x) for x in (ids, keys, which, start))
     w = Words(texts)
-    del texts, packets
+    del texts
     h1, h2 = _window_hashes(w.hash, window)
     at = np.flatnonzero(w.text[: len(h1)] == w.text[window - 1 :])
     text = w.text[at]
@@ -189,10 +190,12 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, bucket_bytes: int =
         zstd = pa.Codec("zstd")
         is_packet = group["head"].is_valid()
         found = [group.filter(pc.invert(is_packet)).select(["_id", "_key", "first", "last"])]
-        columns = [group.filter(is_packet)[c].to_pylist() for c in ("head", "packed", "head_size", "packed_size")]
-        packets = [(zstd.decompress(h, n, asbytes=True), zstd.decompress(p, m, asbytes=True)) for h, p, n, m in zip(*columns, strict=True)]
-        if packets:
+        packed = group.filter(is_packet).select(["head", "packed", "head_size", "packed_size"])
+        del group
+        if packed.num_rows:
+            packets = ((zstd.decompress(h.as_buffer(), n.as_py(), asbytes=True), zstd.decompress(p.as_buffer(), m.as_py(), asbytes=True)) for h, p, n, m in zip(*packed.columns, strict=True))
             found.append(pa.Table.from_batches([_repeats_of_bucket(packets, window)]))
+        pa.default_memory_pool().release_unused()  # workers stay for later stages
         return pa.concat_tables(found)
 
     return rows.mapInArrow(scatter, f"{_PACKETS}, {_FLAGS}").groupBy("bucket").applyInArrow(gather, _FLAGS)
