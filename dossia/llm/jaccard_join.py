@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossia.llm.common import cut, small, stored
+from dossia.llm.common import cut, give_back, small, stored
 from dossia.operators.components import components
 from dossia.llm.wordhash import Words, by_bytes, mix, rare_first, runs, slot
 
@@ -194,6 +194,7 @@ def _candidates(table: pa.Table, percent: int) -> pa.Table:
             many.append(crowded)
     a, b = np.divmod(np.unique(np.concatenate(codes)), len(named))
     many = np.unique(np.concatenate(many))
+    give_back()
     return pa.table({
         "kind": np.repeat(np.array([0, 1], np.int32), [len(a), len(many)]), "a": named[np.concatenate([a, many])],
         "b": np.concatenate([named[b], np.zeros(len(many), np.int64)]), "n": np.concatenate([np.zeros(len(a), np.int64), size[many]]),
@@ -340,6 +341,7 @@ def _not_ruled_out(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
             p, q = (np.bitwise_xor.reduce(z[1:].reshape(-1, bits), axis=0) for z in (x, y))
             keep.append(int(np.bitwise_count(p ^ q).sum()) <= int(x[0] + y[0]) * (100 - percent) // (100 + percent))
         yield pairs.filter(pa.array(keep, pa.bool_()))
+    give_back()
 
 
 def _compare(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -352,6 +354,7 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int, bits: int) -> Iter
             enough = [100 * k >= percent * (len(x) + len(y) - k) for k in (shared - spare, shared + spare)]
             links.append(enough[0] if enough[0] == enough[1] else None)
         yield pa.RecordBatch.from_arrays([*pairs.columns, pa.array(links, pa.bool_())], names=["a", "b", "link"])
+    give_back()
 
 
 class _Corpus:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossia.llm.bpe import by_block, byte_chars
-from dossia.llm.common import stored
+from dossia.llm.common import give_back, stored
 
 LENGTH = 1024
 END_ID = 2
@@ -105,6 +105,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
                         data.append(packed[4 * at : 4 * to])
                 columns = [ids.take(pa.array(which)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids"])
+        give_back()
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids binary"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut_up, schema)

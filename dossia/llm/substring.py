@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dossia.llm.common import give_back
 from dossia.llm.wordhash import Words, by_bytes, commonness, mix, rare_first, runs
 
 WINDOW = 20
@@ -195,7 +196,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, bucket_bytes: int =
         if packed.num_rows:
             packets = ((zstd.decompress(h.as_buffer(), n.as_py(), asbytes=True), zstd.decompress(p.as_buffer(), m.as_py(), asbytes=True)) for h, p, n, m in zip(*packed.columns, strict=True))
             found.append(pa.Table.from_batches([_repeats_of_bucket(packets, window)]))
-        pa.default_memory_pool().release_unused()  # workers stay for later stages
+        give_back()
         return pa.concat_tables(found)
 
     return rows.mapInArrow(scatter, f"{_PACKETS}, {_FLAGS}").groupBy("bucket").applyInArrow(gather, _FLAGS)
@@ -238,5 +239,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                 gone.append(n - len(words))
             columns = [batch.column("_row"), pa.array(texts, pa.string()), pa.array(count, pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["_row", "kept_text", "n_words", "n_removed"])
+        give_back()
 
     return joined.mapInArrow(remove, schema).select("_row.*", "kept_text", "n_words", "n_removed")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossia.llm.bpe import by_block
-from dossia.llm.common import cut, drawn, small
+from dossia.llm.common import cut, drawn, give_back, small
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
@@ -36,6 +36,8 @@ LEAST_RATIO = 0.4
 THRESHOLD = 0.3
 BLOCK_BYTES = 2_000_000
 REMEMBERED = 200_000
+#: Words whose n-grams are looked at at once.
+WORDS_AT_ONCE = 20_000
 
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 
@@ -70,11 +72,12 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def word_sums(words: list[str], weight: np.ndarray) -> np.ndarray:
     """For each word the sum of its n-grams' weights."""
-    if not words:
-        return np.zeros(0)
-    at, ends = ngrams(words)
-    total = np.concatenate([[0.0], np.cumsum(weight[at])])
-    return total[ends] - total[np.concatenate([[0], ends[:-1]])]
+    out = np.zeros(len(words))
+    for lo in range(0, len(words), WORDS_AT_ONCE):
+        at, ends = ngrams(words[lo : lo + WORDS_AT_ONCE])
+        total = np.concatenate([[0.0], np.cumsum(weight[at])])
+        out[lo : lo + WORDS_AT_ONCE] = total[ends] - total[np.concatenate([[0], ends[:-1]])]
+    return out
 
 
 @dataclass
@@ -95,26 +98,33 @@ def _class_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for t in texts:
                 for w in distinct_words(t):
                     words[w] = words.get(w, 0) + 1
-            at, ends = ngrams(list(words))
-            times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.diff(ends, prepend=0))
-            counts[int(label)] += np.bincount(at, weights=times, minlength=BUCKETS)
+            named, often = list(words), np.fromiter(words.values(), np.int64, len(words))
+            for lo in range(0, len(named), WORDS_AT_ONCE):
+                at, ends = ngrams(named[lo : lo + WORDS_AT_ONCE])
+                times = np.repeat(often[lo : lo + WORDS_AT_ONCE], np.diff(ends, prepend=0))
+                counts[int(label)] += np.bincount(at, weights=times, minlength=BUCKETS)
+    give_back()
     for k, part in enumerate(np.split(counts, 64, axis=1)):
         yield pd.DataFrame({"k": [k], "counts": [part.ravel().tolist()]})
 
 
 def _fit_part(ratio: np.ndarray, rows: pd.DataFrame) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam on all rows of a part; only n-grams with a ratio take part."""
-    which, value, doc = [], [], []
-    for n, text in enumerate(rows["text"]):
+    which, value, size = [], [], []
+    for text in rows["text"]:
         words = list(distinct_words(text))
         at = ngrams(words)[0] if words else np.zeros(0, np.int64)
         at = at[ratio[at] != 0]
         bucket, count = np.unique(at, return_counts=True)
-        which.append(bucket)
+        which.append(bucket.astype(np.int32))
         value.append(count * ratio[bucket] / np.sqrt(max(1, len(words))))
-        doc.append(np.full(len(bucket), n))
-    used, col = np.unique(np.concatenate(which), return_inverse=True)
-    value, doc, y = np.concatenate(value), np.concatenate(doc), rows["label"].to_numpy(float)
+        size.append(len(bucket))
+    col, y = np.concatenate(which), rows["label"].to_numpy(float)
+    del which
+    value, doc = np.concatenate(value), np.repeat(np.arange(len(size), dtype=np.int32), size)
+    met = np.zeros(BUCKETS, dtype=bool)
+    met[col] = True
+    used, col = np.flatnonzero(met), (np.cumsum(met, dtype=np.int32) - 1)[col]
     w, b = np.full(len(used), 0.02), -2.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, STEPS + 1):
@@ -160,6 +170,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", t
 
     def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         weight, intercept = _fit_part(sent.value, part)
+        give_back()
         return pd.DataFrame({"n": [len(part)], "weight": [weight.astype("<f4").tobytes()], "intercept": [intercept]})
 
     by_part = chosen.groupBy(F.pmod(F.xxhash64("drawn", F.lit(2)), F.lit(number)).alias("part"))
@@ -211,6 +222,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", o
                 size = rows.stop - rows.start
                 score = scorer.score([t or "" for t in texts.slice(rows.start, size).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(rows.start, size) for c in kept), pa.array(score)], names=[*kept, out_col])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

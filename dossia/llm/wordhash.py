@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossia.llm.common import give_back
+
 SLOTS = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LONG = 48  # bytes; longer words are hashed one at a time
@@ -72,7 +74,7 @@ def by_bytes(column: pa.Array, most: int) -> Iterator[tuple[slice, list[bytes]]]
         stop = min(int(np.searchsorted(ends, done + most)) + 1, len(ends))
         yield slice(start, stop), [t or b"" for t in column.slice(start, stop - start).to_pylist()]
         start = stop
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def slot(hashes: np.ndarray, slots: int = SLOTS) -> np.ndarray:
